@@ -100,6 +100,8 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, classes: np.ndarray, salts=(0
     Equal words have equal hashes; two different ones agree with a chance of about 2**-64 for each salt.
     """
     parts = []
+    if lower:
+        classes = np.where((np.arange(256) > 64) & (np.arange(256) < 91), classes[LOWER], classes)
     at, n = 0, len(buf)
     first = np.zeros(n + 1, bool)
     first[offs] = True
@@ -111,7 +113,7 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, classes: np.ndarray, salts=(0
                 to = at + int(tail[-1]) + 1
                 break
             to = min(n, to + SEGMENT)
-        b = buf[at:to]
+        b = LOWER[buf[at:to]] if lower else buf[at:to]
         c = classes[b]
         edge = np.empty(len(b) + 1, bool)
         edge[0] = edge[-1] = True
@@ -119,8 +121,6 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, classes: np.ndarray, salts=(0
         edge |= first[at : to + 1]
         word = c > 0
         s, e = np.flatnonzero(word & edge[:-1]), np.flatnonzero(word & edge[1:]) + 1
-        if lower:
-            b = LOWER[b]
         hs = []
         for salt in salts:
             pw, inv, values = _powers(len(b) + 1, salt)

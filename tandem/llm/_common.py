@@ -140,17 +140,17 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words (also those across rows), by doubling: len(h) - k + 1 values."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
-    out, width, power = None, 0, np.uint64(_MUL)
+    out, width, power = None, 0, _MUL
     part, size = h, 1
     while True:
         if k & size:
-            out = part if out is None else out[: len(out) - size] * power + part[width : width + len(out) - size]
+            out = part if out is None else out[: len(out) - size] * np.uint64(power) + part[width : width + len(out) - size]
             width += size
         if size * 2 > k:
             return mix(out[: len(h) - k + 1])
-        part = part[:-size] * power + part[size:]
+        part = part[:-size] * np.uint64(power) + part[size:]
         size *= 2
-        power = power * power
+        power = power * power % 2**64
 
 
 def row_starts(row: np.ndarray, n_rows: int) -> np.ndarray:

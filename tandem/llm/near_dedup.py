@@ -12,9 +12,11 @@ half keys that hold more than one component are combined.  The rounds are:
 2. A few table keys (the first `diagonal` pairs i, i): each node is compared with one node of its tables.  Most near
    copies become one component here, so large groups of copies cost one comparison for each copy.
 3. All table keys of half keys that hold more than one component.  In every table, the nodes outside the least
-   component are compared with a node of it, again until that brings no link.
-4. What is left: pairs in one table but in different components that have not been compared.  After that, every pair
-   that meets in a table is linked, compared, or in one component.
+   component are compared with a node of it.
+4. What is left: the nodes of tables that still hold more than one component.  Two sets of this similarity must share
+   one of the rarest fifth of their shingles, so such nodes meet again by these only, and pairs whose remaining
+   shingles can't reach the similarity fall out in the join.  After that every pair of a table is in one component,
+   compared, or shown to be too different, and no table's pairs were spelled out.
 
 Candidates are confirmed by the intersection of their sets of 64-bit shingle hashes; nodes are 64-bit hashes of sets
 (two different sets of a corpus of n agree with a chance of n * n / 2**65).  Links are joined by star rounds in Spark.
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm._common import BLANK_SEPARATED, batches, mix, row_starts, text_bytes, window_hashes, word_hashes, written
@@ -96,14 +98,12 @@ def signatures(docs: DataFrame, shingle: int = 2, m: int = 26, half_rows: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets are similar enough."""
-    sizes = nodes.select("node", "n_shingles")
-    by = lambda c: sizes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"))
-    pairs = pairs.join(by("a"), "a").join(by("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    pairs = written(pairs.select("a", "b"), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = written(nodes.join(asked, "node").select(F.col("doc_id").alias("_asked"), "node"), "asked")
+def _sets_of(asked: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """node and own (its sorted shingle hashes) of the nodes asked for, from the text of one document of each.
+
+    Their ids are broadcast only if they have been counted and are few enough.
+    """
+    ids = written(nodes.join(asked, "node").select(F.col("doc_id").alias("_asked"), F.col("node").alias("_node")), "asked")
     small = ids.count() <= broadcast_ids
 
     def make(frames):
@@ -113,9 +113,44 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
             ok = np.flatnonzero(node == b.column("_node").to_numpy())
             yield pa.RecordBatch.from_pydict({"node": node[ok], "own": pa.array([hs[starts[i] : starts[i + 1]].tobytes() for i in ok], pa.binary())})
 
-    few = ids.select("_asked", F.col("node").alias("_node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(few) if small else few, F.expr("_id <=> _asked"))
-    sets = written(texts.select("_node", "text").mapInArrow(make, "node long, own binary").dropDuplicates(["node"]), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(ids) if small else ids, F.expr("_id <=> _asked"))
+    return written(texts.select("_node", "text").mapInArrow(make, "node long, own binary").dropDuplicates(["node"]), "sets")
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """node, n, shingle and place (from 0) of the rarest shingles of each set, one of which every similar set shares."""
+
+    def spell(frames):
+        for b in frames:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("own")]
+            n = np.array([len(x) for x in own])
+            yield pa.RecordBatch.from_pydict({"node": np.repeat(b.column("node").to_numpy(), n), "n": np.repeat(n, n), "shingle": np.concatenate(own)})
+
+    spelled = written(sets.mapInArrow(spell, "node long, n long, shingle long"), "shingles")
+    often = spelled.groupBy("shingle").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("node").orderBy("c", "shingle")
+    placed = spelled.join(often, "shingle").withColumn("place", F.row_number().over(order) - 1)
+    return placed.where(f"place <= n - ceil(n * {percent} / 100)").select("node", "n", "shingle", "place")
+
+
+def _meeting(rare: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a rare shingle and can be similar enough."""
+    several = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
+    rare = rare.join(several, "shingle")
+    other = rare.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "place")])
+    can = f"(100 + {percent}) * least(n - place, n_b - place_b) >= {percent} * (n + n_b)"  # both sets from here on
+    met = rare.join(other, "shingle").where(f"node > node_b AND comp <> comp_b AND {can}")
+    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose sets are similar enough."""
+    sizes = nodes.select("node", "n_shingles")
+    by = lambda c: sizes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"))
+    pairs = pairs.join(by("a"), "a").join(by("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets_of(asked, docs, nodes, shingle)
 
     def compare(frames):
         for b in frames:
@@ -160,31 +195,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int
     shared = halves.join(several, "half").groupBy("node").agg(*[F.collect_list(F.when(F.col("side") == s, F.col("half"))).alias(c) for s, c in enumerate("ab")])
     tensor = F.flatten(F.transform("a", lambda x: F.transform(F.col("b"), lambda y: F.xxhash64(x, y))))
     keys = written(shared.where("size(a) > 0 AND size(b) > 0").select("node", F.explode(tensor).alias("key")), "keys")
-    while True:
-        rows = labelled(keys)
-        tables = rows.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lead"), F.max("comp").alias("hi")).where("lead.comp <> hi")
-        new = rows.join(tables, "key").where("comp <> lead.comp").select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b"))
-        new = written(new.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            break
-        found = confirm(new)
-        checked = written(checked.unionByName(new), "checked")
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
+    rows = labelled(keys)
+    tables = rows.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lead"), F.max("comp").alias("hi")).where("lead.comp <> hi")
+    new = rows.join(tables, "key").where("comp <> lead.comp").select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b"))
+    new = written(new.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
+    if not new.isEmpty():
+        checked = checked.unionByName(new)
+        links = links.unionByName(confirm(new))
         roots = components(links)
 
-    # pairs in one table that are in different components and have not been compared
+    # nodes of tables that still hold more than one component meet by their rarest shingles
     rows = labelled(keys)
     tables = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = written(rows.join(tables, "key").select("key", "node", "comp"), "rest")
-    other = rest.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    rest = rest.join(other, "key").where("node > b AND comp <> comp_b").select(F.col("node").alias("a"), "b").distinct()
-    rest = written(rest.join(checked, ["a", "b"], "left_anti"), "pairs")
+    rest = written(rows.join(tables, "key").select("node", "comp").distinct(), "rest")
     if not rest.isEmpty():
-        found = confirm(rest)
-        if not found.isEmpty():
-            roots = components(links.unionByName(found))
+        rare = _rarest(_sets_of(rest.select("node"), docs, nodes, shingle), percent)
+        met = _meeting(written(rare.join(rest, "node"), "rare"), percent)
+        met = written(met.join(checked, ["a", "b"], "left_anti"), "pairs")
+        if not met.isEmpty():
+            roots = components(links.unionByName(confirm(met)))
 
     comps = labelled(nodes.select("node", "doc_id")).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = labelled(nodes.select("node")).join(comps, "comp").select("node", "component_id")

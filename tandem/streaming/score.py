@@ -17,11 +17,18 @@ def frozen_idf(vocab: DataFrame, n_items: int) -> DataFrame:
 
 
 def score_stream(documents: DataFrame, idf: DataFrame) -> DataFrame:
-    """doc_id and weights (word to normalised tf-idf) of documents (doc_id, text)."""
-    words = F.filter(F.split(F.lower(F.translate("text", ".,\n", "   ")), " "), lambda w: w != "")
+    """doc_id and weights (word to normalised tf-idf) of documents (doc_id, text).
+
+    A document's known words are sorted and counted by the borders of their runs, in time linear in its length.
+    """
+    words = F.split(F.lower(F.translate("text", ".,\n", "   ")), " ")
     rows = documents.select("doc_id", words.alias("words")).join(F.broadcast(idf))  # one row
-    known = F.filter(F.array_distinct("words"), lambda w: F.map_contains_key("idf", w))
-    weights = F.transform(known, lambda w: F.size(F.filter("words", lambda x: x == w)) * F.element_at("idf", w))
-    rows = rows.select("doc_id", known.alias("known"), weights.alias("w"))
+    rows = rows.select("doc_id", "idf", F.array_sort(F.filter("words", lambda w: F.map_contains_key("idf", w))).alias("s"))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0))), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    rows = rows.withColumn("at", F.when(F.size("s") > 0, places).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("to", F.concat(F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), F.array(F.size("s"))))
+    known = F.transform("at", lambda i: F.get("s", i))
+    counts = F.zip_with("at", F.slice("to", 1, F.size("at")), lambda a, b: (b - a) * F.element_at("idf", F.get("s", a)))
+    rows = rows.select("doc_id", known.alias("known"), counts.alias("w"))
     norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
     return rows.select("doc_id", F.map_from_arrays("known", F.transform("w", lambda x: x / norm)).alias("weights"))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ITEM = Window.partitionBy("item_id")
+
+def _item():
+    return Window.partitionBy("item_id")
 
 
 def _value(df: DataFrame, value: Column) -> DataFrame:
@@ -15,7 +17,7 @@ def _value(df: DataFrame, value: Column) -> DataFrame:
 
 
 def normalize_sum(cells: DataFrame, to: float = 1.0) -> DataFrame:
-    total = F.sum("value").over(_ITEM)
+    total = F.sum("value").over(_item())
     return _value(cells, F.when(total == 0, F.col("value")).otherwise(F.col("value") * to / total))
 
 
@@ -31,7 +33,7 @@ def normalize_capped(cells: DataFrame, max_target: float = 0.9999, items: DataFr
 
 
 def scale_item_max(cells: DataFrame) -> DataFrame:
-    return _value(cells, F.col("value") / F.max("value").over(_ITEM))
+    return _value(cells, F.col("value") / F.max("value").over(_item()))
 
 
 def scale_global_max(cells: DataFrame, cutoff: float | None = None) -> DataFrame:
@@ -95,7 +97,7 @@ def to_sparse(vectors: DataFrame, eps: float = 1e-9) -> DataFrame:
 
 
 def retain_top(cells: DataFrame, k: int) -> DataFrame:
-    order = _ITEM.orderBy(F.desc("value"), "feature")
+    order = _item().orderBy(F.desc("value"), "feature")
     return cells.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 

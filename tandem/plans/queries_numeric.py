@@ -32,9 +32,9 @@ def norm_sum(s, d):
     return _r(N.normalize_sum(X.matrix(s, d)))
 
 
-@query(_M + ", c AS (SELECT min(c) AS c FROM (SELECT sum(value) * 0.9999 / greatest(max(value), 1e-5) AS c FROM m GROUP BY item_id)) " + _R.format("value * c / sum(value) OVER (PARTITION BY item_id)").replace("6)", "9)") + ", c")
+@query(_M + ", c AS (SELECT min(c) AS c FROM (SELECT sum(value) * 0.9999 / greatest(max(value), 1e-5) AS c FROM m GROUP BY item_id)) " + _R.format("value * c / sum(value) OVER (PARTITION BY item_id)").replace("6)", "12)") + ", c")
 def norm_capped(s, d):
-    return N.normalize_capped(X.matrix(s, d)).select("item_id", "feature", F.round("value", 9).alias("value"))
+    return N.normalize_capped(X.matrix(s, d)).select("item_id", "feature", F.round("value", 12).alias("value"))
 
 
 @query(_M + _R.format("value / max(value) OVER (PARTITION BY item_id)"))

@@ -1,34 +1,45 @@
 """Scoring of new documents by a frozen vocabulary, in a stream or in a batch with equal results.
 
-All of a document's work happens inside its row (array functions) and in stream-static joins, so the query keeps no
-state: words are counted and weighted by the frozen idf map of the vocabulary, normalised, and written on.
+All of a document's work happens inside its row, so the query keeps no state and needs no watermark: words are counted,
+weighted by the frozen idf of the vocabulary, normalised, and written on.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words that a frozen vocabulary may hold to travel with the tasks.
+MAX_WORDS = 2_000_000
+_BLANKS = str.maketrans(".,\n", "   ")
+
 
-def frozen_idf(vocab: DataFrame, n_items: int) -> DataFrame:
-    """One row that holds the map from word to idf; for vocabularies of a bounded size."""
+def frozen_idf(vocab: DataFrame, n_items: int) -> dict[str, float]:
+    """Word to log2(N / df) of a vocabulary (token, df) of a checked size; words of no weight are left out."""
     pairs = vocab.select("token", F.log2(F.lit(float(n_items)) / F.col("df")).alias("idf")).where("idf > 0")
-    return pairs.agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("idf"))
-
-
-def score_stream(documents: DataFrame, idf: DataFrame) -> DataFrame:
-    """doc_id and weights (word to normalised tf-idf) of documents (doc_id, text).
-
-    A document's known words are sorted and counted by the borders of their runs, in time linear in its length.
-    """
-    words = F.split(F.lower(F.translate("text", ".,\n", "   ")), " ")
-    rows = documents.select("doc_id", words.alias("words")).join(F.broadcast(idf))  # one row
-    rows = rows.select("doc_id", "idf", F.array_sort(F.filter("words", lambda w: F.map_contains_key("idf", w))).alias("s"))
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0))), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    rows = rows.withColumn("at", F.when(F.size("s") > 0, places).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("to", F.concat(F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), F.array(F.size("s"))))
-    known = F.transform("at", lambda i: F.get("s", i))
-    counts = F.zip_with("at", F.slice("to", 1, F.size("at")), lambda a, b: (b - a) * F.element_at("idf", F.get("s", a)))
-    rows = rows.select("doc_id", known.alias("known"), counts.alias("w"))
-    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.select("doc_id", F.map_from_arrays("known", F.transform("w", lambda x: x / norm)).alias("weights"))
+    rows = pairs.limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError("the vocabulary is too large to freeze; keep its top features first")
+    return {r["token"]: r["idf"] for r in rows}
+
+
+def score_stream(documents: DataFrame, idf: dict[str, float]) -> DataFrame:
+    """doc_id and weights (word to normalised tf-idf) of documents (doc_id, text), streamed or not. Null text: empty."""
+    kind = pa.map_(pa.string(), pa.float64())
+
+    def score(frames):
+        for b in frames:
+            out = []
+            for text in b.column("text").to_pylist():
+                counts = Counter(w for w in (text or "").translate(_BLANKS).lower().split(" ") if w in idf)
+                weights = {w: n * idf[w] for w, n in counts.items()}
+                norm = math.sqrt(sum(x * x for x in weights.values()))
+                out.append([(w, weights[w] / norm) for w in sorted(weights)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, kind)], ["doc_id", "weights"])
+
+    taken = documents.select("doc_id", "text")
+    return taken.mapInArrow(score, f"doc_id {dict(taken.dtypes)['doc_id']}, weights map<string,double>")

@@ -210,10 +210,9 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
     total = shards * SHARD
     cores = spark.sparkContext.defaultParallelism
     chunks = max(-(-size // chunk_bytes), min(2 * cores, -(-size // (1 << 20))), 1)
-    keyed = docs.withColumns({
-        "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-        "_tie": F.xxhash64(F.coalesce("text", F.lit(""))),
-    }).withColumn("_chunk", F.pmod(F.xxhash64("_id", "_tie"), F.lit(chunks)))
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")  # whatever their names
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tie"), "text", others)
+    keyed = keyed.withColumn("_chunk", F.pmod(F.xxhash64("_id", "_tie"), F.lit(chunks)))
 
     parts = keyed.select("_chunk", "text").mapInArrow(_sketch(total, k), "chunk long, shard long, n long, cells binary")
     hot = parts.groupBy("shard").applyInArrow(_merge, _REPLY_SCHEMA)
@@ -240,7 +239,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
     sent = text.cogroup(known.groupBy("chunk")).applyInArrow(send, "bucket long, chunk long, n long, data binary")
     replies = written(known.unionByName(sent.groupBy("bucket").applyInArrow(_group, _REPLY_SCHEMA)), "replies")
 
-    names = [f.name for f in docs.schema]
+    names = ["text", "_row"]
 
     def cut(_, docs, replies):
         c = _Chunk(docs, replies, total, k, chunks)
@@ -276,6 +275,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
             out = out.append_column(name, x)
         return out
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    schema = ", ".join([*kinds, "n_words long, n_removed long, kept_text string"])
-    return keyed.groupBy("_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, schema)
+    schema = f"text string, _row {keyed.schema['_row'].dataType.simpleString()}, n_words long, n_removed long, kept_text string"
+    out = keyed.groupBy("_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, schema)
+    new = ("n_words", "n_removed", "kept_text")  # these replace columns of the same name
+    return out.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in new], *new)

@@ -170,3 +170,4 @@ def batches(frames, limit: int = 4_000_000, text: str = "text"):
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
             yield b.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks

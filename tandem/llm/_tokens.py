@@ -64,6 +64,11 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        """Empty the memos; worker processes outlive their tasks."""
+        self.pieces.clear()
+        self.words.clear()
+
     def _piece(self, piece: str) -> bytes:
         named = "".join([_NAMES[b] for b in piece.encode()])
         return b"".join([t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(named)])

@@ -121,7 +121,7 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     """node, n, shingle and place (from 0) of the rarest shingles of each set, one of which every similar set shares."""
 
     def spell(frames):
-        for b in frames:
+        for b in (f.slice(at, 500) for f in frames for at in range(0, f.num_rows, 500)):
             own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("own")]
             n = np.array([len(x) for x in own])
             yield pa.RecordBatch.from_pydict({"node": np.repeat(b.column("node").to_numpy(), n), "n": np.repeat(n, n), "shingle": np.concatenate(own)})

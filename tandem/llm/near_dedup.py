@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm._common import BLANK_SEPARATED, batches, mix, row_starts, text_bytes, window_hashes, word_hashes, written
+from tandem.llm._common import BLANK_SEPARATED, batches, mix, release, row_starts, text_bytes, window_hashes, word_hashes, written
 from tandem.llm._graph import components
 
 
@@ -125,6 +125,7 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
             own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("own")]
             n = np.array([len(x) for x in own])
             yield pa.RecordBatch.from_pydict({"node": np.repeat(b.column("node").to_numpy(), n), "n": np.repeat(n, n), "shingle": np.concatenate(own)})
+        release()
 
     spelled = written(sets.mapInArrow(spell, "node long, n long, shingle long"), "shingles")
     often = spelled.groupBy("shingle").agg(F.count("*").alias("c"))
@@ -153,7 +154,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     sets = _sets_of(asked, docs, nodes, shingle)
 
     def compare(frames):
-        for b in frames:
+        for b in (f.slice(at, 1000) for f in frames for at in range(0, f.num_rows, 1000)):
             keep = []
             for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -161,6 +162,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep, pa.int64())), b.column("b").take(pa.array(keep, pa.int64()))], ["a", "b"])
+        release()
 
     named = lambda c, v: sets.select(F.col("node").alias(c), F.col("own").alias(v))
     met = pairs.join(named("a", "x"), "a").join(named("b", "y"), "b")

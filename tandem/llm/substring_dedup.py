@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm._common import BLANK_SEPARATED, batches, row_starts, text_bytes, window_hashes, word_hashes, written
+from tandem.llm._common import BLANK_SEPARATED, batches, release, row_starts, text_bytes, window_hashes, word_hashes, written
 
 SHARD = 1 << 24  # cells of a shard
 FLUSH = 4_000_000  # windows that a task holds before it emits their cells
@@ -73,35 +73,49 @@ _REPLY_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 _REPLY_SCHEMA = "chunk long, kind string, part long, n long, data binary"
 
 
-def _sketch(total: int, k: int):
+def _sketch(total: int, chunks: int, k: int):
     """Task side of the sketch: batches of (_chunk, text) to its parts."""
-
-    def emit(chunks, cells):
-        chunks, cells = np.concatenate(chunks), np.concatenate(cells)
-        order = np.lexsort((cells, chunks))
-        chunks, cells = chunks[order], cells[order]
-        first = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (chunks[1:] != chunks[:-1]))))
-        often = np.diff(np.append(first, len(cells))) > 1
-        chunks, cells = chunks[first], cells[first]
-        shards = (cells // SHARD).astype(np.int64)
-        cut = np.flatnonzero(np.concatenate(([True], (shards[1:] != shards[:-1]) | (chunks[1:] != chunks[:-1]))))
+    one_key = chunks * total < 1 << 63  # chunk and cell then sort as one number, in place
+
+    def ordered(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunk and cell of each distinct pair in order, and whether it occurs more than once."""
+        if one_key:
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            often = np.diff(np.append(first, len(keys))) > 1
+            keys = keys[first]
+            return keys // total, keys % total, often
+        own, cells = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((cells, own))
+        own, cells = own[order], cells[order]
+        first = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (own[1:] != own[:-1]))))
+        return own[first], cells[first], np.diff(np.append(first, len(cells))) > 1
+
+    def emit(held: list):
+        own, cells, often = ordered(held)
+        shards = cells // SHARD
+        cut = np.flatnonzero(np.concatenate(([True], (shards[1:] != shards[:-1]) | (own[1:] != own[:-1]))))
         rows = []
         for s, e in zip(cut, np.append(cut[1:], len(cells)), strict=True):
-            rows.append((int(chunks[s]), int(shards[s]), int(e - s), _packed(cells[s:e] % SHARD, often[s:e])))
+            rows.append((int(own[s]), int(shards[s]), int(e - s), _packed(cells[s:e] % SHARD, often[s:e])))
         return _rows(_SKETCH, _SKETCH_KINDS, rows)
 
     def sketch(frames):
-        chunks, cells, held = [], [], 0
+        held, n = [], 0
         for b in batches(frames):
             row, _, h1, _, _ = _windows(b.column("text"), k)
-            chunks.append(b.column("_chunk").to_numpy()[row].astype(np.int32))
-            cells.append((h1 % np.uint64(total)).astype(np.int64))
-            held += len(row)
-            if held >= FLUSH:
-                yield emit(chunks, cells)
-                chunks, cells, held = [], [], 0
-        if held:
-            yield emit(chunks, cells)
+            own, cell = b.column("_chunk").to_numpy()[row], (h1 % np.uint64(total)).astype(np.int64)
+            held.append(own * total + cell if one_key else (own, cell))
+            n += len(row)
+            if n >= FLUSH:
+                yield emit(held)
+                n = 0
+        if n:
+            yield emit(held)
+        release()
 
     return sketch
 
@@ -118,6 +132,7 @@ def _merge(table: pa.Table) -> pa.Table:
         hot = cells[counts[cells] >= 2]
         if len(hot):
             rows.append((chunk, "cells", shard, len(hot), _packed(hot)))
+    release()
     return pa.Table.from_batches([_rows(_REPLY, _REPLY_KINDS, rows)])
 
 
@@ -214,7 +229,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tie"), "text", others)
     keyed = keyed.withColumn("_chunk", F.pmod(F.xxhash64("_id", "_tie"), F.lit(chunks)))
 
-    parts = keyed.select("_chunk", "text").mapInArrow(_sketch(total, k), "chunk long, shard long, n long, cells binary")
+    parts = keyed.select("_chunk", "text").mapInArrow(_sketch(total, chunks, k), "chunk long, shard long, n long, cells binary")
     hot = parts.groupBy("shard").applyInArrow(_merge, _REPLY_SCHEMA)
 
     marks = keyed.where(F.octet_length("text") > 0).select("_chunk", "_id", "_tie", F.xxhash64(F.reverse("text")).alias("_tie2"))

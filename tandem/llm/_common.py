@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that are hashed at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _MUL = 0x9E3779B97F4A7C15
 
 

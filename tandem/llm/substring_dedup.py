@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from tandem.llm._common import BLANK_SEPARATED, batches, release, row_starts, text_bytes, window_hashes, word_hashes, written
 
 SHARD = 1 << 24  # cells of a shard
-FLUSH = 4_000_000  # windows that a task holds before it emits their cells
+FLUSH = 2_000_000  # windows that a task holds before it emits their cells
+HASHED = 1_000_000  # bytes of text whose words are held at once
 NO_ID = -(2**63)
 
 
@@ -75,43 +76,44 @@ _REPLY_SCHEMA = "chunk long, kind string, part long, n long, data binary"
 
 def _sketch(total: int, chunks: int, k: int):
     """Task side of the sketch: batches of (_chunk, text) to its parts."""
-    one_key = chunks * total < 1 << 63  # chunk and cell then sort as one number, in place
+    shards = total // SHARD
+    one_key = chunks * total < 1 << 63  # chunk, shard and cell then sort as one number, in place
 
     def ordered(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Chunk and cell of each distinct pair in order, and whether it occurs more than once."""
+        """Chunk with shard, and cell, of each distinct pair in order, and whether it occurs more than once."""
         if one_key:
             keys = np.concatenate(held)
             held.clear()
             keys.sort()
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            often = np.diff(np.append(first, len(keys))) > 1
+            often = np.diff(first, append=len(keys)) > 1
             keys = keys[first]
-            return keys // total, keys % total, often
-        own, cells = (np.concatenate(x) for x in zip(*held, strict=True))
+            return keys // SHARD, (keys % SHARD).astype(np.uint32), often
+        group, cells = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((cells, own))
-        own, cells = own[order], cells[order]
-        first = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (own[1:] != own[:-1]))))
-        return own[first], cells[first], np.diff(np.append(first, len(cells))) > 1
+        order = np.lexsort((cells, group))
+        group, cells = group[order], cells[order]
+        first = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (group[1:] != group[:-1]))))
+        return group[first], cells[first], np.diff(first, append=len(cells)) > 1
 
     def emit(held: list):
-        own, cells, often = ordered(held)
-        shards = cells // SHARD
-        cut = np.flatnonzero(np.concatenate(([True], (shards[1:] != shards[:-1]) | (own[1:] != own[:-1]))))
+        group, cells, often = ordered(held)
+        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         rows = []
         for s, e in zip(cut, np.append(cut[1:], len(cells)), strict=True):
-            rows.append((int(own[s]), int(shards[s]), int(e - s), _packed(cells[s:e] % SHARD, often[s:e])))
+            rows.append((int(group[s]) // shards, int(group[s]) % shards, int(e - s), _packed(cells[s:e], often[s:e])))
         return _rows(_SKETCH, _SKETCH_KINDS, rows)
 
     def sketch(frames):
         held, n = [], 0
-        for b in batches(frames):
+        for b in batches(frames, HASHED):
             row, _, h1, _, _ = _windows(b.column("text"), k)
             own, cell = b.column("_chunk").to_numpy()[row], (h1 % np.uint64(total)).astype(np.int64)
-            held.append(own * total + cell if one_key else (own, cell))
+            held.append(own * total + cell if one_key else (own * shards + cell // SHARD, (cell % SHARD).astype(np.uint32)))
             n += len(row)
             if n >= FLUSH:
                 yield emit(held)
+                release()
                 n = 0
         if n:
             yield emit(held)
@@ -161,7 +163,7 @@ class _Chunk:
         near = np.zeros(1 << 23, bool)
         near[hot & (len(near) - 1)] = True
         rows_, starts, h1s, h2s, words, at = [], [], [], [], [], 0
-        for b in batches(self.docs.select(["text"]).to_batches()):
+        for b in batches(self.docs.select(["text"]).to_batches(), HASHED):
             row, start, h1, h2, n_words = _windows(b.column("text"), k)
             cell = (h1 % np.uint64(total)).astype(np.int64)
             keep = np.flatnonzero(near[cell & (len(near) - 1)] & ~(self.same | self.copy)[row + at])

@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from tandem.llm._common import WORD_PUNCT, batches, text_bytes, window_hashes, word_hashes, written
 
+#: Bytes of text whose n-grams are held at once.
+HELD = 1_000_000
+
 
 def _features(col: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and bucket of each uni- and bigram."""
@@ -52,7 +55,7 @@ def fit(docs: DataFrame, buckets: int = 10_000, smooth: float = 1.0) -> np.ndarr
 
     def count(frames):
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for b in batches(frames):
+        for b in batches(frames, HELD):
             row, bucket = _features(b.column("text"), buckets)
             good = b.column("_role").fill_null(-1).to_numpy() == 1
             raw += np.bincount(bucket, minlength=buckets)
@@ -72,7 +75,7 @@ def scored(docs: DataFrame, ratio: np.ndarray, keep: list[str]) -> DataFrame:
     buckets = len(ratio)
 
     def score(frames):
-        for b in batches(frames):
+        for b in batches(frames, HELD):
             row, bucket = _features(b.column("text"), buckets)
             total = np.bincount(row, ratio[bucket], b.num_rows)
             n = np.bincount(row, minlength=b.num_rows)
@@ -127,12 +130,16 @@ def select(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, bu
     marked = labelled(docs, labels, sample)
     ratio = fit(marked, buckets)
     hashed = marked.withColumn("_u", F.xxhash64("doc_id", "text", F.lit(seed)))
-    table = written(scored(hashed, ratio, [*keep, "_role", "_u"]), "scores")
+    wide = "text" in keep  # texts aren't stored a second time: they are scored again
+    table = written(scored(hashed, ratio, ["_role", "_u"] if wide else [*keep, "_role", "_u"]), "scores")
     rows = table.where("_role >= 2").select("log_ratio", "_role").collect()  # at most `sample` labels
     least = threshold(np.array([r[0] for r in rows]), np.array([r[1] == 3 for r in rows], bool))
     uniform = (F.pmod("_u", F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = table.withColumn("key", F.col("log_ratio") - F.log(-F.log(uniform)))
+    key = F.col("log_ratio") - F.log(-F.log(uniform))
+    keyed = table.withColumn("key", key)
     k = table.where(F.col("log_ratio") >= least).count()
     last = kth_largest(keyed, "key", k)
     chosen = F.col("key") >= last if last is not None else F.lit(False)
+    if wide:
+        keyed = scored(hashed, ratio, [*keep, "_u"]).withColumn("key", key)
     return keyed.select(*keep, "n_grams", "log_ratio", "key", chosen.alias("selected"))

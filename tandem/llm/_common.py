@@ -7,6 +7,7 @@ segment of about one megabyte at a time, so a task's memory does not depend on h
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -35,10 +36,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+_blocks: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("blocks", default=())
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables `written` in this block are deleted at its end, so nothing that is lazy may read them after it."""
+    paths: list[str] = []
+    token = _blocks.set((*_blocks.get(), paths))
+    try:
+        yield
+    finally:
+        _blocks.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str, outlives: int = 0) -> DataFrame:
+    """Write `df` to the shared folder and read it back: cuts the lineage, and survives lost executors.
+
+    The table outlives so many of the innermost `temporary` blocks; it stays if there are no more.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
+    blocks = _blocks.get()
+    if outlives < len(blocks):
+        blocks[-1 - outlives].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm._common import BLANK_SEPARATED, batches, mix, release, row_starts, text_bytes, window_hashes, word_hashes, written
+from tandem.llm._common import BLANK_SEPARATED, batches, mix, release, row_starts, temporary, text_bytes, window_hashes, word_hashes, written
 from tandem.llm._graph import components
 
 
@@ -174,14 +174,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int
     signed = written(signatures(docs, shingle, m, half_rows), "signatures")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n_shingles", "a", "b")])
     nodes = written(nodes, "nodes")
-    confirm = lambda pairs: written(_confirm(pairs, docs, nodes, shingle, percent), "links")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        with temporary(docs.sparkSession):
+            return written(_confirm(pairs, docs, nodes, shingle, percent), "links", outlives=1)
 
     # a few table keys
     first = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(diagonal - 1)), lambda i: F.xxhash64(i, F.get("a", i), F.get("b", i)))).alias("key"))
     leads = first.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
     pairs = first.join(leads, "key").where("node <> lead").groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("b"))
-    links = confirm(pairs)
-    checked = pairs = written(pairs, "checked")
+    checked = written(pairs, "checked")
+    links = confirm(checked)
     roots = components(links)
 
     # table keys of half keys that hold more than one component
@@ -211,9 +214,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int
     tables = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = written(rows.join(tables, "key").select("node", "comp").distinct(), "rest")
     if not rest.isEmpty():
-        rare = _rarest(_sets_of(rest.select("node"), docs, nodes, shingle), percent)
-        met = _meeting(written(rare.join(rest, "node"), "rare"), percent)
-        met = written(met.join(checked, ["a", "b"], "left_anti"), "pairs")
+        with temporary(docs.sparkSession):
+            rare = _rarest(_sets_of(rest.select("node"), docs, nodes, shingle), percent)
+            met = _meeting(written(rare.join(rest, "node"), "rare"), percent)
+            met = written(met.join(checked, ["a", "b"], "left_anti"), "pairs", outlives=1)
         if not met.isEmpty():
             roots = components(links.unionByName(confirm(met)))
 

@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
 
     text = keyed.select("_chunk", "_id", "_tie", "text").groupBy("_chunk")
     sent = text.cogroup(known.groupBy("chunk")).applyInArrow(send, "bucket long, chunk long, n long, data binary")
-    replies = written(known.unionByName(sent.groupBy("bucket").applyInArrow(_group, _REPLY_SCHEMA)), "replies")
+    replies = known.unionByName(written(sent.groupBy("bucket").applyInArrow(_group, _REPLY_SCHEMA), "replies"))
 
     names = ["text", "_row"]
 

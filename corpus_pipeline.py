@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm._common import written
+from tandem.llm._common import temporary, written
 from tandem.llm.decontaminate import clean
 from tandem.llm.importance import select
 from tandem.llm.near_dedup import near_duplicates
@@ -32,8 +32,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five words, 0.8)."""
-    found = near_duplicates(docs, shingle=5, percent=80)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    with temporary(spark):
+        found = near_duplicates(docs, shingle=5, percent=80)
+        gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone", outlives=1)
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(side, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 

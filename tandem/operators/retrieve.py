@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +50,11 @@ def _block(df: DataFrame, id_col: str, name: str, n: int) -> DataFrame:
     return df.groupBy(block).agg(F.collect_list(F.struct(F.col("item_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))).alias(name))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+
 def similarity_topk_dense(queries: DataFrame, database: DataFrame, k: int = 10, digits: int = 6, block_rows: int = 8192) -> DataFrame:
     """Cosines of (item_id, vec): blocks of queries go to each block of the database, a matrix product in each pair."""
     n_d = max(1, -(-database.count() // block_rows))
@@ -55,17 +62,13 @@ def similarity_topk_dense(queries: DataFrame, database: DataFrame, k: int = 10,
     sent = _block(queries, "query_id", "queries", n_q).withColumn("rows_block", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
     met = sent.join(_block(database, "target_id", "rows", n_d), "rows_block").select("queries", "rows")
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        norms = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-
     def score(frames):
         for b in frames:
             for i in range(b.num_rows):
                 (qi, q), (di, d) = (
                     (s.field("id").to_numpy(), s.field("vec").flatten().to_numpy().reshape(len(s), -1)) for s in (b.column("queries")[i].values, b.column("rows")[i].values)
                 )
-                sims = np.round(unit(q) @ unit(d).T, digits)
+                sims = np.round(_unit(q) @ _unit(d).T, digits)
                 own = min(k, len(di))
                 least = np.partition(sims, -own, axis=1)[:, -own][:, None]
                 r, c = np.nonzero(sims >= least)  # ties with the last one stay
@@ -122,16 +125,53 @@ def duplicate_pairs(hits: DataFrame, same: float = 0.98, cross: float = 0.9, fam
     return hits.where(F.col("sim") >= F.when(family, F.lit(same)).otherwise(F.lit(cross)))
 
 
-def find_duplicates(items: DataFrame, pairs: DataFrame, path: str, max_rounds: int = 100) -> DataFrame:
-    """item_id and representative: the scan in id order, in parallel rounds.
+def similar_pairs(items: DataFrame, least: float, digits: int = 6, block_rows: int = 1024) -> DataFrame:
+    """All pairs (query_id < target_id) of (item_id, vec) whose rounded cosine is at least `least`: each two blocks meet once."""
+    n = max(1, -(-items.count() // block_rows))
+    blocks = _block(items, "item_id", "rows", n).withColumnRenamed("rows_block", "at")
+    other = blocks.select(F.col("at").alias("other"), F.col("rows").alias("others"))
+    met = blocks.withColumn("other", F.explode(F.sequence("at", F.lit(n - 1)))).join(other, "other").select((F.col("at") == F.col("other")).alias("same"), "rows", "others")
+
+    def score(frames):
+        for b in frames:
+            for i in range(b.num_rows):
+                sides = (b.column(c)[i].values for c in ("rows", "others"))
+                (xi, x), (yi, y) = ((s.field("id").to_numpy(), s.field("vec").flatten().to_numpy().reshape(len(s), -1)) for s in sides)
+                sims = np.round(_unit(x) @ _unit(y).T, digits)
+                r, c = np.nonzero((sims >= least) & ((xi[:, None] < yi) if b.column("same")[i].as_py() else True))
+                yield pa.RecordBatch.from_pydict({"query_id": np.minimum(xi[r], yi[c]), "target_id": np.maximum(xi[r], yi[c]), "sim": sims[r, c] + 0.0})
+
+    return met.mapInArrow(score, "query_id long, target_id long, sim double")
+
+
+def duplicates_of_vectors(items: DataFrame, same: float, path: str, digits: int = 6) -> DataFrame:
+    """item_id and representative of all (item_id, vec), by every pair of them at or over `same` (over 0).
+
+    Equal vectors have the same neighbours and are linked with each other, so the least id of each stands for all in
+    the scan.  Items without a vector, or with zeros only, have no cosine and represent themselves.
+    """
+    has = F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
+    firsts = items.where(has).groupBy("vec").agg(F.min("item_id").alias("first"))
+    firsts.write.parquet(f"{path}/firsts")
+    firsts = items.sparkSession.read.parquet(f"{path}/firsts")
+    distinct = firsts.select(F.col("first").alias("item_id"), "vec")
+    duplicate_pairs(similar_pairs(distinct, same, digits), same).select("a", "b").write.parquet(f"{path}/pairs")
+    classes = find_duplicates(distinct.select("item_id"), items.sparkSession.read.parquet(f"{path}/pairs"), path)
+    members = items.where(has).join(firsts, "vec").select("item_id", "first").join(classes.withColumnRenamed("item_id", "first"), "first")
+    return members.select("item_id", "representative").unionByName(items.where(~has).select("item_id", F.col("item_id").alias("representative")))
+
+
+def find_duplicates(items: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
+    """item_id and representative: the scan in id order, in parallel rounds until no item is open.
 
     Undecided items whose smaller neighbours are all absorbed become representatives and absorb their neighbours; an
-    item that several absorb goes to the smallest.  `path` is a folder for the state of each round.
+    item that several absorb goes to the smallest.  `path` is a folder for the state of each round; each round decides
+    the least open item at least.
     """
     spark = items.sparkSession
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
     state = items.select("item_id", F.lit(None).cast("long").alias("representative"))
-    for i in range(max_rounds):
+    for i in itertools.count():
         state.write.mode("overwrite").parquet(f"{path}/round-{i}")
         state = spark.read.parquet(f"{path}/round-{i}")
         open_ = state.where("representative IS NULL").select("item_id")
@@ -141,15 +181,14 @@ def find_duplicates(items: DataFrame, pairs: DataFrame, path: str, max_rounds: i
         new = open_.join(smaller, "item_id", "left_anti")
         taken = both.join(new.withColumnRenamed("item_id", "y"), "y", "left_semi").groupBy(F.col("x").alias("item_id")).agg(F.min("y").alias("_by"))
         chosen = new.select("item_id", F.col("item_id").alias("_self"))
-        state = state.join(chosen, "item_id", "left").join(taken, "item_id", "left").select("item_id", F.coalesce("representative", "_self", "_by").alias("representative"))
+        state = state.join(chosen, "item_id", "left").join(taken, "item_id", "left").select("item_id", F.coalesce("_self", F.least("representative", "_by")).alias("representative"))
     return state
 
 
 def prefer_family(classes: DataFrame, in_family: Column) -> DataFrame:
     """Replace each representative by the first member outside the family, if there is one."""
-    order = Window.partitionBy("representative").orderBy(in_family.cast("int"), "item_id")
-    first = F.first("item_id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return classes.withColumn("representative", first)
+    first = classes.groupBy("representative").agg(F.min(F.struct(in_family.cast("int").alias("own"), "item_id")).alias("_first"))
+    return classes.join(first, "representative").select("item_id", F.col("_first.item_id").alias("representative"))
 
 
 def apply_dedup(vectors: DataFrame, links: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:

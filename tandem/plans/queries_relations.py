@@ -216,9 +216,7 @@ def find_duplicates(s, d):
     import uuid
 
     base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/tandem-rounds"
-    v = X.vectors(s, d)
-    pairs = R.duplicate_pairs(_hits(s, d), same=0.3)
-    classes = R.find_duplicates(v.select("item_id"), pairs, f"{base.rstrip('/')}/duplicates-{uuid.uuid4().hex}")
+    classes = R.duplicates_of_vectors(X.vectors(s, d).select("item_id", "vec"), 0.3, f"{base.rstrip('/')}/duplicates-{uuid.uuid4().hex}", digits=4)
     return R.prefer_family(classes, F.col("item_id") % 2 == 0)
 
 

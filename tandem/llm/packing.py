@@ -55,12 +55,17 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
         for room in sorted(r for r in free if r >= length):
             while left and free[room]:
                 a, b = free[room].pop()
-                n = min(left, b - a)
+                each = min(room // length, left)  # the room that stays is the smallest that fits: fill it first
+                n = min(left // each, b - a)
                 if n < b - a:
                     free[room].append((a + n, b))
-                out.append((length, rank, rank + n, a, capacity - room))
-                free.setdefault(room - length, []).append((a, a + n))
-                rank, left = rank + n, left - n
+                for i in range(each):
+                    out.append((length, rank, rank + n, a, capacity - room + i * length))
+                    rank += n
+                free.setdefault(room - each * length, []).append((a, a + n))
+                left -= n * each
+            if not left:
+                break
         while left:  # new sequences, each with as many of this length as fit
             each = min(capacity // length, left)
             n = left // each

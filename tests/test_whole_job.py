@@ -1,8 +1,10 @@
 """Cases in which an operator has to do the whole job, against plain brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tandem.llm import packing
 from tandem.operators import retrieve
 
 
@@ -40,3 +42,33 @@ def test_duplicates_end_when_no_item_is_open(spark, tmp_path):
     chain = spark.createDataFrame([(i, i + 1) for i in range(7)] + [(2, 9), (8, 9)], "a long, b long")
     got = retrieve.find_duplicates(spark.range(10).withColumnRenamed("id", "item_id"), chain, str(tmp_path / "y"))
     assert {r["item_id"]: r["representative"] for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 2}
+
+
+def best_fit(counts, capacity):
+    """Brute force: rooms after plain best-fit decreasing, piece by piece."""
+    rooms = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [(r, i) for i, r in enumerate(rooms) if r >= length]
+            if fits:
+                rooms[min(fits)[1]] -= length
+            else:
+                rooms.append(capacity - length)
+    return sorted(rooms)
+
+
+HOT = [{1500: 100, 100: 300}, {2000: 50, 1: 2000}, {1500: 3, 700: 2, 300: 7, 100: 11, 1: 90}, {2048: 3, 1: 5}, {1: 5000}]
+
+
+@pytest.mark.parametrize("counts", HOT + [{int(x): int(n) for x, n in np.random.default_rng(i).integers(1, 60, (12, 2)) * [30, 1]} for i in range(5)])
+def test_packing_fills_rooms_with_repeated_lengths(counts):
+    taken, ranks = {}, {}
+    for length, first, end, seq, offset in packing.plan(counts, 2048):
+        ranks.setdefault(length, []).extend(range(first, end))
+        for i in range(end - first):
+            taken.setdefault(seq + i, []).append((offset, length))
+    assert {x: sorted(r) for x, r in ranks.items()} == {x: list(range(n)) for x, n in counts.items()}
+    for own in taken.values():
+        ends = [0, *(o + n for o, n in sorted(own))]
+        assert [o for o, _ in sorted(own)] == ends[:-1]
+    assert sorted(2048 - sum(n for _, n in own) for own in taken.values()) == best_fit(counts, 2048)

@@ -31,12 +31,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, 0.8)."""
+    """One document of each group of near copies (five words, 0.8): the one with the smallest id, null ids last.
+
+    Rows are judged by id and text, so others with the id of a copy stay, and of rows that repeat both one stays.
+    Documents without words are copies of nothing; all of them stay.
+    """
+    row = ["_id", "_hash"]
     with temporary(spark):
-        found = near_duplicates(docs, shingle=5, percent=80)
-        gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone", outlives=1)
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+        found = near_duplicates(docs, shingle=5, percent=80).where("component IS NOT NULL")
+        rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.any_value("component").alias("component"), F.count("*").alias("n"))
+        rows = written(rows, "rows")
+        first = rows.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), *row)).alias("first")).select("first.*")
+        same = F.col("_id").eqNullSafe(F.col("k_id")) & (F.col("_hash") == F.col("k_hash"))
+        judged = rows.join(first.select(*[F.col(c).alias(f"k{c}") for c in row]), same, "left").where("n > 1 OR k_hash IS NULL")
+        judged = written(judged.select(*row, F.col("k_hash").isNull().alias("gone")), "judged", outlives=1)
+    is_row = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    near = (lambda df: F.broadcast(df)) if judged.count() <= BROADCAST_IDS else (lambda df: df)
+    single = docs.join(near(judged), is_row, "left_anti")
+    repeated = docs.join(near(judged.where("NOT gone")), is_row).dropDuplicates(row)
+    return single.unionByName(repeated.select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,11 +67,11 @@ def _node(hs: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = 2, m: int = 26, half_rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, node (null without a set), and the half keys a and b of each document."""
+    """doc_id, text_hash, n_shingles, node (null without a set), and the half keys a and b of each document."""
     rng = np.random.Generator(np.random.PCG64(20))
     mul = rng.integers(0, 2**64, 2 * m * half_rows, np.uint64) | np.uint64(1)
     flip = rng.integers(0, 2**64, 2 * m * half_rows, np.uint64)
-    schema = "doc_id long, n_shingles long, node long, a array<bigint>, b array<bigint>"
+    schema = "doc_id long, text_hash long, n_shingles long, node long, a array<bigint>, b array<bigint>"
 
     def sign(frames):
         for batch in batches(frames, 2_000_000):
@@ -91,11 +91,11 @@ def signatures(docs: DataFrame, shingle: int = 2, m: int = 26, half_rows: int =
                 offs[1:] = np.cumsum(np.where(n > 0, m, 0))
                 lists.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(np.ascontiguousarray(half).view(np.int64).ravel())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), *lists],
-                ["doc_id", "n_shingles", "node", "a", "b"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, mask=n == 0), *lists],
+                ["doc_id", "text_hash", "n_shingles", "node", "a", "b"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, schema)
 
 
 def _sets_of(asked: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, broadcast_ids: int = 1_000_000) -> DataFrame:
@@ -170,7 +170,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int = 26, half_rows: int = 4, diagonal: int = 8) -> DataFrame:
-    """doc_id, n_shingles, node and component_id (the smallest doc_id that links lead to) of each document."""
+    """doc_id, n_shingles, node and component_id (the smallest doc_id that links lead to) of each document.
+
+    Components of rows that share a doc_id may have the same component_id; `component` tells them apart (null without
+    a set), and text_hash the rows.
+    """
     signed = written(signatures(docs, shingle, m, half_rows), "signatures")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n_shingles", "a", "b")])
     nodes = written(nodes, "nodes")
@@ -222,6 +226,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int
             roots = components(links.unionByName(confirm(met)))
 
     comps = labelled(nodes.select("node", "doc_id")).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = labelled(nodes.select("node")).join(comps, "comp").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = labelled(nodes.select("node")).join(comps, "comp").select("node", "component_id", F.col("comp").alias("component"))
+    out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), "component", "text_hash")

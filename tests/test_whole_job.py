@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm import packing
+from tandem.llm import bitslice, packing
 from tandem.operators import retrieve
 
 
@@ -72,3 +72,16 @@ def test_packing_fills_rooms_with_repeated_lengths(counts):
         ends = [0, *(o + n for o, n in sorted(own))]
         assert [o for o, _ in sorted(own)] == ends[:-1]
     assert sorted(2048 - sum(n for _, n in own) for own in taken.values()) == best_fit(counts, 2048)
+
+
+def test_near_copies_are_judged_by_row(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(4))
+    rows = [(2, a), (5, a + " end"), (5, b), (9, b), (7, c), (7, c), (None, c), (None, d), (None, d), (1, ""), (1, ""), (None, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(2, a), (5, b), (7, c), (None, d), (1, ""), (1, ""), (None, None), (3, None)], key=str)

@@ -13,7 +13,9 @@ Queries and blocks meet by a join on block numbers, each query block going to ea
 returns its k best; a window keeps the k best of all, ties to the smaller id.
 
 Vectors that are null or hold null or non-finite components take no part; vectors of another length than a query's
-are not its candidates.  Rows that repeat both id and vector count once; no row with a query's id is its candidate.  Scores are 64-bit integers.  An empty table gives no rows.
+are not its candidates.  Rows that repeat both id and vector count once, in queries as well; no row with a query's id
+is its candidate.  An id with several vectors is one candidate, or one query, by its best score.  Scores are 64-bit
+integers.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -107,8 +109,13 @@ class Block:
         rows[: len(values)] = 1
         self.present = np.packbits(rows, bitorder="little").view(np.uint64)
 
-    def top(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that hold the k best scores, and perhaps others."""
+    def top(self, query: np.ndarray, k: int, without: np.ndarray | tuple = ()) -> np.ndarray:
+        """Of the rows not in `without` those that hold the k best scores, and perhaps others."""
+        present = self.present
+        if len(without):
+            rows = np.unpackbits(present.view(np.uint8), bitorder="little")
+            rows[without] = 0
+            present = np.packbits(rows, bitorder="little").view(np.uint64)
         by_place: dict[int, list[np.ndarray]] = {}
         size = np.abs(query)
         flipped = query < 0  # a negative weight counts what is missing to the largest value
@@ -120,19 +127,19 @@ class Block:
                     for j in range(own.shape[1]):
                         by_place.setdefault(i + j, []).append(~own[:, j] & self.present if flip else own[:, j])
         lost = int(size.sum()) * ((1 << self.coarse) - 1)
-        hit = _candidates(_added(by_place), self.present, k, -(-lost >> self.coarse) + 1)
+        hit = _candidates(_added(by_place), present, k, -(-lost >> self.coarse) + 1)
         return np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 16_384, query_rows: int = 512) -> DataFrame:
-    """k best of `vectors` (id, v) for each row of `queries` (id, v), its own row left out: query_id, rank, vec_id, score."""
+    """k best ids of `vectors` (id, v) for each id of `queries` (id, v), its own rows left out: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     by_id = Window.partitionBy("v").orderBy("id")  # a limit on row_number is applied before the shuffle too
     few = vectors.dropDuplicates(["id", "v"]).withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
     distinct = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     index = written(distinct, "vectors")
     n_blocks = max(1, -(-index.count() // block_rows))
-    queries = written(queries, "queries")
+    queries = written(queries.dropDuplicates(["id", "v"]), "queries")
     n_groups = max(1, -(-queries.count() // query_rows))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     blocks = index.groupBy(deal("v", n_blocks).alias("block"), F.size("v").alias("dims")).agg(
@@ -150,18 +157,32 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int =
                 ids = rows.field("ids").to_pylist()
                 block = Block(values)
                 out = []
+                alone: dict[int, list[int]] = {}  # rows that only one id holds
+                for r, own in enumerate(ids):
+                    if len(own) == 1:
+                        alone.setdefault(own[0], []).append(r)
                 for q, w in zip(asked.field("id").to_pylist(), _matrix(asked.field("v")), strict=True):
-                    hit = block.top(w, k + 1)
-                    exact = values[hit] @ w
-                    if len(hit) > 4 * k:  # by score; rows that tie with the last one stay
-                        hit, exact = (x[exact >= np.partition(exact, -k - 1)[-k - 1]] for x in (hit, exact))
-                    found = sorted((-int(s), v) for h, s in zip(hit, exact, strict=True) for v in ids[h] if v != q)[:k]
-                    out += [(q, v, -s) for s, v in found]
+                    without = alone.get(q, [])
+                    n = k
+                    while True:  # rows that hold the n best scores, each with another id than q; an id may hold several
+                        hit = block.top(w, n, without)
+                        exact = values[hit] @ w
+                        if len(hit) > n:  # by score; rows that tie with the last one stay
+                            hit, exact = (x[exact >= np.partition(exact, -n)[-n]] for x in (hit, exact))
+                        best_of: dict[int, int] = {}
+                        for h, s in zip(hit, exact, strict=True):
+                            for v in ids[h]:
+                                if v != q:
+                                    best_of[v] = max(int(s), best_of.get(v, int(s)))
+                        if len(best_of) >= k or n >= len(ids):
+                            break
+                        n *= 2
+                    out += [(q, v, -s) for s, v in sorted((-s, v) for v, s in best_of.items())[:k]]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    found = met.mapInArrow(score, "query_id long, vec_id long, score long")
+    found = met.mapInArrow(score, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -85,3 +85,21 @@ def test_near_copies_are_judged_by_row(spark):
     assert out.columns == docs.columns
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     assert got == sorted([(2, a), (5, b), (7, c), (None, d), (1, ""), (1, ""), (None, None), (3, None)], key=str)
+
+
+def test_search_with_repeated_queries_and_ids(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(120, 8)).round(2)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    rows += [rows[0]] * 6 + [rows[7]] * 3 + [(50, [float(x) for x in v[3]])]  # repeated rows; an id with two query vectors
+    best = np.argsort(-(v @ v[0]))
+    rows += [(int(best[0]), [float(x) * f for x in v[0]]) for f in (3, 4, 5, 6, 7, 8, 9)]  # an id with many of the best vectors
+    rows += [(0, [float(x) * f for x in v[0]]) for f in (2, 2.5)]  # own vectors among the best
+    q = bitslice.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in bitslice.search(q.where("id % 50 = 0"), q, 5, block_rows=64).collect()}
+    at = {}
+    for i, x in rows:
+        at.setdefault(i, []).append(np.floor(np.array(x) * 256).astype(int))
+    for a in (0, 50, 100):
+        want = sorted((-max(int(x @ y) for x in at[a] for y in at[b]), b) for b in at if b != a)[:5]
+        assert [got.get((a, r)) for r in range(1, 6)] == [(b, -s) for s, b in want]

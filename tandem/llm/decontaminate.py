@@ -11,16 +11,21 @@ the shingles, compared as text, that they share.
 The item side is broadcast only if its sketch rows have been counted and are at most `broadcast_rows`; otherwise both
 lookups are shuffle joins.  Matches are reduced to distinct pairs before any shuffle.
 
-Null or short texts (under five words) have no shingles and match nothing.  Rows that share a doc_id are judged each
+Scripts without spaces between words (Chinese, Japanese, Thai and others) are split into characters, each a word.  An
+item of fewer than five words has one shingle, its whole sequence, which is looked up among the documents' runs of
+that length under a bound of its own; `short` turns this on.  Texts without words match nothing.  Rows that share a doc_id are judged each
 on its own; equal rows give one result row.  Repeated items match each on its own.  Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}]+"
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[\p{{L}}\p{{N}}&&[{UNSPACED}]]|[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+"
 
 
 def words_of(text: Column) -> Column:
@@ -33,12 +38,12 @@ def _runs(array: Column, k: int, names: list[str]) -> Column:
     return F.arrays_zip(*parts) if k > 1 else F.transform(array, lambda x: F.struct(x.alias(names[0])))
 
 
-def shingles(table: DataFrame, keys: list[str], k: int, as_text: bool) -> DataFrame:
-    """`keys` and each shingle's hash `h`, and its text `shingle` if asked for; repeats are kept."""
+def shingles(table: DataFrame, keys: list[str], k: int, as_text: bool, whole: bool = False) -> DataFrame:
+    """`keys` and each shingle's hash `h`, and its text `shingle` if asked for; repeats are kept. whole: only texts of k words."""
     names = [f"_w{i}" for i in range(k)]
     words = words_of(F.col("text"))
     source = words if as_text else F.transform(words, lambda w: F.xxhash64(w))
-    runs = table.select(*keys, source.alias("_words")).where(F.size("_words") >= k)
+    runs = table.select(*keys, source.alias("_words")).where(F.size("_words") == k if whole else F.size("_words") >= k)
     runs = runs.select(*keys, F.inline(_runs(F.col("_words"), k, names))).where(F.col(names[-1]).isNotNull())
     if as_text:
         hashed = F.xxhash64(*[F.xxhash64(n) for n in names])
@@ -46,11 +51,14 @@ def shingles(table: DataFrame, keys: list[str], k: int, as_text: bool) -> DataFr
     return runs.select(*keys, F.xxhash64(*names).alias("h"))
 
 
-def contained(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8, broadcast_rows: int = 1_000_000, short: bool = False) -> DataFrame:
     """Pairs of a document and an item it holds: doc_id, text_hash, item_id, n_item, n_shared, containment."""
     items = items.select("item_id", F.xxhash64("text").alias("item_hash"), "text")
     keys = ["item_id", "item_hash"]
-    sets = shingles(items, keys, k, as_text=True).distinct()
+    sets = shingles(items, keys, k, as_text=True).withColumn("k", F.lit(k))
+    for n in range(1, k if short else 1):
+        sets = sets.unionByName(shingles(items, keys, n, as_text=True, whole=True).withColumn("k", F.lit(n)))
+    sets = sets.distinct()
     sizes = sets.groupBy(*keys).agg(F.count("*").alias("n_item"))
     least = F.ceil(F.lit(share) * F.col("n_item") - 1e-9)
     by_hash = Window.partitionBy(*keys).orderBy("h")
@@ -60,21 +68,21 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8,
         .where(F.col("r") <= F.col("n_item") - least + 1)
         .withColumn("size_class", F.floor(F.log2("n_item")))
     )
-    bounds = sketch.groupBy("size_class").agg(F.max("h").alias("largest"), F.count("*").alias("n")).collect()  # one row for each power of two
+    bounds = sketch.groupBy("k", "size_class").agg(F.max("h").alias("largest"), F.count("*").alias("n")).collect()  # one row for each k and power of two
     if not bounds:
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *[F.lit(None).cast(t).alias(c) for c, t in _RESULT]).limit(0)
     small = sum(r["n"] for r in bounds) * 6 <= broadcast_rows
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    largest = max(r["largest"] for r in bounds)
+    largest = {n: max(r["largest"] for r in bounds if r["k"] == n) for n in sorted({r["k"] for r in bounds})}
 
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     doc = ["doc_id", "text_hash"]
-    probes = shingles(docs, doc, k, as_text=False).where(F.col("h") <= largest)
+    probes = reduce(DataFrame.unionByName, [shingles(docs, doc, n, as_text=False).where(F.col("h") <= h) for n, h in largest.items()])
     pairs = probes.join(near(sketch.select("h", *keys)), "h").select(*doc, *keys).distinct()
     found = pairs.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct(*keys)).alias("asked"))
     held = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
     held = held.select(*doc, "text", "asked").dropDuplicates(doc)
-    own = shingles(held, [*doc, "asked"], k, as_text=True)
+    own = reduce(DataFrame.unionByName, [shingles(held, [*doc, "asked"], n, as_text=True) for n in largest])
     shared = own.join(near(sets), ["h", "shingle"]).where(F.array_contains("asked", F.struct(*keys)))
     counts = shared.groupBy(*doc, *keys).agg(F.count_distinct("shingle").alias("n_shared"))
     out = counts.join(near(sizes.withColumn("least", least)), keys).where(F.col("n_shared") >= F.col("least"))
@@ -85,6 +93,6 @@ _RESULT = (("item_id", "bigint"), ("n_item", "bigint"), ("n_shared", "bigint"),
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """`docs` without the rows that hold an item."""
-    bad = contained(docs, items, **options).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    """`docs` without the rows that hold an item, short ones too."""
+    bad = contained(docs, items, **{"short": True} | options).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")

@@ -12,7 +12,7 @@ def op8_link_graph_url_filter(spark, sf_dir):
 
 def op9_benchmark_containment(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    found = contained(docs, items, k=5, share=0.8)
+    found = contained(docs, items, k=5, share=0.8, short=True)
     return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
 
 

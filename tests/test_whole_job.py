@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm import bitslice, packing
+from tandem.llm import bitslice, decontaminate, packing
 from tandem.operators import retrieve
 
 
@@ -103,3 +103,12 @@ def test_search_with_repeated_queries_and_ids(spark):
     for a in (0, 50, 100):
         want = sorted((-max(int(x @ y) for x in at[a] for y in at[b]), b) for b in at if b != a)[:5]
         assert [got.get((a, r)) for r in range(1, 6)] == [(b, -s) for s, b in want]
+
+
+def test_containment_of_short_and_unspaced_items(spark):
+    items = spark.createDataFrame([(1, "Who wrote it, then?"), (2, "今日は天気がとても良いです"), (3, "one two three four five six"), (4, "zebra"), (5, "...")], "item_id long, text string")
+    texts = [(1, "He asked: who wrote it then? Nobody knew."), (2, "who wrote then it"), (3, "彼は今日は天気がとても良いですと言った"), (4, "one two three four five six seven"), (5, "A Zebra."), (6, "今日は雨です"), (7, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = decontaminate.contained(docs, items, short=True).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_shared"]) for r in got} == {(1, 1, 1), (3, 2, 9), (4, 3, 2), (5, 4, 1)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [2, 6, 7]

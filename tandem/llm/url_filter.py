@@ -3,7 +3,7 @@
 Rules come first: the longest rule that fits a page decides.  Pages without one are judged by their host.  Hosts most
 of whose pages a rule allows (blocks) are trusted (blocked) seeds, weighted by their number of pages.  Trust is a
 personalised PageRank from the trusted seeds along the links; distrust is one from the blocked seeds against them,
-as whoever links to a bad host is suspect.  What a host without onward links holds goes nowhere.  A host whose share
+as whoever links to a bad host is suspect.  Both go on until they have settled and reach no new host.  What a host without onward links holds goes nowhere.  A host whose share
 of distrust in both is over `threshold` is blocked; all others, also those that nothing reaches, are allowed.
 
 Links are the absolute `href` and `src` addresses in a page's html; links within one host carry nothing.  They are
@@ -57,23 +57,31 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, every: int = 4) -> DataFrame:
-    """Personalised PageRank by kind: links (kind, src, dst, n), seeds (kind, host, mass) give (kind, host, mass)."""
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, every: int = 4) -> DataFrame:
+    """Personalised PageRank by kind: links (kind, src, dst, n), seeds (kind, host, mass) give (kind, host, mass).
+
+    Rounds go on until no host is newly reached and no mass has changed by more than `tolerance` of itself in the last
+    `every` rounds.
+    """
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     share = written(links.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")), "links")
     if share.isEmpty():
         return seeds
     own = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
     mass = seeds
-    for i in range(1, rounds + 1):
-        moved = share.join(mass, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("mass") * F.col("share")) * damping).alias("mass"))
-        mass = moved.unionByName(own).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % every == 0 or i == rounds:
-            mass = written(mass, "mass")
-    return mass
-
-
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, majority: float = 0.5, rounds: int = 12) -> DataFrame:
+    while True:
+        last = mass
+        for _ in range(every):
+            moved = share.join(mass, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("mass") * F.col("share")) * damping).alias("mass"))
+            mass = moved.unionByName(own).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        mass = written(mass, "mass")
+        both = mass.join(last.withColumnRenamed("mass", "last"), ["kind", "host"], "left")
+        change = F.abs(F.col("mass") - F.col("last")) / F.greatest("mass", F.lit(1e-300))
+        if (both.agg(F.max(F.coalesce(change, F.lit(1.0)))).first()[0] or 0) <= tolerance:
+            return mass
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, majority: float = 0.5, tolerance: float = 1e-6) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of each page."""
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     named = named.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
@@ -92,7 +100,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, thres
         F.struct(F.lit("allow").alias("kind"), "src", "dst", "n"),
         F.struct(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"),
     )).alias("x")).select("x.*")
-    mass = propagate(both, seeds, rounds=rounds)
+    mass = propagate(both, seeds, tolerance=tolerance)
     held = mass.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "allow", F.col("mass"))).alias("trust"),
         F.sum(F.when(F.col("kind") == "block", F.col("mass"))).alias("distrust"),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm import bitslice, decontaminate, packing
+from tandem.llm import bitslice, decontaminate, packing, url_filter
 from tandem.operators import retrieve
 
 
@@ -112,3 +112,20 @@ def test_containment_of_short_and_unspaced_items(spark):
     got = decontaminate.contained(docs, items, short=True).collect()
     assert {(r["doc_id"], r["item_id"], r["n_shared"]) for r in got} == {(1, 1, 1), (3, 2, 9), (4, 3, 2), (5, 4, 1)}
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [2, 6, 7]
+
+
+def test_distrust_reaches_hosts_far_from_a_seed(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">' for h in hosts)
+    hosts = [*[f"h{i}.io" for i in range(30)], "blocked.net"]
+    pages = [(i, f"http://{h}/", link(*hosts[i + 1 : i + 2])) for i, h in enumerate(hosts)]
+    pages += [(100, "http://c1.io/", link("c2.io", "blocked.net")), (101, "http://c2.io/", link("c1.io"))]  # a circle
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["verdict"] for r in rows} == {"block"}
+    at = {h: i for i, h in enumerate([*hosts, "c1.io", "c2.io"])}
+    back = np.zeros((len(at), len(at)))  # mass moves against the links, in equal shares
+    for a, b in [*zip(hosts, hosts[1:]), ("c1.io", "c2.io"), ("c1.io", "blocked.net"), ("c2.io", "c1.io")]:
+        back[at[a], at[b]] = 1
+    back /= np.maximum(back.sum(axis=0), 1)
+    want = np.linalg.solve(np.eye(len(at)) - 0.85 * back, 0.15 * (np.arange(len(at)) == at["blocked.net"]))
+    got = {r["host"]: r["distrust"] for r in rows}
+    assert all(abs(got[h] - want[i]) <= 1e-5 * want[i] for h, i in at.items())

@@ -25,11 +25,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-WORD = rf"[\p{{L}}\p{{N}}&&[{UNSPACED}]]|[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+"
+WORD = r"[\p{L}\p{N}]+"
+SPLIT_WORD = rf"[\p{{L}}\p{{N}}&&[{UNSPACED}]]|[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+"
+#: Below these characters both find the same; SPLIT_WORD takes longer.
+LATER = r"[\x{E00}-\x{10FFFF}]"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    text = F.lower(F.coalesce(text, F.lit("")))
+    found = [F.regexp_extract_all(text, F.lit(w), 0) for w in (SPLIT_WORD, WORD)]
+    return F.when(F.rlike(text, F.lit(LATER)), found[0]).otherwise(found[1])
 
 
 def _runs(array: Column, k: int, names: list[str]) -> Column:

@@ -6,17 +6,18 @@ m * m bands of 2 * half_rows rows cost 2 * m * half_rows minhashes only.  With t
 0.8 meets in no table with a chance of about 2e-6.
 
 Few of the pairs of half keys have to be formed: a table key can be shared only if both of its half keys are, so only
-half keys that hold more than one component are combined.  The rounds are:
+half keys that hold more than one component are combined.  The steps are:
 
 1. Documents with equal sets are one node.
-2. A few table keys (the first `diagonal` pairs i, i): each node is compared with one node of its tables.  Most near
-   copies become one component here, so large groups of copies cost one comparison for each copy.
-3. All table keys of half keys that hold more than one component.  In every table, the nodes outside the least
-   component are compared with a node of it.
-4. What is left: the nodes of tables that still hold more than one component.  Two sets of this similarity must share
-   one of the rarest fifth of their shingles, so such nodes meet again by these only, and pairs whose remaining
-   shingles can't reach the similarity fall out in the join.  After that every pair of a table is in one component,
-   compared, or shown to be too different, and no table's pairs were spelled out.
+2. A few table keys (`diagonal` pairs i, i; other pairs in later turns).  A table's lead is its node of the highest
+   degree, the number of nodes that it shares these keys with: most often the text that the others are copies of.  In a
+   turn, each node is compared with one lead of another component, so a turn costs one comparison for each node,
+   however large the tables are.  Turns go on while a fifth of those nodes finds a link and a tenth of all is left.
+3. The same turns over all table keys of half keys that hold more than one component, with up to `each` comparisons.
+4. What is left: the nodes of tables that still hold more than one component.  Of a similar pair, the set that isn't
+   larger shares one of the rarest ninth of its shingles with the rarest fifth of the other's, so such nodes meet again
+   by these only, and pairs whose remaining shingles can't reach the similarity fall out in the join.  After that every
+   pair of a table is in one component, compared, or shown to be too different, and no table's pairs were spelled out.
 
 Candidates are confirmed by the intersection of their sets of 64-bit shingle hashes; nodes are 64-bit hashes of sets
 (two different sets of a corpus of n agree with a chance of n * n / 2**65).  Links are joined by star rounds in Spark.
@@ -37,6 +38,9 @@ from pyspark.sql import functions as F
 from tandem.llm._common import BLANK_SEPARATED, batches, mix, release, row_starts, temporary, text_bytes, window_hashes, word_hashes, written
 from tandem.llm._graph import components
 
+#: Another turn of the same kind follows if so many of the nodes compared were linked and so many of all were not.
+LINKED, LEFT = 0.2, 0.1
+
 
 def _sets(col: pa.Array, k: int):
     """Row and hash of each distinct shingle, sorted by row and hash; where each row's begin; hash of each whole set."""
@@ -135,13 +139,32 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _meeting(rare: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a rare shingle and can be similar enough."""
+    """Distinct pairs (a, b) of different components that share a rare shingle and can be similar enough.
+
+    Of a similar pair the set that isn't larger shares one of its rarest n - ceil(2p / (1 + p) n) + 1 shingles, so only
+    those are looked up among the rare ones of the others; a shingle common enough to stand behind them meets nothing.
+    """
     several = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
     rare = rare.join(several, "shingle")
+    small = rare.where(f"place <= n - ceil(n * {2 * percent} / {100 + percent})")
     other = rare.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "place")])
-    can = f"(100 + {percent}) * least(n - place, n_b - place_b) >= {percent} * (n + n_b)"  # both sets from here on
-    met = rare.join(other, "shingle").where(f"node > node_b AND comp <> comp_b AND {can}")
-    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    can = f"100 * n >= {percent} * n_b AND (100 + {percent}) * least(n - place, n_b - place_b) >= {percent} * (n + n_b)"  # both sets from here on
+    met = small.join(other, "shingle").where(f"(n < n_b OR n = n_b AND node < node_b) AND comp <> comp_b AND {can}")
+    return met.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
+
+
+def _leads(rows: DataFrame, percent: int, turn: int, each: int = 1) -> DataFrame:
+    """At most `each` pairs (a, b) for each node that shares a table with a lead of another component.
+
+    A table's lead is its node of the highest degree.  Whose leads a node takes differs from turn to turn, except that
+    the one of the highest degree is always among them.
+    """
+    lead = F.max(F.struct("degree", "node", "comp", "n")).alias("lead")
+    tables = rows.groupBy("key").agg(lead, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lead")
+    can = f"comp <> lead.comp AND 100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
+    met = rows.join(tables, "key").where(can).select("node", F.col("lead.node").alias("lead"), F.pmod(F.xxhash64(F.lit(turn), "lead.node"), F.lit(each)).alias("draw"), "lead.degree")
+    chosen = met.groupBy("node", "draw").agg(F.max(F.struct("degree", "lead")).alias("x"))
+    return chosen.select(F.greatest("node", "x.lead").alias("a"), F.least("node", "x.lead").alias("b")).distinct()
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -169,63 +192,95 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int = 26, half_rows: int = 4, diagonal: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int = 26, half_rows: int = 4, diagonal: int = 8, each: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, node and component_id (the smallest doc_id that links lead to) of each document.
 
     Components of rows that share a doc_id may have the same component_id; `component` tells them apart (null without
     a set), and text_hash the rows.
     """
+    spark = docs.sparkSession
     signed = written(signatures(docs, shingle, m, half_rows), "signatures")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n_shingles", "a", "b")])
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c"), *[F.any_value(c).alias(c) for c in ("n_shingles", "a", "b")])
     nodes = written(nodes, "nodes")
+    state: dict[str, DataFrame] = {}
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        with temporary(docs.sparkSession):
-            return written(_confirm(pairs, docs, nodes, shingle, percent), "links", outlives=1)
-
-    # a few table keys
-    first = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(diagonal - 1)), lambda i: F.xxhash64(i, F.get("a", i), F.get("b", i)))).alias("key"))
-    leads = first.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = first.join(leads, "key").where("node <> lead").groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("b"))
-    checked = written(pairs, "checked")
-    links = confirm(checked)
-    roots = components(links)
-
-    # table keys of half keys that hold more than one component
     def labelled(df: DataFrame) -> DataFrame:
-        return df.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-
+        if "roots" not in state:
+            return df.withColumn("comp", F.col("node"))
+        return df.join(state["roots"], "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+    def compared(pairs: DataFrame) -> tuple[int, int]:
+        """Confirm `pairs` that have not been compared, and join what is linked: number of pairs and of links."""
+        if "checked" in state:
+            pairs = pairs.join(state["checked"], ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        n = pairs.count()
+        if not n:
+            return 0, 0
+        with temporary(spark):
+            links = written(_confirm(pairs, docs, nodes, shingle, percent), "links", outlives=1)
+        new = links.count()
+        state["checked"] = state["checked"].unionByName(pairs) if "checked" in state else pairs
+        state["links"] = state["links"].unionByName(links) if "links" in state else links
+        if new:
+            state["roots"] = components(state["links"])
+        return n, new
+
+    # a few table keys, in turns as long as they link
+    def few(turn: int):
+        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(diagonal - 1)), lambda i: F.xxhash64(i, F.get("a", i), F.get("b", (i + turn) % m)))).alias("key")
+
+    first = nodes.select("node", few(0))
+    degrees = first.join(first.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").groupBy("node").agg(F.sum("c").alias("degree"))
+    sized = nodes.select("node", F.col("n_shingles").alias("n"), "a", "b").join(written(degrees, "degrees"), "node", "left").na.fill(0, ["degree"])
+    sized = written(sized, "sized")
+    n_nodes = sized.count()
+    turn = 0
+    while True:
+        n, new = compared(_leads(labelled(sized.select("node", "n", "degree", few(turn))), percent, turn))
+        turn += 1
+        if not new or new < LINKED * n or n - new < LEFT * n_nodes:
+            break
+
+    # all table keys of half keys that hold more than one component, in turns as long as they link
     def side(s: int, column: str):
         return F.transform(column, lambda x, i: F.struct(F.lit(s).alias("side"), F.xxhash64(F.lit(s), i, x).alias("half")))
 
     sides = F.concat(side(0, "a"), side(1, "b"))
-    halves = labelled(nodes.select("node", "a", "b")).select("node", "comp", F.explode(sides).alias("h")).select("node", "comp", "h.*")
+    halves = labelled(sized).select("node", "n", "degree", "comp", F.explode(sides).alias("h")).select("node", "n", "degree", "comp", "h.*")
     several = halves.groupBy("half").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("half")
-    shared = halves.join(several, "half").groupBy("node").agg(*[F.collect_list(F.when(F.col("side") == s, F.col("half"))).alias(c) for s, c in enumerate("ab")])
+    shared = halves.join(several, "half").groupBy("node", "n", "degree").agg(*[F.collect_list(F.when(F.col("side") == s, F.col("half"))).alias(c) for s, c in enumerate("ab")])
     tensor = F.flatten(F.transform("a", lambda x: F.transform(F.col("b"), lambda y: F.xxhash64(x, y))))
-    keys = written(shared.where("size(a) > 0 AND size(b) > 0").select("node", F.explode(tensor).alias("key")), "keys")
-    rows = labelled(keys)
-    tables = rows.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lead"), F.max("comp").alias("hi")).where("lead.comp <> hi")
-    new = rows.join(tables, "key").where("comp <> lead.comp").select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b"))
-    new = written(new.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-    if not new.isEmpty():
-        checked = checked.unionByName(new)
-        links = links.unionByName(confirm(new))
-        roots = components(links)
+    keys = written(shared.where("size(a) > 0 AND size(b) > 0").select("node", "n", "degree", F.explode(tensor).alias("key")), "keys")
+    while True:
+        n, new = compared(_leads(labelled(keys), percent, turn, each))
+        turn += 1
+        if not new or new < LINKED * n / each or n / each - new < LEFT * n_nodes:
+            break
 
     # nodes of tables that still hold more than one component meet by their rarest shingles
     rows = labelled(keys)
     tables = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = written(rows.join(tables, "key").select("node", "comp").distinct(), "rest")
+    rest = written(rows.join(tables, "key", "left_semi").select("node", "comp").distinct(), "rest")
     if not rest.isEmpty():
-        with temporary(docs.sparkSession):
+        with temporary(spark):
             rare = _rarest(_sets_of(rest.select("node"), docs, nodes, shingle), percent)
-            met = _meeting(written(rare.join(rest, "node"), "rare"), percent)
-            met = written(met.join(checked, ["a", "b"], "left_anti"), "pairs", outlives=1)
-        if not met.isEmpty():
-            roots = components(links.unionByName(confirm(met)))
-
-    comps = labelled(nodes.select("node", "doc_id")).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = labelled(nodes.select("node")).join(comps, "comp").select("node", "component_id", F.col("comp").alias("component"))
-    out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), "component", "text_hash")
+            met = written(_meeting(written(rare.join(rest, "node"), "rare"), percent), "met", outlives=1)
+        compared(met)
+
+    # the component of each node that several rows have or that is linked; any other row is one by itself
+    near = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    least = nodes.select("node", "c", F.col("doc_id").alias("least"))
+    if "roots" in state:
+        members = state["roots"].unionByName(state["roots"].select(F.col("root").alias("node"), "root").distinct())
+        members = written(members.join(least, "node"), "members")
+        comps = written(members.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+        members = members.join(near(comps), "root").select("node", "root", "component_id")
+        least = least.join(members, "node", "left").where("c > 1 OR root IS NOT NULL")
+        named = least.select("node", F.coalesce("root", "node").alias("component"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    else:
+        named = least.where("c > 1").select("node", F.col("node").alias("component"), F.col("least").alias("component_id"))
+    named = written(named.withColumn("named", F.lit(True)), "named")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(near(named), "node", "left")
+    component_id = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", "node", F.coalesce(component_id, "doc_id").alias("component_id"), F.coalesce("component", "node").alias("component"), "text_hash")

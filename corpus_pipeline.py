@@ -8,7 +8,7 @@ handled as the operators say.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm._common import temporary, written
@@ -24,10 +24,21 @@ PASSAGE = 50
 BROADCAST_IDS = 1_000_000
 
 
+def _as_row(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as one struct, `_others`: a stage's own columns clash with none of them."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("_others"))
+
+
+def _restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """`columns` from what `_as_row` made, of which `new` are replaced."""
+    old = {c: F.col(c) if c in ("doc_id", "text") else F.col("_others").getField(c) for c in columns}
+    return df.select(*[new.get(c, old[c]).alias(c) for c in columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling selects."""
-    chosen = select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=docs.columns)
-    return chosen.where("selected").select(*docs.columns)
+    """Documents that importance resampling selects; equal rows all stay or all go."""
+    chosen = select(_as_row(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id", "text", "_others"])
+    return _restored(chosen.where("selected"), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +47,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged by id and text, so others with the id of a copy stay, and of rows that repeat both one stays.
     Documents without words are copies of nothing; all of them stay.
     """
-    row = ["_id", "_hash"]
+    row, columns, docs = ["_id", "_hash"], docs.columns, _as_row(docs)
     with temporary(spark):
         found = near_duplicates(docs, shingle=5, percent=80).where("component IS NOT NULL")
         rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.any_value("component").alias("component"), F.count("*").alias("n"))
@@ -49,16 +60,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     near = (lambda df: F.broadcast(df)) if judged.count() <= BROADCAST_IDS else (lambda df: df)
     single = docs.join(near(judged), is_row, "left_anti")
     repeated = docs.join(near(judged.where("NOT gone")), is_row).dropDuplicates(row)
-    return single.unionByName(repeated.select(*docs.columns))
+    return _restored(single.unionByName(repeated.select(*docs.columns)), columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur earlier; those of which nothing stays go."""
-    cut_docs = remove_repeats(docs, k=PASSAGE).where("n_removed = 0 OR n_removed < n_words")
+    """Documents without the passages that occur earlier; those of which nothing stays go. n_chars, if there, is that of the new text."""
+    cut_docs = remove_repeats(_as_row(docs), k=PASSAGE).where("n_removed = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text"))
-    new = {"text": text, "n_chars": n_chars.cast(docs.schema["n_chars"].dataType)}
-    return cut_docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("n_removed") == 0, F.col("_others.n_chars")).otherwise(F.length("kept_text"))
+        new["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
+    return _restored(cut_docs, docs.columns, **new)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

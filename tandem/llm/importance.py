@@ -12,7 +12,7 @@ scores of the labelled sample and histograms of fixed size.
 
 Words are runs of letters, digits and non-ASCII characters, or runs of punctuation; A-Z are lower-cased.  Null or empty
 text scores 0.  Documents that tie with the last one selected are selected too, and repeated rows get equal keys.
-Without labels of both kinds the threshold is 0.  An empty table gives no rows.
+Without labels of both kinds the threshold is 0.  An empty table gives no rows.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tandem.llm._common import WORD_PUNCT, batches, text_bytes, window_hashes, word_hashes, written
 
@@ -70,9 +71,10 @@ def fit(docs: DataFrame, buckets: int = 10_000, smooth: float = 1.0) -> np.ndarr
     return share(target) - share(raw)
 
 
-def scored(docs: DataFrame, ratio: np.ndarray, keep: list[str]) -> DataFrame:
-    """`keep`, n_grams and log_ratio of each document."""
+def scored(docs: DataFrame, ratio: np.ndarray, texts: bool = False) -> DataFrame:
+    """The columns of `docs`, `text` only if asked for, n_grams and log_ratio of each document."""
     buckets = len(ratio)
+    keep = [c for c in docs.columns if texts or c != "text"]
 
     def score(frames):
         for b in batches(frames, HELD):
@@ -81,9 +83,8 @@ def scored(docs: DataFrame, ratio: np.ndarray, keep: list[str]) -> DataFrame:
             n = np.bincount(row, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(total, pa.float64())], [*keep, "n_grams", "log_ratio"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    taken = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    return taken.mapInArrow(score, ", ".join([*kinds, "n_grams long, log_ratio double"]))
+    new = [StructField("n_grams", LongType()), StructField("log_ratio", DoubleType())]
+    return docs.mapInArrow(score, StructType([*(docs.schema[c] for c in keep), *new]))
 
 
 def threshold(scores: np.ndarray, good: np.ndarray, care: float = 4.0) -> float:
@@ -125,13 +126,17 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
 
 
 def select(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, buckets: int = 10_000, sample: int = 20_000, seed: int = 1) -> DataFrame:
-    """`keep` (default: doc_id), n_grams, log_ratio, key (ratio and Gumbel variate) and selected of each document."""
-    keep = keep or ["doc_id"]
-    marked = labelled(docs, labels, sample)
+    """`keep` (default: doc_id), n_grams, log_ratio, key (ratio and Gumbel variate) and selected of each document.
+
+    The new columns replace those of `keep` that have the same name.
+    """
+    keep = [c for c in keep or ["doc_id"] if c not in NEW]
+    u = F.xxhash64("doc_id", "text", F.lit(seed)).alias("_u")
+    others = F.struct(F.lit(0).alias("_"), *[c for c in keep if c != "text"]).alias("_row")  # whatever their names
+    marked = labelled(docs.select("doc_id", "text", u, others), labels, sample)
     ratio = fit(marked, buckets)
-    hashed = marked.withColumn("_u", F.xxhash64("doc_id", "text", F.lit(seed)))
     wide = "text" in keep  # texts aren't stored a second time: they are scored again
-    table = written(scored(hashed, ratio, ["_role", "_u"] if wide else [*keep, "_role", "_u"]), "scores")
+    table = written(scored(marked.select("text", "_role", "_u", *([] if wide else ["_row"])), ratio), "scores")
     rows = table.where("_role >= 2").select("log_ratio", "_role").collect()  # at most `sample` labels
     least = threshold(np.array([r[0] for r in rows]), np.array([r[1] == 3 for r in rows], bool))
     uniform = (F.pmod("_u", F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -141,5 +146,9 @@ def select(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, bu
     last = kth_largest(keyed, "key", k)
     chosen = F.col("key") >= last if last is not None else F.lit(False)
     if wide:
-        keyed = scored(hashed, ratio, [*keep, "_u"]).withColumn("key", key)
-    return keyed.select(*keep, "n_grams", "log_ratio", "key", chosen.alias("selected"))
+        keyed = scored(marked.select("text", "_u", "_row"), ratio, texts=True).withColumn("key", key)
+    return keyed.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in keep], "n_grams", "log_ratio", "key", chosen.alias("selected"))
+
+
+#: Columns that `select` adds.
+NEW = ("n_grams", "log_ratio", "key", "selected")

@@ -1,10 +1,11 @@
 """Substring dedup: remove words of passages of k words that start earlier elsewhere, with a count-min prefilter.
 
-1. Each task hashes the windows of its documents into cells and emits its part of a count-min sketch: the cells it
-   has counted, once or more often, cut by shard of the cell range and by chunk (a hash of the document).  A shard's
-   parts are merged by adding; counts are never too small, so a window that repeats is never missed.  The reply to a
-   chunk lists those of its cells that were counted twice or more.  The number of cells grows with the input (`cells`
-   for each window), a shard's memory does not.
+1. Each task hashes the windows of its documents into cells and emits its part of a count-min sketch, cut by shard of
+   the cell range: the cells it has counted, once or more often, each with the chunk (a hash of the document) that it
+   is from.  A shard's parts are merged by adding; counts are never too small, so a window that repeats is never missed.
+   The reply to a chunk lists those of its cells that were counted twice or more.  The number of cells grows with the
+   input (`cells` for each window), a shard's memory does not.  A row holds all that a task (a shard) has for a shard
+   (a chunk), so there are at most as many rows as windows (listed windows), and far fewer unless the input is huge.
 2. Each chunk meets its reply.  Windows whose cell is listed are sent on, each distinct one once for each chunk, with
    the first document of the chunk that has it.  They are grouped exactly (96 bits of hash), and the reply says which
    of them start earlier in another chunk.
@@ -29,10 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tandem.llm._common import BLANK_SEPARATED, batches, release, row_starts, text_bytes, window_hashes, word_hashes, written
 
-SHARD = 1 << 24  # cells of a shard
+SHARD = 1 << 26  # cells of a shard
 FLUSH = 2_000_000  # windows that a task holds before it emits their cells
 HASHED = 1_000_000  # bytes of text whose words are held at once
 NO_ID = -(2**63)
@@ -48,17 +50,34 @@ def _windows(col: pa.Array, k: int):
     return row[own], own - starts[row[own]], h1[own], h2[own], np.diff(starts)
 
 
-def _packed(cells: np.ndarray, often: np.ndarray | None = None) -> bytes:
-    """Sorted 24-bit cells by byte planes, and a bit for each."""
-    x = cells.astype("<u4").view(np.uint8).reshape(-1, 4)
-    planes = b"".join(x[:, i].tobytes() for i in (2, 1, 0))
-    return zlib.compress(planes + (np.packbits(often).tobytes() if often is not None else b""), 1)
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte."""
+    x = x.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return b"".join(x[:, i].tobytes() for i in (3, 2, 1, 0))
 
 
-def _unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _numbers(x: np.ndarray, n: int) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(4, n)[::-1].T).view("<u4").ravel()
+
+
+def _packed(cells: np.ndarray, chunks: np.ndarray | None = None, often: np.ndarray | None = None) -> bytes:
+    """Cells in order, and a chunk and a bit for each."""
+    data = _planes(np.diff(cells.astype(np.int64), prepend=0))
+    if chunks is not None:
+        data += _planes(chunks) + np.packbits(often).tobytes()
+    return zlib.compress(data, 1)
+
+
+def _unpacked(data: bytes, n: int, cells_only: bool = True):
     x = np.frombuffer(zlib.decompress(data), np.uint8)
-    cells = x[:n].astype(np.uint32) << 16 | x[n : 2 * n].astype(np.uint32) << 8 | x[2 * n : 3 * n]
-    return cells, np.unpackbits(x[3 * n :])[:n].astype(bool)
+    cells = np.cumsum(_numbers(x[: 4 * n], n), dtype=np.int64)
+    return cells if cells_only else (cells, _numbers(x[4 * n : 8 * n], n).astype(np.int64), np.unpackbits(x[8 * n :])[:n])
+
+
+def _cuts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, int)
+    return cut, np.append(cut[1:], len(x)) if len(cut) else cut
 
 
 def _rows(schema_names, kinds, rows) -> pa.RecordBatch:
@@ -66,9 +85,10 @@ def _rows(schema_names, kinds, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], schema_names)
 
 
-_SKETCH = ["chunk", "shard", "n", "cells"]
-_SKETCH_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_SKETCH = ["shard", "n", "cells"]
+_SKETCH_KINDS = [pa.int64(), pa.int64(), pa.binary()]
 _SENT = ["bucket", "chunk", "n", "data"]
+_SENT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 _REPLY = ["chunk", "kind", "part", "n", "data"]
 _REPLY_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 _REPLY_SCHEMA = "chunk long, kind string, part long, n long, data binary"
@@ -76,40 +96,31 @@ _REPLY_SCHEMA = "chunk long, kind string, part long, n long, data binary"
 
 def _sketch(total: int, chunks: int, k: int):
     """Task side of the sketch: batches of (_chunk, text) to its parts."""
-    shards = total // SHARD
-    one_key = chunks * total < 1 << 63  # chunk, shard and cell then sort as one number, in place
-
-    def ordered(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Chunk with shard, and cell, of each distinct pair in order, and whether it occurs more than once."""
-        if one_key:
-            keys = np.concatenate(held)
-            held.clear()
-            keys.sort()
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            often = np.diff(first, append=len(keys)) > 1
-            keys = keys[first]
-            return keys // SHARD, (keys % SHARD).astype(np.uint32), often
-        group, cells = (np.concatenate(x) for x in zip(*held, strict=True))
+
+    def ordered(held: list):
+        """Cell and chunk of each distinct pair in order, and whether it occurs more than once."""
+        cells, own = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((cells, group))
-        group, cells = group[order], cells[order]
-        first = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (group[1:] != group[:-1]))))
-        return group[first], cells[first], np.diff(first, append=len(cells)) > 1
+        if total * chunks < 1 << 63:  # both then sort as one number, in place
+            keys = cells * chunks + own
+            keys.sort()
+            first, end = _cuts(keys)
+            return keys[first] // chunks, keys[first] % chunks, end - first > 1
+        order = np.lexsort((own, cells))
+        cells, own = cells[order], own[order]
+        first = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (own[1:] != own[:-1]))))
+        return cells[first], own[first], np.diff(first, append=len(cells)) > 1
 
     def emit(held: list):
-        group, cells, often = ordered(held)
-        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        rows = []
-        for s, e in zip(cut, np.append(cut[1:], len(cells)), strict=True):
-            rows.append((int(group[s]) // shards, int(group[s]) % shards, int(e - s), _packed(cells[s:e], often[s:e])))
+        cells, own, often = ordered(held)
+        rows = [(int(cells[s]) // SHARD, int(e - s), _packed(cells[s:e] % SHARD, own[s:e], often[s:e])) for s, e in zip(*_cuts(cells // SHARD), strict=True)]
         return _rows(_SKETCH, _SKETCH_KINDS, rows)
 
     def sketch(frames):
         held, n = [], 0
         for b in batches(frames, HASHED):
             row, _, h1, _, _ = _windows(b.column("text"), k)
-            own, cell = b.column("_chunk").to_numpy()[row], (h1 % np.uint64(total)).astype(np.int64)
-            held.append(own * total + cell if one_key else (own * shards + cell // SHARD, (cell % SHARD).astype(np.uint32)))
+            held.append(((h1 % np.uint64(total)).astype(np.int64), b.column("_chunk").to_numpy()[row]))
             n += len(row)
             if n >= FLUSH:
                 yield emit(held)
@@ -125,15 +136,16 @@ def _sketch(total: int, chunks: int, k: int):
 def _merge(table: pa.Table) -> pa.Table:
     """Add the parts of one shard; reply to each chunk with its cells that were counted twice or more."""
     counts = np.zeros(SHARD, np.uint8)
-    parts = [_unpacked(d, n) for d, n in zip(table.column("cells").to_pylist(), table.column("n").to_pylist(), strict=True)]
-    for cells, often in parts:
-        counts[cells] = np.minimum(2, counts[cells] + 1 + often)
+    cells, chunks, often = (np.concatenate(x) for x in zip(*(_unpacked(d, n, False) for d, n in zip(table.column("cells").to_pylist(), table.column("n").to_pylist(), strict=True)), strict=True))
+    for at in range(0, len(cells), 1 << 20):
+        own, n = np.unique(cells[at : at + (1 << 20)], return_counts=True)
+        counts[own] = np.minimum(2, counts[own] + np.minimum(n, 2))
+    counts[cells[often > 0]] = 2
+    hot = counts[cells] >= 2
+    keys = np.unique(chunks[hot] * SHARD + cells[hot])
+    chunks, cells = keys // SHARD, keys % SHARD
     shard = table.column("shard")[0].as_py()
-    rows = []
-    for chunk, (cells, _) in zip(table.column("chunk").to_pylist(), parts, strict=True):
-        hot = cells[counts[cells] >= 2]
-        if len(hot):
-            rows.append((chunk, "cells", shard, len(hot), _packed(hot)))
+    rows = [(int(chunks[s]), "cells", shard, int(e - s), _packed(cells[s:e])) for s, e in zip(*_cuts(chunks), strict=True)]
     release()
     return pa.Table.from_batches([_rows(_REPLY, _REPLY_KINDS, rows)])
 
@@ -144,8 +156,8 @@ class _Chunk:
     def __init__(self, docs: pa.Table, replies: pa.Table, total: int, k: int, buckets: int):
         kinds = replies.column("kind").to_pylist()
         rows = list(zip(kinds, *(replies.column(c).to_pylist() for c in ("part", "n", "data")), strict=True))
-        hot = [_unpacked(d, n)[0].astype(np.int64) + part * SHARD for kind, part, n, d in rows if kind == "cells"]
-        hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.int64)
+        hot = [_unpacked(d, n) + part * SHARD for part, n, d in sorted(r[1:] for r in rows if r[0] == "cells")]
+        hot = np.concatenate(hot) if hot else np.zeros(0, np.int64)
         copies = {np.frombuffer(d, "<i8").tobytes() for kind, _, _, d in rows if kind == "copy"}
         self.bits = {part: np.unpackbits(np.frombuffer(d, np.uint8))[:n].astype(bool) for kind, part, n, d in rows if kind == "later"}
 
@@ -192,13 +204,9 @@ class _Chunk:
 
     def parts(self):
         """Bucket and positions of what is sent to it."""
-        for s, e in zip(*self._cuts(), strict=True):
+        for s, e in zip(*_cuts(self.bucket), strict=True):
             yield int(self.bucket[s]), self.sent[s:e]
 
-    def _cuts(self):
-        cut = np.flatnonzero(np.concatenate(([True], self.bucket[1:] != self.bucket[:-1]))) if len(self.bucket) else np.zeros(0, int)
-        return cut, np.append(cut[1:], len(self.bucket)) if len(cut) else cut
-
 
 def _group(table: pa.Table) -> pa.Table:
     """Exact groups of one bucket; reply which of the sent windows start earlier in another chunk."""
@@ -219,7 +227,7 @@ def _group(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(_REPLY, _REPLY_KINDS, rows)])
 
 
-def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: int = 16 << 20, broadcast_rows: int = 1_000_000) -> DataFrame:
     """`docs` with n_words, n_removed and kept_text, the words that stay joined by one space."""
     spark = docs.sparkSession
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -231,12 +239,14 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tie"), "text", others)
     keyed = keyed.withColumn("_chunk", F.pmod(F.xxhash64("_id", "_tie"), F.lit(chunks)))
 
-    parts = keyed.select("_chunk", "text").mapInArrow(_sketch(total, chunks, k), "chunk long, shard long, n long, cells binary")
+    parts = keyed.select("_chunk", "text").mapInArrow(_sketch(total, chunks, k), "shard long, n long, cells binary")
     hot = parts.groupBy("shard").applyInArrow(_merge, _REPLY_SCHEMA)
 
     marks = keyed.where(F.octet_length("text") > 0).select("_chunk", "_id", "_tie", F.xxhash64(F.reverse("text")).alias("_tie2"))
     firsts = marks.groupBy("_tie", "_tie2").agg(F.min("_id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    later = marks.join(firsts, ["_tie", "_tie2"]).where(F.col("_id") > F.col("first"))
+    firsts = written(firsts, "copies")  # an aggregate apart from the join, whose hot keys can then be split
+    near = F.broadcast(firsts) if firsts.count() <= broadcast_rows else firsts
+    later = marks.join(near, ["_tie", "_tie2"]).where(F.col("_id") > F.col("first"))
     as_bytes = lambda c: F.reverse(F.unhex(F.lpad(F.hex(c), 16, "0")))  # noqa: E731  little-endian
     copies = later.select(
         F.col("_chunk").alias("chunk"), F.lit("copy").alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("n"),
@@ -250,7 +260,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
         for bucket, own in c.parts():
             data = b"".join(x.tobytes() for x in (c.h1[own], c.ids[c.row[own]], c.ties[c.row[own]], c.h2[own]))
             rows.append((bucket, chunk, len(own), zlib.compress(data, 1)))
-        return pa.Table.from_batches([_rows(_SENT, _SKETCH_KINDS, rows)])
+        return pa.Table.from_batches([_rows(_SENT, _SENT_KINDS, rows)])
 
     text = keyed.select("_chunk", "_id", "_tie", "text").groupBy("_chunk")
     sent = text.cogroup(known.groupBy("chunk")).applyInArrow(send, "bucket long, chunk long, n long, data binary")
@@ -292,7 +302,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
             out = out.append_column(name, x)
         return out
 
-    schema = f"text string, _row {keyed.schema['_row'].dataType.simpleString()}, n_words long, n_removed long, kept_text string"
+    schema = StructType([StructField("text", StringType()), keyed.schema["_row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
     out = keyed.groupBy("_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, schema)
     new = ("n_words", "n_removed", "kept_text")  # these replace columns of the same name
     return out.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in new], *new)

@@ -94,8 +94,17 @@ def test_near_duplicates(spark, texts):
         for _ in range(max(1, len(w) * rng.randint(1, 14) // 100)):
             w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
         rows[1000 + i] = " ".join(w)
+    for i in range(60):  # a group of copies of a copy, of which not all are similar to each other
+        w = (texts[7] or "").split()
+        for j in range(i // 6):
+            w[j * 7 % len(w)] = f"v{j}"
+        rows[2000 + i] = " ".join([*w, *["tail"] * (i % 6)])
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()} == linked(rows, 2, 80)
+    got = near_dedup.near_duplicates(df).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == linked(rows, 2, 80)
+    w = {i: WORDS.findall(lower(t)) for i, t in rows.items()}
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len({tuple(x[p : p + 2]) for p in range(max(1, len(x) - 1))}) if x else 0 for i, x in w.items()}
+    assert {r["doc_id"] for r in got if r["doc_id"] == r["component_id"]} == {i for i, r in linked(rows, 2, 80).items() if i == r}
 
 
 def test_near_duplicates_awkward(awkward, empty):
@@ -117,6 +126,15 @@ def test_containment(spark, documents, texts):
     assert got == want
 
 
+def test_containment_short_items(spark):
+    texts = [(1, "say what is this now"), (2, "what, is THIS"), (3, "what is the this"), (4, "漢字かな x"), (5, None), (6, "a " * 50 + "one two"), (6, "one two")]
+    items = [(1, "What is this"), (2, "かな"), (3, "two"), (4, ""), (5, "one two three four five"), (6, "字 か")]
+    docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, items, short=True).collect())
+    assert got == [(1, 1), (2, 1), (4, 2), (4, 6), (6, 3), (6, 3)]
+    assert got == sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, items, short=True, broadcast_rows=0).collect())
+
+
 def test_containment_awkward(spark, awkward, empty):
     items = spark.createDataFrame([(1, None), (2, "a b"), (3, "a b c d e f a b c d")], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contained(awkward, items).collect()] == [(4, 3)]
@@ -131,7 +149,6 @@ def test_packing(spark, documents, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     want = set()
     for i, t in texts.items():
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -149,6 +166,24 @@ def test_packing(spark, documents, texts):
     assert len(bins) <= -(-sum(r["length"] for r in rows) // 2048) * 1.02 + 1
 
 
+@pytest.mark.parametrize(("name", "byte_level"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder(name, byte_level, texts):
+    from tokenizers import Tokenizer
+
+    from tandem.llm._tokens import Encoder
+
+    path = public_tokenizers.path(name)
+    rng = random.Random(2)
+    odd = ["hello <|endoftext|> world", "x<|startoftext|>y", "a<|ENDOFTEXT|>", "don't we'll 'S it''s", "  a  b\n\nc\t", "a" * 5000, "é1²3 x-y_z", "漢字 Ünï", " ", "", "!'s x's", "\u00a0a\u200b"]
+    odd += ["".join(rng.choices(" abZé.,'\n0<|>", k=rng.randint(1, 40))) for _ in range(2000)]
+    rows = [*odd, *[t or "" for t in texts.values()]]
+    tok, own = Tokenizer.from_file(path), Encoder(path, byte_level)
+    assert own.encode(rows) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(rows, add_special_tokens=False)]
+    tok.encode_special_tokens = True
+    own = Encoder(path, byte_level, special_as_text=True)
+    assert own.encode(odd) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(odd, add_special_tokens=False)]
+
+
 def test_packing_awkward(awkward, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(packing.cut(awkward, path, capacity=16), capacity=16).collect()
@@ -162,7 +197,6 @@ def test_token_files(spark, tmp_path, documents, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     start, want = 0, []
     for i, t in sorted(texts.items()):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -251,6 +285,43 @@ def test_urls(spark):
     assert len(rows) == len(pages)
 
 
+CLASH = "doc_id long, text string, lang string, n_grams string, log_ratio string, selected string, _u string, _role string, key string, _row string, _others string, n_words string, n_removed string, kept_text string, _id string, _hash string, component string, _doc string, piece string"
+LONG = " ".join(f"q{i % 977} r{i}" for i in range(200_000))
+
+
+@pytest.mark.parametrize("name", ["quality", "near_copies", "repeated_passages", "benchmark_leaks", "packing"])
+def test_pipeline_awkward(spark, empty, name):
+    """Nulls, empty and very long texts, shared ids, equal rows, clashing columns, an empty table: each stage by itself."""
+    import corpus_pipeline
+
+    stage = getattr(corpus_pipeline, name)
+    base = " ".join(f"w{i}" for i in range(120))
+    near = base.replace("w60 ", "v60 ")
+    rows = [(1, base), (5, near), (5, "quite another text of its own"), (7, "b c"), (7, "b c"), (None, near + " x"), (None, None), (8, ""), (9, None), (10, " \n"), (11, LONG)]
+    columns = [c.split()[0] for c in CLASH.split(", ")]
+    df = spark.createDataFrame([(i, t, "en", *[f"{c}{n}" for c in columns[3:]]) for n, (i, t) in enumerate(rows)], CLASH)
+    out = stage(spark, df, DATA)
+    if name == "packing":
+        assert stage(spark, empty, DATA).count() == 0
+        assert out.where("piece = 0").count() == len(rows)
+        return
+    assert out.columns == df.columns
+    assert stage(spark, empty, DATA).columns == empty.columns
+    assert stage(spark, empty, DATA).count() == 0
+    got = out.collect()
+    assert all(r["n_words"][7:] == r["_doc"][4:] for r in got)  # other columns stay with their row
+    left = sorted(((r["doc_id"], r["text"]) for r in got), key=str)
+    if name == "near_copies":
+        want = [r for r in rows if r not in ((5, near), (None, near + " x"))]
+        want.remove((7, "b c"))
+        assert left == sorted(want, key=str)
+    if name == "repeated_passages":
+        want = [(None, near + " x"), (1, "w60"), (5, "quite another text of its own"), *[r for r in rows if r[0] != 1 and r[0] != 5 and r[1] != near + " x"]]
+        assert left == sorted(want, key=str)
+    if name == "benchmark_leaks":
+        assert left == sorted(rows, key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

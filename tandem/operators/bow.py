@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.operators._shared import written
+
 
 def bow(tokens: DataFrame, item: str = "doc_id", token: str = "token") -> DataFrame:
     return tokens.groupBy(F.col(item).alias("item_id"), F.col(token).alias("feature")).agg(F.count("*").cast("double").alias("value"))
@@ -16,11 +18,13 @@ def build_vocab(cells: DataFrame) -> DataFrame:
 
 
 def with_ids(df: DataFrame, order: list[str], name: str = "feature", base: int = 0) -> DataFrame:
-    """Dense ids in the given order without one task that sees all rows: range parts, their counts, local ranks."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    parts = parts.sortWithinPartitions(*order)
+    """Dense ids in the given order without one task that sees all rows: range parts, their counts, local ranks.
+
+    The parts are written once: counts and ranks have to come from the same cuts, which Spark draws from a sample.
+    """
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "parts")
     local = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return local.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_rank") - 1 + base).cast("long")).drop("_part", "_rank", "_start")

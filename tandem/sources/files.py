@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _file_order():
+    """Where a line stands: its file, the part of the file that a task reads, and the order in that task."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at"))
+
+
 def read_vtext(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = ("form", "lemma", "tag"), delimiter: str = "\t") -> DataFrame:
     """Vertical text, one token a line, a blank line after each sentence: doc_name, sent_no, tok_no and the columns.
 
-    A file is one row, as its order must be kept; files may be gzipped.  Two blank lines in a row make an empty
+    A file is one row, as its order must be kept, so a file has to fit a task (Spark fails over 2 GB); they may be gzipped.  Two blank lines in a row make an empty
     sentence that still counts.
     """
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("doc_name"), "value")
@@ -56,9 +61,9 @@ def backward_links(links: DataFrame) -> DataFrame:
 
 def read_word_vectors(spark: SparkSession, path: str, lowercase: bool = False) -> DataFrame:
     """word and vec of a word2vec text file; the header's row count is checked, a repeated word's last row wins."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", _file_order().alias("_at"))
     parts = F.split(F.trim("value"), " ")
-    header = lines.where(F.size(parts) == 2).orderBy("_at").limit(1).select(F.get(parts, 0).cast("long").alias("size"), F.get(parts, 1).cast("int").alias("dim")).first()
+    header = lines.where(F.size(parts) == 2).agg(F.min_by("value", "_at").alias("value")).select(F.get(parts, 0).cast("long").alias("size"), F.get(parts, 1).cast("int").alias("dim")).first()
     rows = lines.where(F.size(parts) == header["dim"] + 1).select("_at", F.get(parts, 0).alias("word"), F.transform(F.slice(parts, 2, header["dim"]), lambda x: x.cast("double")).alias("vec"))
     if rows.count() != header["size"]:
         raise ValueError("the number of rows differs from the header's")
@@ -141,8 +146,8 @@ def materialize(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
 
 def read_mm(spark: SparkSession, path: str) -> DataFrame:
     """cells of a MatrixMarket coordinate file, ids from 0; the size line, which may be blank, is left out."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("%")).withColumn("_at", F.monotonically_increasing_id())
-    first = lines.orderBy("_at").limit(1).select("_at").first()
+    lines = spark.read.text(path).select("value", _file_order().alias("_at")).where(~F.col("value").startswith("%"))
+    first = lines.agg(F.min("_at").alias("_first"))  # one row
     parts = F.split(F.trim("value"), r"\s+")
-    rows = lines.where((F.size(parts) == 3) & (F.col("_at") != (first[0] if first else -1)))
+    rows = lines.join(F.broadcast(first)).where((F.size(parts) == 3) & (F.col("_at") != F.col("_first")))
     return rows.select((F.get(parts, 0).cast("long") - 1).alias("item_id"), (F.get(parts, 1).cast("long") - 1).alias("feature"), F.get(parts, 2).cast("double").alias("value"))

@@ -77,13 +77,17 @@ def f_score(p: Column, t: Column, w_prec: float = 1.0, w_rec: float = 1.0) -> Co
 
 
 def kappa(a: Column, b: Column, length: int = 12, variant: str = "reference") -> Column:
-    """Agreement over chance of two choices out of `length`; the variants divide agreement by 2 * length or length."""
-    both = F.size(F.array_intersect(a, b))
-    neither = length - F.size(F.array_union(a, b))
-    observed = (both + neither) / (2 * length if variant == "reference" else length)
-    pa, pb = F.size(F.array_distinct(a)) / length, F.size(F.array_distinct(b)) / length
-    chance = pa * pb + (1 - pa) * (1 - pb)
-    return F.when(chance == 1, 1.0).otherwise((observed - chance) / (1 - chance))
+    """Agreement over chance of two choices out of `length`.
+
+    cohen: repeated marks count once, and certain agreement is 1.  reference: repeated marks count, agreement is
+    divided by 2 * length, and the value is 0 where chance is certain.
+    """
+    own = variant == "reference"
+    x, y = (F.size(c if own else F.array_distinct(c)) for c in (a, b))
+    both = _hits(b, a) if own else F.size(F.array_intersect(a, b))
+    observed = (both + length - (x + y - both)) / (2 * length if own else length)
+    chance = (x / length) * (y / length) + (1 - x / length) * (1 - y / length)
+    return F.when(chance == 1, 0.0 if own else 1.0).otherwise((observed - chance) / (1 - chance))
 
 
 def mutual_precision(a: Column, b: Column) -> Column:

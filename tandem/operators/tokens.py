@@ -56,11 +56,10 @@ def words_from(tokens: DataFrame, prefix: DataFrame, column: str = "token") -> D
 
 
 def min_doc_freq(tokens: DataFrame, n: int, column: str = "token") -> DataFrame:
-    """Drop words with under n occurrences in the document, unless that would empty it."""
-    counts = tokens.groupBy("doc_id", column).agg(F.count("*").alias("_n"))
-    most = counts.groupBy("doc_id").agg(F.max("_n").alias("_most"))
-    keep = counts.join(most, "doc_id").where((F.col("_n") >= n) | (F.col("_most") < n)).select("doc_id", column)
-    return tokens.join(keep, ["doc_id", column], "left_semi")
+    """Drop words with under n occurrences in the document, unless that would empty it; one shuffle, by document."""
+    own = tokens.repartition("doc_id").withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", column)))
+    own = own.withColumn("_most", F.max("_n").over(Window.partitionBy("doc_id")))
+    return own.where((F.col("_n") >= n) | (F.col("_most") < n)).drop("_n", "_most")
 
 
 def tfidf_token_filter(tokens: DataFrame, weights: DataFrame, add: float = 0.05, column: str = "token") -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries of the library and their SQL."""
 
-from tandem.plans import queries_corpus, queries_numeric, queries_relations  # noqa: F401
+from tandem.plans import queries_corpus, queries_files, queries_numeric, queries_relations  # noqa: F401
 from tandem.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -198,9 +198,9 @@ def oov_words(s, d):
     return E.oov_words(X.cells(s, d), X.word_vectors(s, d))
 
 
-@query(f"WITH {X.WORD_VECTORS} SELECT word, round(vec[1], 6) AS d1 FROM wv WHERE word IN (SELECT feature FROM cells WHERE item_id < 100)")
+@query(f"WITH {X.WORD_VECTORS} SELECT word, round(vec[1], 6) AS d1 FROM wv WHERE word IN (SELECT feature FROM cells)")
 def used_vectors(s, d):
-    return E.used_vectors(X.cells(s, d).where("item_id < 100"), X.word_vectors(s, d)).select("word", F.round(F.col("vec")[0], 6).alias("d1"))
+    return E.used_vectors(X.cells(s, d), X.word_vectors(s, d)).select("word", F.round(F.col("vec")[0], 6).alias("d1"))
 
 
 @query(f"WITH {X.WORD_VECTORS} SELECT feature AS token, count(*) AS df, round(coalesce(any_value(vec[1]), 0), 6) AS d1 FROM cells LEFT JOIN wv ON feature = word GROUP BY feature")

@@ -251,24 +251,24 @@ def second_moments(s, d):
     return N.second_moments(X.matrix(s, d), _n(s, d)).withColumn("moment", F.round("moment", 6))
 
 
-_PAIRS = f"WITH {X.VECTORS}, u AS (SELECT i, j, vec[i + 1] AS x, vec[j + 1] AS y FROM v, range(8) a(i), range(8) b(j) WHERE i < j) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, "
+_PAIRS = f"WITH {X.VECTORS}, u AS (SELECT i, j, vec[i + 1] AS x, vec[j + 1] AS y FROM v, range(64) a(i), range(64) b(j) WHERE i < j) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, "
 
 
-def _first_dims(s, d):
+def _dims(s, d):
     v = X.vectors(s, d)
-    c = v.select("item_id", F.posexplode(F.slice("vec", 1, 8)).alias("feature", "value"))
-    return c, s.range(8).select(F.col("id").cast("int").alias("feature")), v.count()
+    c = v.select("item_id", F.posexplode("vec").alias("feature", "value"))
+    return c, s.range(64).select(F.col("id").cast("int").alias("feature")), v.count()
 
 
 @query(_PAIRS + "round(avg((x - y) * (x - y)), 6) AS value FROM u GROUP BY i, j")
 def pair_features(s, d):
-    c, f, n = _first_dims(s, d)
+    c, f, n = _dims(s, d)
     return M.pairwise_features(c, f, M.pair_mse, n).withColumn("value", F.round("value", 6))
 
 
 @query(_PAIRS + "round(corr(x, y), 6) AS value FROM u GROUP BY i, j")
 def correlation(s, d):
-    c, f, n = _first_dims(s, d)
+    c, f, n = _dims(s, d)
     return M.correlation_matrix(c, f, n).withColumn("value", F.round("value", 6))
 
 

@@ -10,6 +10,7 @@ from tandem.operators import agree as A
 from tandem.operators import layers as L
 from tandem.operators import link as J
 from tandem.operators import retrieve as R
+from tandem.operators._shared import scratch
 from tandem.plans import tables as X
 from tandem.plans.registry import query
 
@@ -66,9 +67,9 @@ def align_by_links(s, d):
     return out.select("left_id", "right_id", F.size("x").alias("n_x"), F.size("y").alias("n_y"))
 
 
-@query(_L + "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT image_name FROM links WHERE text_name < 100)")
+@query(_L + "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT image_name FROM links)")
 def filter_by_links(s, d):
-    links = X.links(s, d).where("text_name < 100").withColumnRenamed("image_name", "vec_id")
+    links = X.links(s, d).withColumnRenamed("image_name", "vec_id")
     return J.filter_by_links(X.table(s, d, "embeddings").select("vec_id", "label"), links, "vec_id")
 
 
@@ -175,9 +176,9 @@ def token_retrieval(s, d):
     return R.ranked(out.drop("rank"), 5, digits=4).select("query_id", "target_id", "sim", "rank")
 
 
-@query(_TOPK + "SELECT query_id, round(avg(sim), 4) AS avg_sim FROM r WHERE rank <= 10 GROUP BY query_id")
+@query(_TOPK + "SELECT query_id, round(avg(sim), 6) AS avg_sim FROM r WHERE rank <= 10 GROUP BY query_id")
 def average_similarity(s, d):
-    return R.average_similarity(_hits(s, d)).withColumn("avg_sim", F.round("avg_sim", 4))
+    return R.average_similarity(_hits(s, d)).withColumn("avg_sim", F.round("avg_sim", 6))
 
 
 @query(_TOPK + ", p AS (SELECT query_id AS text, v.label AS image FROM r JOIN v ON v.item_id = target_id WHERE rank BETWEEN 2 AND 4), t AS (SELECT item_id AS text, label AS image FROM v), h AS (SELECT p.text, max(CASE WHEN p.image = t.image THEN 1.0 ELSE 0 END) AS hit FROM p JOIN t USING (text) GROUP BY p.text) SELECT round(avg(hit), 6) AS hit_rate, count(*) AS n_texts FROM h")
@@ -213,10 +214,7 @@ def compare_indexes(s, d):
 
 @query()
 def find_duplicates(s, d):
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/tandem-rounds"
-    classes = R.duplicates_of_vectors(X.vectors(s, d).select("item_id", "vec"), 0.3, f"{base.rstrip('/')}/duplicates-{uuid.uuid4().hex}", digits=4)
+    classes = R.duplicates_of_vectors(X.vectors(s, d).select("item_id", "vec"), 0.3, scratch(s, "duplicates"), digits=4)
     return R.prefer_family(classes, F.col("item_id") % 2 == 0)
 
 
@@ -255,6 +253,11 @@ def kappa(s, d):
     return X.annotations(s, d).select("id", F.round(A.kappa(F.col("appropriate"), F.slice("images", 1, 4), 12, "cohen"), 6).alias("kappa"))
 
 
+@query(_A + "SELECT id, round(CASE WHEN c = 1 THEN 0.0 ELSE (o - c) / (1 - c) END, 6) AS kappa FROM (SELECT id, (i + 12 - (x + y - i)) / 24.0 AS o, x / 12.0 * y / 12.0 + (1 - x / 12.0) * (1 - y / 12.0) AS c FROM (SELECT id, " + _HIT.format("appropriate", "t") + " AS i, len(appropriate) AS x, 4 AS y FROM (SELECT *, images[1:4] AS t FROM a)))")
+def kappa_reference(s, d):
+    return X.annotations(s, d).select("id", F.round(A.kappa(F.col("appropriate"), F.slice("images", 1, 4)), 6).alias("kappa"))
+
+
 _PAIR = "FROM a x JOIN a y ON x.text = y.text AND "
 
 

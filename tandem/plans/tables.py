@@ -53,7 +53,7 @@ def annotations(spark, d) -> DataFrame:
     e = F.col("event_id")
     choose = lambda cond: F.transform(F.filter(F.sequence(F.lit(0), F.lit(11)), cond), lambda i: F.concat(F.lit("i"), i))
     return table(spark, d, "events").select(
-        e.alias("id"), (F.col("user_id") % 20).alias("user"), F.unix_timestamp("ts").alias("time"), (e % 500).alias("text"), F.concat(F.lit("l"), e % 3).alias("label"),
+        e.alias("id"), (F.col("user_id") % 20).alias("user"), F.unix_timestamp("ts").alias("time"), F.floor(e / 20).alias("text"), F.concat(F.lit("l"), e % 3).alias("label"),
         choose(lambda i: i >= 0).alias("images"), choose(lambda i: (e * (i + 1) + i) % 7 < 2).alias("appropriate"),
         choose(lambda i: ((e * (i + 2) + i) % 5 == 0) & ((e * (i + 1) + i) % 7 >= 2)).alias("inappropriate"),
     )
@@ -81,7 +81,7 @@ WORD_VECTORS = CELLS + """,
 wv AS (SELECT token AS word, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS vec FROM (SELECT DISTINCT token FROM tokens WHERE length(token) % 5 <> 0)
        JOIN embeddings ON vec_id = (length(token) * 13 + length(translate(token, 'e', ''))) % (SELECT count(*) FROM embeddings))"""
 ANNOTATIONS = """
-a AS (SELECT event_id AS id, user_id % 20 AS "user", CAST(floor(epoch(ts)) AS BIGINT) AS time, event_id % 500 AS text, 'l' || (event_id % 3) AS label,
+a AS (SELECT event_id AS id, user_id % 20 AS "user", CAST(floor(epoch(ts)) AS BIGINT) AS time, event_id // 20 AS text, 'l' || (event_id % 3) AS label,
   list_transform(range(12), lambda i: 'i' || i) AS images,
   list_transform(list_filter(range(12), lambda i: (event_id * (i + 1) + i) % 7 < 2), lambda i: 'i' || i) AS appropriate,
   list_transform(list_filter(range(12), lambda i: (event_id * (i + 2) + i) % 5 = 0 AND (event_id * (i + 1) + i) % 7 >= 2), lambda i: 'i' || i) AS inappropriate

@@ -12,34 +12,34 @@ def rows(df, *columns):
 
 @pytest.fixture(scope="module")
 def cells(spark):
-    data = [(0, 0, 1.0), (0, 1, 1.0), (0, 4, 1.0), (1, 1, 1.0), (1, 2, 1.0), (1, 4, 1.0), (1, 5, 1.0)]
+    data = [(0, 0, 2.0), (0, 3, 1.5), (1, 3, 0.5), (1, 6, 4.0), (2, 2, 1.0), (2, 3, 3.0)]
     return spark.createDataFrame(data, "item_id long, feature long, value double")
 
 
 def test_sum_of_cells(cells):
-    assert rows(bow.feature_totals(cells)) == [(0, 1.0), (1, 2.0), (2, 1.0), (4, 2.0), (5, 1.0)]
+    assert rows(bow.feature_totals(cells)) == [(0, 2.0), (2, 1.0), (3, 5.0), (6, 4.0)]
 
 
 def test_concat_shifts_features(spark):
     make = lambda x: spark.createDataFrame([(0, f, float(v)) for f, v in x], "item_id long, feature long, value double")
-    parts = [make([(0, 1), (1, 2), (4, 1)]), make([(1, 1), (2, 4), (3, 1)]), make([(0, 2), (3, 1)])]
-    out = link.concat_cells(parts, [5, 5, 4])
-    assert rows(out, "feature", "value") == [(0, 1), (1, 2), (4, 1), (6, 1), (7, 4), (8, 1), (10, 2), (13, 1)]
+    parts = [make([(0, 3), (2, 1)]), make([(1, 5)]), make([(0, 7), (1, 1)])]
+    out = link.concat_cells(parts, [3, 4, 2])
+    assert rows(out, "feature", "value") == [(0, 3), (2, 1), (4, 5), (7, 7), (8, 1)]
 
 
 def test_reorder_repeats_and_rejects(spark):
-    data = spark.createDataFrame([(0, "A"), (1, "B"), (2, "C")], "item_id long, name string")
-    mapping = spark.createDataFrame(list(enumerate([1, 0, 0, 2, 1, 2])), "position long, item_id long")
+    data = spark.createDataFrame([(0, "D"), (1, "E"), (2, "F"), (3, "G")], "item_id long, name string")
+    mapping = spark.createDataFrame(list(enumerate([3, 0, 0, 2])), "position long, item_id long")
     out = items.reorder(data, mapping).orderBy("position").select("name").collect()
-    assert "".join(r[0] for r in out) == "BAACBC"
+    assert "".join(r[0] for r in out) == "GDDF"
     with pytest.raises(Exception, match="unknown item"):
         items.reorder(data, spark.createDataFrame([(0, 9)], "position long, item_id long")).collect()
 
 
-@pytest.mark.parametrize(("k", "expected"), [(4, [10, 8, 6, 4]), (10, list(range(10, 0, -1))), (6, [10, 9, 8, 7, 6, 5])])
+@pytest.mark.parametrize(("k", "expected"), [(3, [110, 70, 30]), (12, list(range(110, -1, -10))), (5, [110, 90, 70, 50, 30])])
 def test_uniform_steps(spark, k, expected):
-    data = spark.createDataFrame([(i, i + 1) for i in range(10)], "position long, x long")
-    assert [r["x"] for r in items.uniform_steps(data, 10, k).orderBy("step").collect()] == expected
+    data = spark.createDataFrame([(i, 10 * i) for i in range(12)], "position long, x long")
+    assert [r["x"] for r in items.uniform_steps(data, 12, k).orderBy("step").collect()] == expected
 
 
 def test_uniform_steps_rejects_more_than_there_are(spark):
@@ -59,8 +59,8 @@ def test_runs_of_interleaved_documents(spark):
 
 
 def test_strip(spark):
-    out = spark.createDataFrame([("blah_:W_some_suffix", "word-12")], "a string, b string")
-    assert out.select(tokens.strip_suffix(F.col("a")), tokens.strip_sense_number(F.col("b"))).first() == ("blah", "word")
+    out = spark.createDataFrame([("dům_^(x)_y", "kůň-3")], "a string, b string")
+    assert out.select(tokens.strip_suffix(F.col("a")), tokens.strip_sense_number(F.col("b"))).first() == ("dům", "kůň")
 
 
 def test_tag_filter_and_prefix(spark):
@@ -88,7 +88,7 @@ def test_unit_norms_and_sums(cells):
 
 
 def test_capped_constant_with_an_empty_item(spark, cells):
-    ids = spark.range(3).withColumnRenamed("id", "item_id")
+    ids = spark.range(4).withColumnRenamed("id", "item_id")
     assert {r["value"] for r in scale.normalize_capped(cells, items=ids, strict=True).collect()} == {0.0}
     assert abs(max(r["value"] for r in scale.normalize_capped(cells, items=ids).collect()) - 0.9999) < 1e-9
 
@@ -150,3 +150,47 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     key = lambda df: sorted((r["doc_id"], tuple(sorted(r["weights"].items()))) for r in df.collect())
     assert key(spark.table("scored")) == key(score_stream(docs, idf))
+
+
+def test_kappa_counts_repeated_marks_and_certain_chance(spark):
+    one = spark.createDataFrame([(["x", "x", "y"], ["x", "z"], [])], "a array<string>, b array<string>, e array<string>")
+    a, b, e = F.col("a"), F.col("b"), F.col("e")
+    got = one.select(agree.kappa(a, b), agree.kappa(e, e), agree.kappa(e, e, variant="cohen"), agree.kappa(a, b, variant="cohen")).first()
+    # 1 common mark and 8 of neither, out of 24; chance 3/12 * 2/12 + 9/12 * 10/12; with distinct marks 1 and 9 of 12
+    assert [round(x, 6) for x in got] == [-0.875, 0.0, 1.0, round((10 / 12 - 104 / 144) / (40 / 144), 6)]
+
+
+def test_dense_ids_over_many_parts_and_ties(spark):
+    rows = spark.range(5000).select((F.xxhash64("id") % 700).alias("x"), "id").repartition(13)
+    got = bow.with_ids(rows, ["x", "id"]).orderBy("x", "id").select("feature").collect()
+    assert [r[0] for r in got] == list(range(5000))
+
+
+def test_matrix_market_size_line_in_any_file_order(spark, tmp_path):
+    from tandem.sources import files
+
+    (tmp_path / "a.mm").write_text("%%MatrixMarket\n9 9 40\n")
+    (tmp_path / "b.mm").write_text("".join(f"{i + 1} 1 0.5\n" for i in range(40)))
+    assert files.read_mm(spark, str(tmp_path)).count() == 40
+
+
+def test_modes_without_a_query(spark):
+    data = spark.createDataFrame([(0, 0, 0, "Aa", "NN"), (0, 0, 1, "b", "AA"), (1, 0, 0, "c", "VB")], "doc_id long, sent_no int, tok_no int, token string, tag string")
+    assert [r[0] for r in rows(tokens.pos_filter(data, ["N"], inclusive=False), "token")] == ["b", "c"]
+    assert [r[0] for r in rows(tokens.granularity(data, "document"), "item")] == ["0", "0", "1"]
+    assert [r[0] for r in rows(tokens.granularity(data, "token"), "item")] == ["0:0:0", "0:0:1", "1:0:0"]
+    marks = spark.createDataFrame([("u", 0), ("u", 30), ("u", 61), ("u", 200)], "user string, time long")
+    # minutes from -1 on: 0, 0, 1, 3; in the strict form the fourth, just begun, is counted only if it begins before the end
+    assert agree.time_reward(marks).first()["time_reward"] == 3.0
+    assert agree.time_reward(marks.where("time < 100"), strict=True).first()["time_reward"] == 2.0
+    names = spark.createDataFrame([("b",)], "token string")
+    assert [r[0] for r in rows(link.include_names(data, names, "token"), "token")] == ["b"]
+
+
+def test_mock_matrix_is_reproducible(spark):
+    m = scale.mock_matrix(spark, 400, 20, 0.25, 2.0, seed=5)
+    got = m.agg(F.count("*").alias("n"), F.avg("value").alias("v"), F.min("value").alias("least")).first()
+    assert abs(got["n"] / 8000 - 0.25) < 0.03
+    assert abs(got["v"] - 3.0) < 0.2
+    assert got["least"] == 1.0
+    assert rows(m) == rows(scale.mock_matrix(spark, 400, 20, 0.25, 2.0, seed=5))

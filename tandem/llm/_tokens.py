@@ -84,7 +84,12 @@ class Encoder:
         return array("I", [t.id for t in self.tok.model.tokenize(named)]).tobytes()
 
     def _pieces(self, text: str) -> bytes:
-        return b"".join([self._piece(x) for x in self.pattern.findall(text)])
+        return b"".join([self._known(x) for x in self.pattern.findall(text)])
+
+    def _known(self, piece: str) -> bytes:
+        """A piece's ids by way of the memos: a word of letters stands in one of them with and without its blank."""
+        word = piece[1:] if self.byte_level and piece[0] == " " else "" if self.byte_level else piece
+        return self.words[word] if word.isalpha() else self.marks[piece]
 
     def _word(self, word: str) -> bytes:
         """Ids of a word (after a blank where these count); those of letters, and a mark after them, come from the memo."""

@@ -1,21 +1,23 @@
 """Licence scan by a positional index of rare tokens.
 
-The index lists where each word of each licence template stands.  A document's highest-IDF licence words are looked
-up; each posting votes for the place where the template would have to begin, and the votes of one template meet where
-the words keep their relative positions.  A place counts as a match if enough of the rare words agree on it and every
-mandatory key phrase of the template stands near it.  Document frequencies are counted over all documents.
+The index lists where the rarest words of each licence template stand in it.  A file's highest-IDF licence words are
+looked up: of each stretch of `STRETCH` licence words the `rare` rarest, so that a long file is looked up everywhere.
+Each posting votes for the place where its template would have to begin, and the votes of one template meet where the
+words keep their relative positions.  A place on which a part of them agree is verified: enough of the template's rare
+words must stand where they belong, and every mandatory key phrase must stand near.  Document frequencies are counted
+over all documents.
 
 Besides, all places of the base phrases are counted; a base phrase gives its label without further conditions.
 
 Texts are read whole, A-Z are lower-cased, and words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`.  Null text counts as
 empty: no words, no labels, score 0.  Repeated rows are judged each on its own; an empty table gives no rows.
-Template words are tied by name where their IDF is equal.
+Template words of equal IDF are tied by their hash.  Of a template's places in a document the one where most agrees
+is reported, the first if several do.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 
 from tandem.llm._common import ALNUM_WORDS, batches, row_starts, text_bytes, word_hashes
 
+#: Licence words of a document that are looked up together, and the part of a match that has to agree on a place.
+STRETCH, PART = 32, 0.5
+
 #: Labels and phrases that are counted everywhere.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -35,6 +40,18 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
         "documentation files (the \"Software\"), to deal in the Software without restriction",
         ("permission is hereby granted", "without restriction"),
     ),
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software. THE "
+        "SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ("permission is hereby granted", "without warranty of any kind"),
+    ),
     "mit-notice": ("Released under the MIT License.", ("mit license",)),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
@@ -81,10 +98,15 @@ class Index:
         number = lambda hs: np.searchsorted(self.words, hs)
         self.bodies, self.keys = [number(b) for b in self.bodies], [[number(p) for p in ps] for ps in self.keys]
         self.base = [(label, number(p)) for label, p in self.base]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, b in enumerate(self.bodies):
-            for at, w in enumerate(b.tolist()):
-                self.postings.setdefault(w, []).append((t, at))
+
+    def post(self, rank: np.ndarray, rare: int) -> None:
+        """List where the `rare` rarest words of each template stand: by word, and by template (`own`)."""
+        rarest = [set(sorted(set(b.tolist()), key=lambda w: rank[w])[:rare]) for b in self.bodies]
+        self.own = [np.array([(at, w) for at, w in enumerate(b.tolist()) if w in rarest[t]]).reshape(-1, 2) for t, b in enumerate(self.bodies)]
+        rows = np.concatenate([np.column_stack([o, np.full(len(o), t)]) for t, o in enumerate(self.own)])
+        rows = rows[np.argsort(rows[:, 1], kind="stable")]
+        self.post_at, self.post_template = rows[:, 0], rows[:, 2]
+        self.first = np.searchsorted(rows[:, 1], np.arange(len(self.words) + 1))
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of template words in h, and their numbers."""
@@ -145,43 +167,57 @@ def scan(
     order = np.lexsort((index.words, -idf))  # rarest first
     rank = np.empty(len(order), int)
     rank[order] = np.arange(len(order))
-    key_words = sorted({int(w) for ps in index.keys for p in ps for w in p})
-    bit = np.zeros((len(index.words), len(index.labels)), bool)  # words each template must have
-    need = np.zeros(len(index.labels), int)
-    for t, ps in enumerate(index.keys):
-        own = sorted({int(w) for p in ps for w in p})
-        bit[own, t], need[t] = True, len(own)
-    rarest = [set(sorted(set(b.tolist()), key=lambda w: rank[w])[:rare]) for b in index.bodies]
-    is_key = np.zeros(len(index.words), bool)
-    is_key[key_words] = True
-
-    def matches(pos: np.ndarray, num: np.ndarray) -> list[tuple[str, int, float]]:
-        """Of one document: its template words and where they stand."""
-        present = np.unique(num)
-        possible = np.flatnonzero(bit[present].sum(axis=0) == need)
-        if not len(possible):
-            return []
-        row = np.zeros(len(pos), int)
-        phrases = {t: [pos[_places(p, pos, num, row)] for p in index.keys[t]] for t in possible.tolist()}
-        phrases = {t: ps for t, ps in phrases.items() if all(len(p) for p in ps)}
-        if not phrases:
-            return []
-        lookup = set(present[np.argsort(rank[present])][:rare].tolist()).union(*(rarest[t] for t in phrases))
-        votes: Counter[tuple[int, int]] = Counter()
-        for p, w in zip(pos.tolist(), num.tolist(), strict=True):
-            if w in lookup:
-                for t, at in index.postings.get(w, ()):
-                    if t in phrases and w in rarest[t]:
-                        votes[t, p - at] += 1
-        best: dict[int, tuple[float, int]] = {}
-        for (t, begin), n in votes.items():
-            total = sum(w in rarest[t] for w in index.bodies[t].tolist())
-            share = min(1.0, n / total)
-            end = begin + len(index.bodies[t]) + slack
-            near = all(((p >= begin - slack) & (p <= end)).any() for p in phrases[t])
-            if share >= agree and near and (t not in best or (share, -begin) > (best[t][0], -best[t][1])):
-                best[t] = (share, begin)
-        return [(index.labels[t], b, s) for t, (s, b) in sorted(best.items())]
+    index.post(rank, rare)
+    total = np.array([len(o) for o in index.own])
+    longest = max((len(b) for b in index.bodies), default=0)
+
+    def candidates(row: np.ndarray, at: np.ndarray, num: np.ndarray, n_rows: int) -> np.ndarray:
+        """Row, template and begin of the places on which enough postings of the rows' rarest words agree."""
+        has = np.flatnonzero(index.first[num + 1] > index.first[num])
+        row, at, num = row[has], at[has], num[has]
+        if not len(row):
+            return np.zeros((0, 3), np.int64)
+        stretch = (np.arange(len(row)) - row_starts(row, n_rows)[row]) // STRETCH
+        word = (row * (stretch.max() + 1) + stretch) * len(rank) + rank[num]
+        looked = np.unique(word)
+        group = looked // len(rank)
+        looked = looked[np.arange(len(looked)) - np.searchsorted(group, group) < rare]
+        i = np.searchsorted(looked, word)
+        i[i == len(looked)] = 0
+        hit = np.flatnonzero(looked[i] == word)
+        row, at, num = row[hit], at[hit], num[hit]
+        n = index.first[num + 1] - index.first[num]
+        which = np.repeat(index.first[num] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        template, begin = index.post_template[which], np.repeat(at, n) - index.post_at[which]
+        span = at.max() + longest + 1
+        place, votes = np.unique((np.repeat(row, n) * len(total) + template) * span + begin + longest, return_counts=True)
+        template = place // span % len(total)
+        some = votes >= np.maximum(np.minimum(2, total[template]), PART * agree * total[template])
+        place, template = place[some], template[some]
+        return np.column_stack([place // span // len(total), template, place % span - longest])
+
+    def matches(found: np.ndarray, starts: np.ndarray, pos: np.ndarray, num: np.ndarray, cut: np.ndarray) -> dict[int, list]:
+        """Of the candidates those that are verified: (label, begin, share) by row."""
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for t in np.unique(found[:, 1]).tolist():
+            here = found[found[:, 1] == t]
+            at = here[:, 2, None] + index.own[t][:, 0]
+            inside = (at >= 0) & (at < np.diff(starts)[here[:, 0]][:, None])
+            want = starts[here[:, 0]][:, None] + at
+            i = np.searchsorted(pos, want)
+            i[i == len(pos)] = 0
+            share = (inside & (pos[i] == want) & (num[i] == index.own[t][:, 1])).sum(axis=1) / total[t]
+            for (r, _, begin), x in zip(here[share >= agree].tolist(), share[share >= agree].tolist(), strict=True):
+                own = slice(cut[r], cut[r + 1])
+                local, words = pos[own] - starts[r], num[own]
+                end = begin + len(index.bodies[t]) + slack
+                phrases = (local[_places(p, local, words, np.zeros(len(local), int))] for p in index.keys[t])
+                if all(((p >= begin - slack) & (p <= end)).any() for p in phrases) and ((r, t) not in best or (x, -begin) > (best[r, t][0], -best[r, t][1])):
+                    best[r, t] = (x, begin)
+        out: dict[int, list] = {}
+        for (r, t), (x, begin) in sorted(best.items()):
+            out.setdefault(r, []).append((index.labels[t], begin, x))
+        return out
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     schema = ", ".join([*kinds, "n_words long", "n_base long", "first_word long", "last_word long", "base_labels string", "labels string", "score double", "matches array<struct<label:string,start:bigint,share:double>>"])
@@ -205,10 +241,8 @@ def scan(
                 np.maximum.at(last, prow[at], local[at])
                 for r in set(prow[at].tolist()):
                     labels[r].add(label)
-            found: list[list] = [[] for _ in range(n_rows)]
-            cut = row_starts(prow, n_rows)
-            for r in np.unique(prow[is_key[num]]).tolist():
-                found[r] = matches(local[cut[r] : cut[r + 1]], num[cut[r] : cut[r + 1]])
+            met = matches(candidates(prow, local, num, n_rows), starts, pos, num, row_starts(prow, n_rows))
+            found = [met.get(r, []) for r in range(n_rows)]
             cols = {c: b.column(c) for c in keep} | {
                 "n_words": pa.array(np.diff(starts), pa.int64()),
                 "n_base": pa.array(n_base),

@@ -193,8 +193,9 @@ def export_links(df: DataFrame, column: str = "appropriate") -> DataFrame:
 
 
 def duplicate_texts(df: DataFrame) -> DataFrame:
-    ids = df.groupBy("text").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return ids.where("n > 1")
+    """text, id and n, the text's number of rows, of all rows whose text has several."""
+    several = df.groupBy("text").agg(F.count("*").alias("n")).where("n > 1")
+    return df.select("text", "id").join(several, "text")
 
 
 def timeframe(df: DataFrame) -> DataFrame:

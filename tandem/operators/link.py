@@ -49,8 +49,8 @@ def flatten(left: DataFrame, right: DataFrame, indexes: DataFrame, structured: b
 
 
 def provenance(pairs: DataFrame) -> DataFrame:
-    """For each text name the sorted pairs that it is part of."""
-    return pairs.groupBy("text_name").agg(F.sort_array(F.collect_set(F.struct("left_id", "right_id"))).alias("pairs"))
+    """The distinct pairs that each text name is part of, a row each."""
+    return pairs.select("text_name", "left_id", "right_id").distinct()
 
 
 def component(zipped: DataFrame, name: str, key: str = "item_id") -> DataFrame:
@@ -102,9 +102,9 @@ def intersect_pairs(a: DataFrame, b: DataFrame, key: str, unique_key: str = "id"
 
 
 def word_to_targets(cells: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:
-    """word and its sorted distinct images."""
+    """word and image_name: the distinct images of each word, a row each, as a common word has many."""
     named = cells.join(names.select("item_id", F.col("doc_name").alias("text_name")), "item_id").select("text_name", F.col("feature").alias("word"))
-    return named.join(links, "text_name").select("word", "image_name").distinct().groupBy("word").agg(F.sort_array(F.collect_list("image_name")).alias("images"))
+    return named.join(links, "text_name").select("word", "image_name").distinct()
 
 
 def word_target_counts(cells: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:
@@ -114,14 +114,15 @@ def word_target_counts(cells: DataFrame, names: DataFrame, links: DataFrame) ->
 
 
 def map_words_to_targets(cells: DataFrame, word_targets: DataFrame, mode: str = "soft") -> DataFrame:
-    """Scores of images by votes of an item's words: one each (hard) or the cell's value (soft)."""
+    """Scores of images by votes of an item's words: one each (hard) or the cell's value (soft); word_targets (word, image_name)."""
     vote = F.col("value") if mode == "soft" else F.lit(1.0)
-    spread = word_targets.select(F.col("word").alias("feature"), F.explode("images").alias("image_name"))
+    spread = word_targets.select(F.col("word").alias("feature"), "image_name")
     return cells.join(spread, "feature").groupBy("item_id", "image_name").agg(F.sum(vote).alias("score"))
 
 
 def token_positions(tokens: DataFrame, item: str = "doc_id", token: str = "token") -> DataFrame:
-    return tokens.select(token, item).distinct().groupBy(token).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    """The distinct items in which each token occurs, a row each."""
+    return tokens.select(token, item).distinct()
 
 
 def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -57,7 +57,7 @@ def concat_cells(s, d):
 @query(_L + "SELECT text_name, count(*) AS n, min(image_name) AS first FROM links GROUP BY text_name")
 def provenance(s, d):
     p = J.provenance(J.link_indexes(_texts(s, d), _images(s, d), X.links(s, d)))
-    return p.select("text_name", F.size("pairs").cast("long").alias("n"), F.col("pairs")[0]["right_id"].alias("first"))
+    return p.groupBy("text_name").agg(F.count("*").alias("n"), F.min(F.struct("left_id", "right_id"))["right_id"].alias("first"))
 
 
 @query(f"WITH {X.LINKS}, {X.VECTORS} SELECT text_name AS left_id, image_name AS right_id, 64 AS n_x, 1 AS n_y FROM links JOIN v ON item_id = image_name")
@@ -88,7 +88,7 @@ def rename_targets(s, d):
 @query(_LC + "SELECT feature AS word, count(DISTINCT image_name) AS n, min(image_name) AS first FROM cells JOIN links ON item_id = text_name GROUP BY feature")
 def word_targets(s, d):
     w = J.word_to_targets(X.cells(s, d), _texts(s, d), X.links(s, d))
-    return w.select("word", F.size("images").cast("long").alias("n"), F.col("images")[0].alias("first"))
+    return w.groupBy("word").agg(F.count("*").alias("n"), F.min("image_name").alias("first"))
 
 
 @query(_LC + "SELECT feature AS word, image_name, sum(value) AS freq FROM cells JOIN links ON item_id = text_name GROUP BY ALL HAVING sum(value) >= 3")
@@ -96,14 +96,13 @@ def word_target_counts(s, d):
     return J.word_target_counts(X.cells(s, d), _texts(s, d), X.links(s, d)).where("freq >= 3")
 
 
-_VOTE = _LC + ", r AS (SELECT feature FROM cells GROUP BY feature HAVING count(*) = 2), t AS (SELECT DISTINCT feature, image_name FROM cells JOIN links ON item_id = text_name WHERE feature IN (SELECT feature FROM r)) SELECT item_id, image_name, {} AS score FROM cells JOIN t USING (feature) GROUP BY item_id, image_name"
+_VOTE = _LC + ", t AS (SELECT DISTINCT feature, image_name FROM cells JOIN links ON item_id = text_name) SELECT item_id, image_name, {} AS score FROM cells JOIN t USING (feature) WHERE item_id % 20 = 0 GROUP BY item_id, image_name"
 
 
 def _voted(s, d, mode):
+    """A search: the queries are the items whose id is divisible by 20; all words and images of all documents take part."""
     c = X.cells(s, d)
-    few = c.groupBy("feature").agg(F.count("*").alias("n")).where("n = 2")
-    c2 = c.join(few.select("feature"), "feature", "left_semi")
-    return J.map_words_to_targets(c, J.word_to_targets(c2, _texts(s, d), X.links(s, d)), mode)
+    return J.map_words_to_targets(c.where("item_id % 20 = 0"), J.word_to_targets(c, _texts(s, d), X.links(s, d)), mode)
 
 
 query(_VOTE.format("CAST(count(*) AS DOUBLE)"), "vote_hard")(lambda s, d: _voted(s, d, "hard"))
@@ -112,7 +111,7 @@ query(_VOTE.format("sum(value)"), "vote_soft")(lambda s, d: _voted(s, d, "soft")
 
 @query(f"WITH {X.CELLS} SELECT feature AS token, count(*) AS n, min(item_id) AS first FROM cells GROUP BY feature")
 def token_positions(s, d):
-    return J.token_positions(X.tokens(s, d)).select("token", F.size("items").cast("long").alias("n"), F.col("items")[0].alias("first"))
+    return J.token_positions(X.tokens(s, d)).groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
 @query(f"WITH {X.ANNOTATIONS} SELECT x.id AS a, y.id AS b FROM a x JOIN a y ON x.text = y.text AND x.id <> y.id")
@@ -189,9 +188,12 @@ def evaluate_hit(s, d):
     return R.evaluate_hit(true, found.select(F.col("query_id").alias("text"), "image")).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-@query(_TOPK + "SELECT DISTINCT least(query_id, target_id) AS a, greatest(query_id, target_id) AS b, sim FROM r WHERE query_id <> target_id AND rank <= 10 AND sim >= 0.3")
+@query(_V + f", f AS (SELECT min(item_id) AS item_id, vec FROM v WHERE list_dot_product(vec, vec) > 0 GROUP BY vec), s AS (SELECT a.item_id AS a, b.item_id AS b, {_COS.format(4)} AS sim FROM f a JOIN f b ON a.item_id < b.item_id) SELECT a, b, sim FROM s WHERE sim >= 0.3")
 def dup_pairs(s, d):
-    return R.duplicate_pairs(_hits(s, d), same=0.3)
+    """All pairs of different vectors; equal vectors are one item, the one with the least id."""
+    v = X.vectors(s, d).where(F.exists("vec", lambda x: x != 0))
+    firsts = v.groupBy("vec").agg(F.min("item_id").alias("item_id")).select("item_id", "vec")
+    return R.duplicate_pairs(R.similar_pairs(firsts, 0.3, digits=4), same=0.3)
 
 
 @query(_TOPK + ", q AS (SELECT *, max(rank) OVER (PARTITION BY query_id) AS n FROM r) SELECT query_id, target_id, sim, rank FROM q WHERE rank <= 5 OR ((n - rank) % greatest((n - 6) // 4, 1) = 0 AND (n - rank) // greatest((n - 6) // 4, 1) < 4)")
@@ -317,7 +319,7 @@ def export_links(s, d):
     return A.export_links(X.annotations(s, d))
 
 
-@query(_A + "SELECT text, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM a GROUP BY text HAVING count(*) > 1")
+@query(_A + "SELECT text, id, n FROM a JOIN (SELECT text, count(*) AS n FROM a GROUP BY text HAVING count(*) > 1) USING (text)")
 def duplicate_texts(s, d):
     return A.duplicate_texts(X.annotations(s, d))
 

@@ -49,6 +49,12 @@ def filter_suspicious(df: DataFrame, n: int, column: str = "inappropriate") -> D
     return df.where(F.size(column) < n)
 
 
+def filter_report(df: DataFrame, labels: Sequence[str], n: int, column: str = "inappropriate") -> DataFrame:
+    """One row: rows, and how many of them both filters keep and drop; a null label or set is dropped."""
+    keeps = F.coalesce(F.col("label").isin(*labels) & (F.size(column) < n) & F.col(column).isNotNull(), F.lit(False))
+    return df.agg(F.count("*").alias("rows"), F.count_if(keeps).alias("kept"), F.count_if(~keeps).alias("dropped"))
+
+
 def totals(df: DataFrame, by: str | None = None) -> DataFrame:
     """Numbers and averages overall (by null) and, with `by`, of each user, in one pass."""
     a, i = F.size("appropriate"), F.size("inappropriate")
@@ -171,6 +177,11 @@ def rewards(df: DataFrame, agree_a: DataFrame, agree_i: DataFrame, strict: bool
     return items.join(time_reward(df, strict=strict), "user").withColumn("total", F.col("item_reward") + F.col("time_reward"))
 
 
+def reward_totals(rewards: DataFrame) -> DataFrame:
+    """One row: number of users and the sums of their rewards."""
+    return rewards.agg(F.count("*").alias("users"), *[F.sum(c).alias(c) for c in ("time_reward", "item_reward", "total")])
+
+
 def original_recall(df: DataFrame, originals: DataFrame, column: str = "appropriate", by: str = "user", guard: float = 0.00001) -> DataFrame:
     """originals (text, original): per user recall, precision and F of the original image; `guard` starts each count."""
     rows = df.join(originals, "text").where(F.array_contains("images", F.col("original")))
@@ -180,6 +191,12 @@ def original_recall(df: DataFrame, originals: DataFrame, column: str = "appropri
     return out.withColumn("f", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
 
 
+def recall_means(by_user: DataFrame) -> DataFrame:
+    """One row: means of what `original_recall` gives, weighted by the users' numbers of rows."""
+    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+    return by_user.agg(F.sum("n").alias("n"), mean("recall"), mean("precision"), mean("f"))
+
+
 def overlapping(df: DataFrame, column: str, by: str = "text") -> DataFrame:
     """Images that all rows (two at least) of a text have in `column`, else an empty array."""
     sizes = df.groupBy(by).agg(F.count("*").alias("_n"))

@@ -22,6 +22,11 @@ def matrix_stats(cells: DataFrame, n_items: int, dim: int) -> DataFrame:
     )
 
 
+def axis_sums(cells: DataFrame, by: str = "item_id") -> DataFrame:
+    """Sum of the cells of each item, or with `by` feature of each feature; those without cells have no row."""
+    return cells.groupBy(by).agg(F.sum("value").alias("total"))
+
+
 def cell_histogram(cells: DataFrame, width: float = 0.01) -> DataFrame:
     """Cells by value in bins of `width`, empty bins between the ends filled with 0."""
     n = round(1 / width)

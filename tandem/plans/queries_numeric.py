@@ -218,6 +218,16 @@ def matrix_stats(s, d):
     return M.matrix_stats(X.matrix(s, d), _n(s, d), _dim(s, d)).withColumns({"total": F.round("total", 4), "avg_cell": F.round("avg_cell", 8)})
 
 
+@query(_M + "SELECT item_id AS id, round(sum(value), 4) AS total FROM m GROUP BY item_id")
+def item_sums(s, d):
+    return M.axis_sums(X.matrix(s, d)).select(F.col("item_id").alias("id"), F.round("total", 4).alias("total"))
+
+
+@query(_M + "SELECT feature AS id, round(sum(value), 4) AS total FROM m GROUP BY feature")
+def feature_sums(s, d):
+    return M.axis_sums(X.matrix(s, d), "feature").select(F.col("feature").alias("id"), F.round("total", 4).alias("total"))
+
+
 @query(_M + ", x AS (SELECT CAST(round(value / 100 * 100) AS BIGINT) AS bin, count(*) AS n FROM m GROUP BY 1), e AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM x) SELECT e.bin, coalesce(n, 0) AS n FROM e LEFT JOIN x USING (bin)")
 def cell_hist(s, d):
     return M.cell_histogram(X.matrix(s, d).withColumn("value", F.col("value") / 100))

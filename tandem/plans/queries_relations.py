@@ -239,6 +239,11 @@ def annotation_columns(s, d):
     return A.counts_by_len(a, "appropriate").select("id", F.col("n_appropriate").cast("long").alias("n_appropriate"), F.size("unannotated").cast("long").alias("n_unannotated"))
 
 
+@query(_A + "SELECT count(*) AS rows, count(*) FILTER (k) AS kept, count(*) FILTER (NOT k) AS dropped FROM (SELECT label IN ('l0', 'l1') AND len(inappropriate) < 3 AS k FROM a)")
+def filter_report(s, d):
+    return A.filter_report(X.annotations(s, d), ["l0", "l1"], 3)
+
+
 _HIT = "len(list_filter({0}, lambda x: list_contains({1}, x)))"
 _MP = f"CASE WHEN len({{0}}) = 0 OR len({{1}}) = 0 THEN 0.5 ELSE ({_HIT} / len({{0}}) + {_HIT.replace('{0}', '{X}').replace('{1}', '{0}').replace('{X}', '{1}')} / len({{1}})) / 2 END"
 
@@ -297,11 +302,43 @@ def time_reward(s, d):
     return A.time_reward(X.annotations(s, d))
 
 
-@query()
-def rewards(s, d):
+def _means(g, c):
+    """SQL: each user's mean agreement on a column and the pivot."""
+    mean = f"SELECT x.\"user\" AS u1, avg({_MP.format(f'x.{c}', f'y.{c}')}) AS value {_PAIR} x.id <> y.id WHERE x.\"user\" <> y.\"user\" GROUP BY x.\"user\", y.\"user\""
+    return f", u{g} AS (SELECT u1 AS \"user\", round(avg(value), 6) AS mean{g} FROM ({mean}) GROUP BY u1), p{g} AS (SELECT list_sort(list(mean{g}))[count(*) // 2 + 2] AS pivot{g} FROM u{g})"
+
+
+_REWARDS = _A + _means("a", "appropriate") + _means("i", "inappropriate") + (
+    ", c AS (SELECT \"user\", list_concat(appropriate, inappropriate) AS c, len(appropriate) AS n, coalesce(meana / pivota, 0) AS ca, coalesce(meani / pivoti, 0) AS ci FROM a LEFT JOIN ua USING (\"user\") LEFT JOIN ui USING (\"user\"), pa, pi)"
+    ", i AS (SELECT \"user\", sum(coalesce(list_sum(list_transform(range(1, least(7, len(c)) + 1), lambda k: [1.0, 0.5, 0.5, 0.25, 0.25, 0.25, 0.25][k] * CASE WHEN k <= n THEN ca ELSE ci END)), 0)) AS item_reward FROM c GROUP BY \"user\")"
+    ", b AS (SELECT \"user\", min(time) - 1 AS start FROM a GROUP BY \"user\"), t AS (SELECT \"user\", CAST(count(DISTINCT floor((time - start) / 60)) AS DOUBLE) AS time_reward FROM a JOIN b USING (\"user\") GROUP BY \"user\") "
+)
+
+
+def _rewards(s, d):
     return A.rewards(X.annotations(s, d), _grid(s, d), _grid(s, d, "inappropriate"))
 
 
+@query(_REWARDS + "SELECT \"user\", round(item_reward, 3) AS item_reward, time_reward, round(item_reward + time_reward, 3) AS total FROM i JOIN t USING (\"user\")")
+def rewards(s, d):
+    return _rewards(s, d).withColumns({c: F.round(c, 3) for c in ("item_reward", "total")})
+
+
+@query(_REWARDS + "SELECT count(*) AS users, sum(time_reward) AS time_reward, round(sum(item_reward), 2) AS item_reward, round(sum(item_reward + time_reward), 2) AS total FROM i JOIN t USING (\"user\")")
+def reward_totals(s, d):
+    return A.reward_totals(_rewards(s, d)).withColumns({c: F.round(c, 2) for c in ("item_reward", "total")})
+
+
+_ORIGINALS = _A + ", r AS (SELECT \"user\", list_contains(appropriate, 'i' || (text % 12)) AS hit, len(appropriate) AS n FROM a), o AS (SELECT \"user\", count(*) AS n, (1e-5 + count(*) FILTER (hit)) / (1e-5 + count(*)) AS r, (1e-5 + count(*) FILTER (hit)) / (1e-5 + sum(n)) AS p FROM r GROUP BY \"user\") "
+
+
+@query(_ORIGINALS + "SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(r * n) / sum(n), 6) AS recall, round(sum(p * n) / sum(n), 6) AS precision, round(sum(2 * p * r / (p + r) * n) / sum(n), 6) AS f FROM o")
+def original_recall_means(s, d):
+    a = X.annotations(s, d)
+    originals = a.select("text").distinct().withColumn("original", F.concat(F.lit("i"), F.col("text") % 12))
+    return A.recall_means(A.original_recall(a, originals)).withColumns({c: F.round(c, 6) for c in ("recall", "precision", "f")})
+
+
 @query(_A + ", r AS (SELECT \"user\", list_contains(appropriate, 'i' || (text % 12)) AS hit, len(appropriate) AS n FROM a) SELECT \"user\", count(*) AS n, round((1e-5 + count(*) FILTER (hit)) / (1e-5 + count(*)), 6) AS recall, round((1e-5 + count(*) FILTER (hit)) / (1e-5 + sum(n)), 6) AS precision FROM r GROUP BY \"user\"")
 def original_recall(s, d):
     a = X.annotations(s, d)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tandem.llm import queries_dedup, queries_quality, queries_text, queries_tokens, queries_web
+from tandem.llm import queries_dedup, queries_quality, queries_secrets, queries_text, queries_tokens, queries_vectors, queries_web
 
-_MODULES = (queries_dedup, queries_quality, queries_text, queries_tokens, queries_web)
+_MODULES = (queries_dedup, queries_quality, queries_secrets, queries_text, queries_tokens, queries_vectors, queries_web)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}

@@ -28,33 +28,55 @@ def _tabs(*columns):
     return F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns])
 
 
-@query(f"WITH {X.TOKENS} SELECT form, token AS lemma, tag, count(*) AS n FROM tokens GROUP BY ALL")
+def _ordered_files(df: DataFrame, file, order: list, line, name: str) -> str:
+    """Files `file=<number>` with the lines in order, each file by one task; the number of files grows with the table."""
+    path = scratch(df.sparkSession, name)
+    parts = df.select(file.alias("file"), line.alias("value"), *[o.alias(f"_{i}") for i, o in enumerate(order)]).repartition("file")
+    parts.sortWithinPartitions("file", *[f"_{i}" for i in range(len(order))]).select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def _file_of(column: str):
+    return F.regexp_extract(column, "file=([0-9]+)", 1).cast("long")
+
+
+_FILE = F.floor(F.col("doc_id") / 1000)
+
+
+@query(f"WITH {X.TOKENS} SELECT doc_id // 1000 AS file, dense_rank() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id, sent_no) - 1 AS sent_no, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY tok_no) - 1 AS tok_no, form, token AS lemma, tag FROM tokens")
 def read_vtext(s, d):
+    """The documents as vertical text, a thousand of them a file, and back: every token in its place."""
     n = lambda f: F.length(f)
     tag = lambda f: F.when(n(f) >= 6, "N").when(n(f) <= 2, "A").otherwise("V")
     words = F.filter(F.split(F.translate("line", ".,", ""), " "), lambda f: f != "")
     sentence = F.concat(F.array_join(F.transform(words, lambda f: F.concat_ws("\t", f, F.lower(f), tag(f))), "\n"), F.lit("\n"))
-    path = _lines(X.sentences(s, d).where(F.size(words) > 0), sentence, "vtext")
-    return S.read_vtext(s, path).groupBy("form", "lemma", "tag").agg(F.count("*").alias("n"))
+    path = _ordered_files(X.sentences(s, d).where(F.size(words) > 0), _FILE, [F.col("doc_id"), F.col("sent_no")], sentence, "vtext")
+    return S.read_vtext(s, path).select(_file_of("doc_name").alias("file"), "sent_no", "tok_no", "form", "lemma", "tag")
 
 
-@query("SELECT 'root/' || doc_id AS doc_name FROM documents")
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_ord, 'root/' || doc_id AS doc_name FROM documents")
 def read_doc_list(s, d):
-    path = _lines(X.table(s, d, "documents"), F.col("doc_id").cast("string"), "doc-list")
-    return S.read_doc_list(s, path, "root/").select("doc_name")
+    """One list in several files, whose names are in order."""
+    docs = X.table(s, d, "documents")
+    path = scratch(s, "doc-list")
+    docs.select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string")).write.text(path)
+    return S.read_doc_list(s, path, "root/")
 
 
 def _vector_lines(s, d):
     v = X.vectors(s, d)
-    return _lines(v, _tabs("item_id", F.array_join(F.transform("vec", lambda x: x.cast("string")), ";")), "vectors")
+    path = scratch(s, "vectors")
+    v.repartitionByRange("item_id").sortWithinPartitions("item_id").select(_tabs("item_id", F.array_join(F.transform("vec", lambda x: x.cast("string")), ";"))).write.text(path)
+    return path
 
 
-@query(f"WITH {X.VECTORS} SELECT CAST(item_id AS VARCHAR) AS doc_name, round(list_sum(vec), 4) AS total FROM v WHERE item_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de') AND item_id IN (SELECT doc_id FROM documents)")
+@query(f"WITH {X.VECTORS} SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_id, CAST(item_id AS VARCHAR) AS doc_name, round(list_sum(list_filter(vec, lambda x: abs(x) > 0.01)), 4) AS total, len(list_filter(vec, lambda x: abs(x) > 0.01)) AS n FROM v WHERE item_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de') AND item_id IN (SELECT doc_id FROM documents)")
 def read_vector_csv(s, d):
     docs = X.table(s, d, "documents")
     names = lambda df: df.select(F.col("doc_id").cast("string").alias("doc_name"))
-    v = S.read_vector_csv(s, _vector_lines(s, d), 64, include=names(docs), exclude=names(docs.where("lang = 'de'")))
-    return v.select("doc_name", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    v = S.read_vector_csv(s, _vector_lines(s, d), 64, eps=0.01, include=names(docs), exclude=names(docs.where("lang = 'de'")))
+    n = F.size(F.filter("vec", lambda x: x != 0)).cast("long")
+    return v.select("item_id", "doc_name", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), n.alias("n"))
 
 
 def _links_read(s, d):
@@ -127,10 +149,12 @@ def read_results_map(s, d):
     return S.read_results(s, path, "vtext-image-map")
 
 
-@query("WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT unnest(string_split_regex(line, '[ \\t\\r\\f\\v]+')) AS word FROM l) SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word")
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) SELECT doc_id // 1000 AS file, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id, k) - 1 AS line_no, array_to_string(list_filter(string_split_regex(line, '[ \\t\\r\\f\\v]+'), lambda w: w <> ''), ' ') AS words FROM l")
 def read_wordlines(s, d):
-    rows = S.read_wordlines(s, _lines(X.sentences(s, d), F.col("line"), "wordlines"))
-    return rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """A thousand documents a file, one line of a document a line."""
+    path = _ordered_files(X.sentences(s, d), _FILE, [F.col("doc_id"), F.col("sent_no")], F.col("line"), "wordlines")
+    rows = S.read_wordlines(s, path)
+    return rows.select(_file_of("doc_name").alias("file"), "line_no", F.array_join("words", " ").alias("words"))
 
 
 @query(Q._TOPK + "SELECT CAST(query_id AS VARCHAR) AS text, string_agg(target_id, ';' ORDER BY rank) AS images, string_agg(printf('%.5f', sim), ';' ORDER BY rank) AS sims FROM r WHERE rank <= 10 GROUP BY query_id")

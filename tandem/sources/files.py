@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.operators.bow import with_ids
+from tandem.sources.lines import numbered_lines
+
 
 def _file_order():
     """Where a line stands: its file, the part of the file that a task reads, and the order in that task."""
@@ -16,35 +19,35 @@ def _file_order():
 def read_vtext(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = ("form", "lemma", "tag"), delimiter: str = "\t") -> DataFrame:
     """Vertical text, one token a line, a blank line after each sentence: doc_name, sent_no, tok_no and the columns.
 
-    A file is one row, as its order must be kept, so a file has to fit a task (Spark fails over 2 GB); they may be gzipped.  Two blank lines in a row make an empty
-    sentence that still counts.
+    A file is a document, read in as many blocks as Spark cuts it into; it may be gzipped.  Two blank lines in a row
+    make an empty sentence that still counts.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("doc_name"), "value")
-    lines = files.select("doc_name", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    order = Window.partitionBy("doc_name").orderBy("line_no")
-    blank = (F.trim("line") == "").cast("int")
-    lines = lines.withColumn("sent_no", F.coalesce(F.sum(blank).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    tokens = lines.where(F.trim("line") != "")
-    tok = F.row_number().over(Window.partitionBy("doc_name", "sent_no").orderBy("line_no")) - 1
-    parts = F.split("line", F.lit(delimiter))
-    return tokens.select("doc_name", "sent_no", tok.alias("tok_no"), *[F.get(parts, i).alias(c) for i, c in enumerate(columns)])
+    lines = numbered_lines(spark, paths).where(~F.col("blank"))
+    parts = F.split("value", F.lit(delimiter))
+    return lines.select(F.col("file").alias("doc_name"), F.col("blanks").alias("sent_no"), F.col("since").alias("tok_no"), *[F.get(parts, i).alias(c) for i, c in enumerate(columns)])
 
 
 def read_doc_list(spark: SparkSession, path: str, root: str = "") -> DataFrame:
-    """doc_ord and doc_name of a document list, in file order."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("doc_ord", "line"))
-    name = F.trim("line")
-    return text.where(name != "").select("doc_ord", (F.concat_ws("/", F.lit(root.rstrip("/")), name) if root else name).alias("doc_name"))
+    """doc_ord (the line's number, blank lines counted; several files follow each other by name) and doc_name of a document list."""
+    name = F.trim("value")
+    return numbered_lines(spark, path).where(~F.col("blank")).select(F.col("line_all").alias("doc_ord"), (F.concat_ws("/", F.lit(root.rstrip("/")), name) if root else name).alias("doc_name"))
+
 
+def read_vector_csv(spark: SparkSession, path: str, dim: int = 4096, delimiter: str = ";", eps: float | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """item_id, doc_name and vec of lines `name<TAB>v;v;...`; another dimension is an error. Name lists have doc_name.
 
-def read_vector_csv(spark: SparkSession, path: str, dim: int = 4096, delimiter: str = ";", include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
-    """doc_name and vec of lines `name<TAB>v;v;...`; another dimension is an error. Name lists have doc_name."""
-    rows = spark.read.csv(path, sep="\t", schema="doc_name string, v string")
-    vec = F.transform(F.split("v", F.lit(delimiter)), lambda x: x.cast("double"))
-    rows = rows.select("doc_name", vec.alias("vec"))
+    Excluded names are skipped first, then those not included; item ids count what is left, in file order.  Components
+    of absolute value `eps` or less become 0.
+    """
+    parts = F.split("value", "\t")
+    number = lambda x: x.cast("double") if eps is None else F.when(F.abs(x.cast("double")) > eps, x.cast("double")).otherwise(0.0)
+    vec = F.transform(F.split(F.get(parts, 1), F.lit(delimiter)), number)
+    rows = numbered_lines(spark, path).where(~F.col("blank")).select("line_all", F.get(parts, 0).alias("doc_name"), vec.alias("vec"))
     rows = rows.join(exclude.select("doc_name"), "doc_name", "left_anti") if exclude is not None else rows
     rows = rows.join(include.select("doc_name"), "doc_name", "left_semi") if include is not None else rows
-    return rows.where(F.assert_true(F.size("vec") == dim, F.lit("a vector has another dimension")).isNull())
+    rows = rows.where(F.assert_true(F.size("vec") == dim, F.lit("a vector has another dimension")).isNull())
+    ids = with_ids(rows.select("line_all"), ["line_all"], "item_id")  # numbers only are written and cut into ranges
+    return rows.join(ids, "line_all").select("item_id", "doc_name", "vec")
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
@@ -102,9 +105,9 @@ def read_results(spark: SparkSession, path: str, kind: str = "result") -> DataFr
 
 
 def read_wordlines(spark: SparkSession, path: str) -> DataFrame:
-    """One document a line: doc_name (file and line offset) and its words."""
-    lines = spark.read.text(path).withColumn("doc_id", F.monotonically_increasing_id())
-    return lines.select("doc_id", F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("words"))
+    """One document a line: doc_name (the file), line_no (from 0 within it) and its words."""
+    lines = numbered_lines(spark, path)
+    return lines.select(F.col("file").alias("doc_name"), "line_no", F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("words"))
 
 
 def format_results(results: DataFrame) -> DataFrame:

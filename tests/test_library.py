@@ -134,7 +134,7 @@ def test_word_vectors_of_tiny_files(spark, tmp_path):
     got = files.read_annotation_outputs(spark, str(tmp_path / "a.csv")).first()
     assert (got["appropriate"], got["inappropriate"]) == (["i1", "i2"], [])
     (tmp_path / "x.csv").write_text("n1\t1;2\nn2\t3;4\n")
-    assert rows(files.read_vector_csv(spark, str(tmp_path / "x.csv"), dim=2)) == [("n1", [1.0, 2.0]), ("n2", [3.0, 4.0])]
+    assert rows(files.read_vector_csv(spark, str(tmp_path / "x.csv"), dim=2)) == [(0, "n1", [1.0, 2.0]), (1, "n2", [3.0, 4.0])]
     (tmp_path / "r.csv").write_text("q\ti1;i2\t0.5;0.25\n")
     assert rows(files.read_results(spark, str(tmp_path / "r.csv"))) == [("q", "i1", 0.5), ("q", "i2", 0.25)]
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.operators import sparse_index
 from tandem.operators.scale import hash_uniform
 
 #: Bytes of vectors that are broadcast at most; a larger side is dealt in blocks.
@@ -38,10 +39,8 @@ def ranked(pairs: DataFrame, k: int | None, digits: int = 6) -> DataFrame:
 
 
 def similarity_topk_sparse(queries: DataFrame, database: DataFrame, k: int | None = 10, digits: int = 6) -> DataFrame:
-    """Cosines of cells that share a feature; both sides have unit norm. Drop very frequent features first (top_features)."""
-    q = queries.select(F.col("item_id").alias("query_id"), "feature", F.col("value").alias("_q"))
-    d = database.select(F.col("item_id").alias("target_id"), "feature", F.col("value").alias("_d"))
-    sims = q.join(d, "feature").groupBy("query_id", "target_id").agg(F.sum(F.col("_q") * F.col("_d")).alias("sim"))
+    """Cosines of cells that share a feature; both sides have unit norm. Postings are read only as far as they matter, all of them if k is None."""
+    sims = sparse_index.all_pairs(queries, database) if k is None else sparse_index.topk(queries, database, k, digits)
     return ranked(sims, k, digits)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.operators.scale import hash_uniform
+from tandem.operators.random import hash_uniform
 from tandem.operators.tokens import strip_sense_number
 
 
@@ -49,12 +49,13 @@ def used_vectors(cells: DataFrame, word_vectors: DataFrame) -> DataFrame:
 
 
 def sample_word_embedding(cells: DataFrame, word_vectors: DataFrame, seed: int = 0) -> DataFrame:
-    """One word of each item, drawn in proportion to its value, and its vector (null if unknown)."""
-    order = Window.partitionBy("item_id").orderBy("feature")
-    run = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("value").over(Window.partitionBy("item_id"))
-    reached = cells.withColumn("_run", run).withColumn("_total", total).where(F.col("_run") >= hash_uniform("item_id", seed=seed) * F.col("_total"))
-    drawn = reached.groupBy("item_id").agg(F.min_by("feature", "_run").alias("word"))
+    """One word of each item, drawn in proportion to its value, and its vector (null if unknown).
+
+    Each cell waits -ln(u) / value, u being a hash of item and word; the first to come is drawn.  That is one aggregate
+    that tasks merge, and items of any size need no order.  Cells of no or negative value are never drawn.
+    """
+    wait = F.round(-F.log(hash_uniform("item_id", "feature", seed=seed)) / F.col("value"), 12)
+    drawn = cells.where("value > 0").groupBy("item_id").agg(F.min(F.struct(wait.alias("wait"), F.col("feature").alias("word")))["word"].alias("word"))
     return drawn.join(word_vectors, "word", "left").select("item_id", "word", "vec")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.operators.bow import with_ids
+from tandem.operators.random import hash_order
 
 
 def filter_items(items: DataFrame, predicate: Column) -> DataFrame:
@@ -73,7 +74,7 @@ def assign_batches(ranked: DataFrame, size: int, rank: str = "position", by: str
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    return df.orderBy(hash_order(key, seed=seed), key)
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:

@@ -6,6 +6,7 @@ travel with the task (`MAX_BYTES` at most); products run on Arrow batches.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -65,8 +66,9 @@ def _down(h, l):
 
 
 def _uniform(ids, width: int, seed: int) -> np.ndarray:
-    """Numbers that depend on the item and the seed only."""
-    return np.stack([np.random.Generator(np.random.PCG64([seed, int(i) & (2**63 - 1)])).random(width) for i in ids])
+    """`random.hash_uniform` of item, unit and seed, so that retried tasks agree."""
+    bits = [int(hashlib.md5(f"{seed}|{i}|{j}".encode()).hexdigest()[:13], 16) for i in ids for j in range(width)]
+    return (np.array(bits, float).reshape(len(ids), width) + 0.5) / (1 << 52)
 
 
 def layer_forward(vectors: DataFrame, weights: dict, corruption: float = 0.0, seed: int = 0) -> DataFrame:
@@ -81,37 +83,68 @@ def layer_backward(hidden: DataFrame, weights: dict) -> DataFrame:
     return _map(hidden, lambda _, h: _down(h, weights))
 
 
-def stack_forward(vectors: DataFrame, layers: Sequence[dict]) -> DataFrame:
-    def run(_, x):
-        for l in layers:
-            x = _up(x, l)
-        return x
+def _sent(df: DataFrame, *layers: dict):
+    """Layers as one object that the tasks of an executor share."""
+    if sum(v.nbytes for l in layers for v in l.values() if isinstance(v, np.ndarray)) > MAX_BYTES:
+        raise ValueError("the layers are too large to travel with the tasks")
+    return df.sparkSession.sparkContext.broadcast(layers)
+
+
+def _forward(x, layers):
+    for l in layers:
+        x = _up(x, l)
+    return x
+
+
+def _backward(h, layers):
+    for l in reversed(layers):
+        h = _down(h, l)
+    return h
 
-    return _map(vectors, run)
+
+def stack_forward(vectors: DataFrame, layers: Sequence[dict]) -> DataFrame:
+    sent = _sent(vectors, *layers)
+    return _map(vectors, lambda _, x: _forward(x, sent.value))
 
 
 def stack_backward(hidden: DataFrame, layers: Sequence[dict]) -> DataFrame:
-    def run(_, h):
-        for l in reversed(layers):
-            h = _down(h, l)
-        return h
+    sent = _sent(hidden, *layers)
+    return _map(hidden, lambda _, h: _backward(h, sent.value))
 
-    return _map(hidden, run)
+
+def _completed(ids, text, joint: dict, dim_img: int, k: int, start: float, sample_hidden: bool, sample_visible: bool, seed: int):
+    dim_text = text.shape[1]
+    image = np.full((len(text), dim_img), start)
+    for step in range(k):
+        last = step == k - 1
+        h = _up(np.hstack([text, image]), joint)
+        if sample_hidden and not last:
+            h = (_uniform(ids, h.shape[1], seed + 2 * step) < h).astype(float)
+        image = _down(h, joint)[:, dim_text:]
+        if sample_visible and not last:
+            image = (_uniform(ids, dim_img, seed + 2 * step + 1) < image).astype(float)
+    return image
 
 
 def complete_modality(text_vectors: DataFrame, joint: dict, dim_text: int, dim_img: int, k: int = 10, start: float = 0.0, sample_hidden: bool = True, sample_visible: bool = False, seed: int = 0) -> DataFrame:
     """The image half after k steps v -> h -> v with the text half clamped; the last step uses means."""
-    def run(ids, text):
-        image = np.full((len(text), dim_img), start)
-        for step in range(k):
-            last = step == k - 1
-            h = _up(np.hstack([text, image]), joint)
-            if sample_hidden and not last:
-                h = (_uniform(ids, h.shape[1], seed + 2 * step) < h).astype(float)
-            image = _down(h, joint)[:, dim_text:]
-            if sample_visible and not last:
-                image = (_uniform(ids, dim_img, seed + 2 * step + 1) < image).astype(float)
-        return image
+    if joint["w"].shape[0] != dim_text + dim_img:
+        raise ValueError("the joint layer has another number of inputs")
+    sent = _sent(text_vectors, joint)
+    return _map(text_vectors, lambda ids, x: _completed(ids, x, sent.value[0], dim_img, k, start, sample_hidden, sample_visible, seed))
+
+
+def text_to_image(
+    text_vectors: DataFrame, text_layers: Sequence[dict], joint: dict, image_layers: Sequence[dict], k: int = 10, start: float = 0.0, sample_hidden: bool = True, sample_visible: bool = False, seed: int = 0
+) -> DataFrame:
+    """Text forward through its layers, the image half completed by the joint layer, and back through the image layers in mirrored order: one pass."""
+    n, sent = len(text_layers), _sent(text_vectors, *text_layers, joint, *image_layers)
+
+    def run(ids, x):
+        layers = sent.value
+        text = _forward(x, layers[:n])
+        image = _completed(ids, text, layers[n], layers[n]["w"].shape[0] - text.shape[1], k, start, sample_hidden, sample_visible, seed)
+        return _backward(image, layers[n + 1 :])
 
     return _map(text_vectors, run)
 

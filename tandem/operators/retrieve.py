@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.operators import sparse_index
-from tandem.operators.scale import hash_uniform
+from tandem.operators import sparse_index, vector_blocks
+from tandem.operators.random import hash_order, hash_uniform
+from tandem.operators.vector_blocks import unit
 
 #: Bytes of vectors that are broadcast at most; a larger side is dealt in blocks.
 BROADCAST_BYTES = 64 << 20
@@ -49,11 +51,6 @@ def _block(df: DataFrame, id_col: str, name: str, n: int) -> DataFrame:
     return df.groupBy(block).agg(F.collect_list(F.struct(F.col("item_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))).alias(name))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-
-
 def similarity_topk_dense(queries: DataFrame, database: DataFrame, k: int = 10, digits: int = 6, block_rows: int = 8192) -> DataFrame:
     """Cosines of (item_id, vec): blocks of queries go to each block of the database, a matrix product in each pair."""
     n_d = max(1, -(-database.count() // block_rows))
@@ -67,7 +64,7 @@ def similarity_topk_dense(queries: DataFrame, database: DataFrame, k: int = 10,
                 (qi, q), (di, d) = (
                     (s.field("id").to_numpy(), s.field("vec").flatten().to_numpy().reshape(len(s), -1)) for s in (b.column("queries")[i].values, b.column("rows")[i].values)
                 )
-                sims = np.round(_unit(q) @ _unit(d).T, digits)
+                sims = np.round(unit(q) @ unit(d).T, digits)
                 own = min(k, len(di))
                 least = np.partition(sims, -own, axis=1)[:, -own][:, None]
                 r, c = np.nonzero(sims >= least)  # ties with the last one stay
@@ -125,38 +122,30 @@ def duplicate_pairs(hits: DataFrame, same: float = 0.98, cross: float = 0.9, fam
 
 
 def similar_pairs(items: DataFrame, least: float, digits: int = 6, block_rows: int = 1024) -> DataFrame:
-    """All pairs (query_id < target_id) of (item_id, vec) whose rounded cosine is at least `least`: each two blocks meet once."""
-    n = max(1, -(-items.count() // block_rows))
-    blocks = _block(items, "item_id", "rows", n).withColumnRenamed("rows_block", "at")
-    other = blocks.select(F.col("at").alias("other"), F.col("rows").alias("others"))
-    met = blocks.withColumn("other", F.explode(F.sequence("at", F.lit(n - 1)))).join(other, "other").select((F.col("at") == F.col("other")).alias("same"), "rows", "others")
-
-    def score(frames):
-        for b in frames:
-            for i in range(b.num_rows):
-                sides = (b.column(c)[i].values for c in ("rows", "others"))
-                (xi, x), (yi, y) = ((s.field("id").to_numpy(), s.field("vec").flatten().to_numpy().reshape(len(s), -1)) for s in sides)
-                sims = np.round(_unit(x) @ _unit(y).T, digits)
-                r, c = np.nonzero((sims >= least) & ((xi[:, None] < yi) if b.column("same")[i].as_py() else True))
-                yield pa.RecordBatch.from_pydict({"query_id": np.minimum(xi[r], yi[c]), "target_id": np.maximum(xi[r], yi[c]), "sim": sims[r, c] + 0.0})
-
-    return met.mapInArrow(score, "query_id long, target_id long, sim double")
+    """All pairs (query_id < target_id) of (item_id, vec) whose rounded cosine is at least `least`: blocks that angles to pivots put too far apart don't meet."""
+    blocks = vector_blocks.angle_blocks(items, block_rows=block_rows)
+    return vector_blocks.pairs_of_blocks(blocks, vector_blocks.near_blocks(blocks, least - 0.6 * 10.0**-digits), least, digits)
 
 
-def duplicates_of_vectors(items: DataFrame, same: float, path: str, digits: int = 6) -> DataFrame:
-    """item_id and representative of all (item_id, vec), by every pair of them at or over `same` (over 0).
+def duplicates_of_vectors(items: DataFrame, same: float, path: str, digits: int = 6, cross: float | None = None, family: Callable[[Column], Column] | None = None) -> DataFrame:
+    """item_id and representative of all (item_id, vec), by every pair of them at or over its threshold (over 0).
 
-    Equal vectors have the same neighbours and are linked with each other, so the least id of each stands for all in
-    the scan.  Items without a vector, or with zeros only, have no cosine and represent themselves.
+    The threshold is `same`, or `cross` for two ids whose `family` differs.  Equal vectors of one family have the same
+    neighbours and are linked with each other, so the least id of each stands for all in the scan.  Items without a
+    vector, or with zeros only, have no cosine and represent themselves.
     """
+    of = family or (lambda _: F.lit(0))
+    cross = same if cross is None or family is None else cross
     has = F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
-    firsts = items.where(has).groupBy("vec").agg(F.min("item_id").alias("first"))
+    items = items.select("item_id", "vec", of(F.col("item_id")).alias("family"))
+    firsts = items.where(has).groupBy("vec", "family").agg(F.min("item_id").alias("first"))
     firsts.write.parquet(f"{path}/firsts")
     firsts = items.sparkSession.read.parquet(f"{path}/firsts")
     distinct = firsts.select(F.col("first").alias("item_id"), "vec")
-    duplicate_pairs(similar_pairs(distinct, same, digits), same).select("a", "b").write.parquet(f"{path}/pairs")
+    found = duplicate_pairs(similar_pairs(distinct, min(same, cross), digits), same, cross, of(F.col("a")) == of(F.col("b")))
+    found.select("a", "b").write.parquet(f"{path}/pairs")
     classes = find_duplicates(distinct.select("item_id"), items.sparkSession.read.parquet(f"{path}/pairs"), path)
-    members = items.where(has).join(firsts, "vec").select("item_id", "first").join(classes.withColumnRenamed("item_id", "first"), "first")
+    members = items.where(has).join(firsts, ["vec", "family"]).select("item_id", "first").join(classes.withColumnRenamed("item_id", "first"), "first")
     return members.select("item_id", "representative").unionByName(items.where(~has).select("item_id", F.col("item_id").alias("representative")))
 
 
@@ -210,7 +199,7 @@ def annotation_candidates(hits: DataFrame, n_top: int = 6, n_total: int = 12, p_
     back = F.col("_n") - F.col("rank")
     offered = counted.where((at >= 1) & ((at <= n_top) | ((back % step == 0) & (back / step < rest))))
     tasks = offered.withColumn("duplicate", F.lit(False)).unionByName(offered.where(hash_uniform("query_id", seed=seed + 1) < p_duplicates).withColumn("duplicate", F.lit(True)))
-    order = Window.partitionBy("query_id", "duplicate").orderBy(F.xxhash64("target_id", "duplicate", F.lit(seed)))
+    order = Window.partitionBy("query_id", "duplicate").orderBy(hash_order("target_id", F.col("duplicate").cast("int"), seed=seed + 2), "target_id")
     return tasks.withColumn("place", F.row_number().over(order)).select("query_id", "duplicate", "place", "target_id", "rank")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.operators.random import hash_order, hash_uniform
+
 
 def _item():
     return Window.partitionBy("item_id")
@@ -75,13 +77,8 @@ def standard_scale(cells: DataFrame, n_items: int, with_mean: bool = True, with_
     return cells.join(stats, "feature").select("item_id", "feature", x.alias("value"))
 
 
-def hash_uniform(*columns: Column | str, seed: int = 0) -> Column:
-    """A number in (0, 1) that depends on the columns and the seed only, so retried tasks agree."""
-    return (F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-
-
 def select_random_features(cells: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    picked = cells.select("feature").distinct().orderBy(F.xxhash64("feature", F.lit(seed)), "feature").limit(k)
+    picked = cells.select("feature").distinct().orderBy(hash_order("feature", seed=seed), "feature").limit(k)
     picked = picked.withColumn("new_feature", F.row_number().over(Window.orderBy("feature")) - 1)
     return cells.join(F.broadcast(picked) if k <= 100_000 else picked, "feature").select("item_id", F.col("new_feature").alias("feature"), "value")
 

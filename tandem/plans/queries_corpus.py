@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tandem.operators import bow as B
 from tandem.operators import embed as E
 from tandem.operators import tokens as T
+from tandem.operators.random import uniform_sql
 from tandem.plans import tables as X
 from tandem.plans.registry import query
 
@@ -215,9 +216,10 @@ def token_rows_by_frequency(s, d):
     return out.groupBy("item_id", "word", "freq").agg(F.count("copy").alias("copies"))
 
 
-@query()
+@query(f"WITH {X.WORD_VECTORS}, t AS (SELECT item_id, min({{'wait': round(-ln({uniform_sql('item_id', 'feature', seed=1)}) / value, 12), 'word': feature}}) AS best FROM cells GROUP BY item_id) SELECT item_id, best.word AS word, round(vec[1], 6) AS first, round(list_sum(vec), 4) AS total FROM t LEFT JOIN wv ON wv.word = best.word")
 def sample_word_embedding(s, d):
-    return E.sample_word_embedding(X.cells(s, d), X.word_vectors(s, d), seed=1)
+    drawn = E.sample_word_embedding(X.cells(s, d), X.word_vectors(s, d), seed=1)
+    return drawn.select("item_id", "word", F.round(F.get("vec", F.lit(0)), 6).alias("first"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query()

@@ -8,6 +8,7 @@ from tandem.operators import bow as B
 from tandem.operators import items as D
 from tandem.operators import scale as N
 from tandem.operators import stats as M
+from tandem.operators.random import bits_sql, uniform_sql
 from tandem.plans import tables as X
 from tandem.plans.registry import query
 
@@ -121,17 +122,17 @@ def activations(s, d):
     )
 
 
-@query()
+@query(_M + f", k AS (SELECT feature FROM (SELECT DISTINCT feature FROM m) ORDER BY {bits_sql('feature', seed=3)}, feature LIMIT 100), n AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS new_feature FROM k) SELECT item_id, CAST(new_feature AS INTEGER) AS feature, value FROM m JOIN n USING (feature)")
 def random_features(s, d):
     return N.select_random_features(X.matrix(s, d), 100, seed=3)
 
 
-@query()
+@query(_M + f"SELECT item_id, feature, value FROM m WHERE {uniform_sql('item_id', 'feature', seed=3)} >= 0.3")
 def zero_mask(s, d):
     return N.zero_mask(X.matrix(s, d), 0.3, seed=3)
 
 
-@query()
+@query(_M + f", p AS (SELECT item_id, feature, value / sum(value) OVER (PARTITION BY item_id) AS p FROM m) SELECT item_id, feature, CASE WHEN {uniform_sql('item_id', 'feature', seed=3)} < p THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM p")
 def bernoulli(s, d):
     return N.bernoulli_sample(N.normalize_sum(X.matrix(s, d)), seed=3)
 
@@ -200,14 +201,14 @@ def uniform_steps(s, d):
     return D.uniform_steps(_ranked(s, d), _n(s, d), 7)
 
 
-@query()
+@query(f"SELECT o_orderkey FROM orders ORDER BY {bits_sql('o_orderkey', seed=5)}, o_orderkey LIMIT 20")
 def random_steps(s, d):
     return D.random_steps(X.table(s, d, "orders").select("o_orderkey"), 20, "o_orderkey", 5)
 
 
-@query()
+@query(f"SELECT o_orderkey FROM orders ORDER BY {bits_sql('o_orderkey', seed=6)}, o_orderkey LIMIT 100")
 def sample_items(s, d):
-    return D.sample(X.table(s, d, "orders").select("o_orderkey"), 100, "o_orderkey", 5)
+    return D.sample(X.table(s, d, "orders").select("o_orderkey"), 100, "o_orderkey", 6)
 
 
 _SIZE = "(SELECT count(*) FROM orders) * (SELECT count(*) FROM part)"

@@ -11,6 +11,7 @@ from tandem.operators import layers as L
 from tandem.operators import link as J
 from tandem.operators import retrieve as R
 from tandem.operators._shared import scratch
+from tandem.operators.random import bits_sql, uniform_sql
 from tandem.plans import tables as X
 from tandem.plans.registry import query
 
@@ -206,7 +207,10 @@ def similarity_distribution(s, d):
     return R.similarity_distribution(_hits(s, d, k=10**9))
 
 
-@query()
+_HALF = "h AS (SELECT item_id, vec[1:32] AS vec FROM v), " + f"s2 AS (SELECT a.item_id AS query_id, b.item_id AS target_id, {_COS.format(4)} AS sim FROM h a, h b WHERE a.item_id % 20 = 0), r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, target_id) AS rank FROM s2) "
+
+
+@query(_TOPK + ", " + _HALF + "SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, r.target_id AS target_a, r.sim AS sim_a, r2.target_id AS target_b, r2.sim AS sim_b FROM r JOIN r2 USING (query_id, rank) WHERE r.rank BETWEEN 2 AND 10")
 def compare_indexes(s, d):
     v = X.vectors(s, d)
     half = v.select("item_id", F.slice("vec", 1, 32).alias("vec"))
@@ -214,13 +218,67 @@ def compare_indexes(s, d):
     return R.compare_indexes(_hits(s, d), other)
 
 
-@query()
+def _copies(s, d):
+    """Four items of each vector, more and more bent: their cosines with the first are about 0.99, 0.97 and 0.94."""
+    v = X.vectors(s, d).withColumn("c", F.explode(F.array(*map(F.lit, range(4)))))
+    bent = F.transform("vec", lambda x, j: x * (1 + F.lit(0.15) * F.col("c") * ((j + F.col("item_id")) % 3 - 1)))
+    return v.withColumn("vec", bent).select((F.col("item_id") * 4 + F.col("c")).alias("item_id"), "vec")
+
+
+def _family(item):
+    """Ids of two families, as from two sources."""
+    return item % 2 == 0
+
+
+def _scan(vectors: str, least: str) -> str:
+    """SQL: the scan in id order over `vectors`; only items with a smaller neighbour can be taken, so only these are visited."""
+    return f"""
+WITH RECURSIVE v AS MATERIALIZED ({vectors}),
+p AS MATERIALIZED (SELECT a.item_id AS a, b.item_id AS b FROM v a JOIN v b ON a.item_id < b.item_id WHERE {_COS.format(4)} >= {least}),
+n AS MATERIALIZED (SELECT b AS item, list(a) AS smaller, row_number() OVER (ORDER BY b) AS k FROM p GROUP BY b),
+scan AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken
+    UNION ALL SELECT n.k, CASE WHEN len(list_filter(smaller, lambda x: NOT list_contains(taken, x))) > 0 THEN list_append(taken, item) ELSE taken END
+    FROM scan JOIN n ON n.k = scan.k + 1),
+gone AS (SELECT unnest(arg_max(taken, k)) AS item FROM scan),
+classes AS (SELECT item_id, coalesce(min(a), item_id) AS representative FROM v LEFT JOIN (SELECT a, b FROM p WHERE a NOT IN (SELECT item FROM gone) AND b IN (SELECT item FROM gone)) ON b = item_id GROUP BY item_id)
+"""
+
+
+_SCAN = _scan("SELECT vec_id * 4 + c AS item_id, list_transform(embedding, lambda x, j: CAST(x AS DOUBLE) * (1 + 0.15::DOUBLE * c * ((j - 1 + vec_id) % 3 - 1))) AS vec FROM embeddings, (SELECT unnest(range(4)) AS c)", "CASE WHEN a.item_id % 2 = b.item_id % 2 THEN 0.98 ELSE 0.9 END")
+_PREFER = "SELECT item_id, min(CASE WHEN item_id % 2 = 0 THEN 1000000000 ELSE 0 END + item_id) OVER (PARTITION BY representative) % 1000000000 AS representative FROM classes"
+
+
+def _classes(s, d):
+    return R.duplicates_of_vectors(_copies(s, d), 0.98, scratch(s, "duplicates"), digits=4, cross=0.9, family=_family)
+
+
+@query(_scan("SELECT vec_id AS item_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings", "0.3") + _PREFER)
 def find_duplicates(s, d):
     classes = R.duplicates_of_vectors(X.vectors(s, d).select("item_id", "vec"), 0.3, scratch(s, "duplicates"), digits=4)
     return R.prefer_family(classes, F.col("item_id") % 2 == 0)
 
 
-@query()
+@query(_SCAN + "SELECT item_id, representative FROM classes")
+def duplicate_classes(s, d):
+    """0.98 inside a family of ids, 0.9 across."""
+    return _classes(s, d)
+
+
+@query(_SCAN + _PREFER)
+def prefer_family(s, d):
+    """A class of even ids only keeps its first, any other takes its first odd id."""
+    return R.prefer_family(_classes(s, d), _family(F.col("item_id")))
+
+
+_OFFERED = _TOPK + f""", n AS (SELECT *, max(rank) OVER (PARTITION BY query_id) AS n, CASE WHEN {uniform_sql('query_id', seed=4)} >= 0.5 THEN 1 ELSE 0 END AS skip FROM r),
+o AS (SELECT query_id, target_id, rank FROM (SELECT *, n - rank AS back, greatest((n - skip - 6) // 6, 1) AS step FROM n)
+      WHERE rank - skip >= 1 AND (rank - skip <= 6 OR (back % step = 0 AND back // step < 6))),
+t AS (SELECT *, false AS duplicate FROM o UNION ALL SELECT *, true AS duplicate FROM o WHERE {uniform_sql('query_id', seed=5)} < 0.25)
+SELECT query_id, duplicate, CAST(row_number() OVER (PARTITION BY query_id, duplicate ORDER BY {bits_sql('target_id', 'CAST(duplicate AS INTEGER)', seed=6)}, target_id) AS INTEGER) AS place, target_id, CAST(rank AS INTEGER) AS rank FROM t
+"""
+
+
+@query(_OFFERED)
 def annotation_candidates(s, d):
     return R.annotation_candidates(_hits(s, d, k=10**9), seed=4)
 
@@ -433,29 +491,98 @@ def weight_norms(s, d):
     return L.weight_norms(w).withColumns({c: F.round(c, 4) for c in ("l1", "l2")})
 
 
-@query()
+_ENERGY = "SELECT item_id, -sum(ln(1 + exp(z))) - any_value(b) AS e FROM (SELECT item_id, j, sum({0}[i + 1] * sin(i * 8 + j + 1) / 4) + any_value(cos(j) / 4) AS z, sum({0}[i + 1] * sin(i) / 8) AS b FROM x, range(64) a(i), range(8) b(j) GROUP BY item_id, j) GROUP BY item_id"
+
+
+@query(_V + f", x AS (SELECT item_id, list_transform(vec, lambda y: round_even(y, 0)) AS x, list_transform(vec, lambda y, k: CASE WHEN k = 1 THEN 1 - round_even(y, 0) ELSE round_even(y, 0) END) AS y FROM v), ex AS ({_ENERGY.format('x')}), ey AS ({_ENERGY.format('y')}) SELECT item_id, round(-64 * ln(1 + exp(ex.e - ey.e)), 6) AS value FROM ex JOIN ey USING (item_id)")
 def pseudo_likelihood(s, d):
-    return L.pseudo_likelihood(X.vectors(s, d), _layer())
+    return L.pseudo_likelihood(X.vectors(s, d), _layer()).withColumn("value", F.round("value", 6))
 
 
-@query()
+def _up_sql(source: str, n_out: int, shift: int, activation: str) -> str:
+    """Rows (item_id, i, value) through a layer whose weights are sin(i * n_out + j + shift) / 4."""
+    z = f"sum(value * sin(i * {n_out} + j + {shift}) / 4) + any_value(cos(j) / 4)"
+    out = {"sigmoid": f"1 / (1 + exp(-({z})))", "tanh": f"tanh({z})"}[activation]
+    return f"SELECT item_id, j AS i, {out} AS value FROM {source}, range({n_out}) b(j) GROUP BY item_id, j"
+
+
+def _down_sql(source: str, n_in: int, n_out: int, shift: int) -> str:
+    return f"SELECT item_id, k AS i, 1 / (1 + exp(-(sum(value * sin(k * {n_out} + i + {shift}) / 4) + any_value(sin(k) / 8)))) AS value FROM {source}, range({n_in}) c(k) GROUP BY item_id, k"
+
+
+def _complete_sql(text: str, dim_text: int, dim_img: int, units: int, shift: int, k: int, seed: int) -> tuple[str, str]:
+    """CTEs of k clamped steps and the last one's name."""
+    parts, image = [], f"(SELECT DISTINCT item_id, unnest(range({dim_text}, {dim_text + dim_img})) AS i, 0.0::DOUBLE AS value FROM {text})"
+    for step in range(k):
+        last = step == k - 1
+        value = "value" if last else f"CASE WHEN {uniform_sql('item_id', 'i', seed=seed + 2 * step)} < value THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+        parts.append(f"x{step} AS (SELECT item_id, i, value FROM {text} UNION ALL SELECT item_id, i, value FROM {image})")
+        parts.append(f"u{step} AS MATERIALIZED ({_up_sql(f'x{step}', units, shift, 'sigmoid')})")
+        parts.append(f"h{step} AS MATERIALIZED (SELECT item_id, i, {value} AS value FROM u{step})")
+        parts.append(f"i{step} AS MATERIALIZED (SELECT * FROM ({_down_sql(f'h{step}', dim_text + dim_img, units, shift)}) WHERE i >= {dim_text})")
+        image = f"i{step}"
+    return ", ".join(parts), image
+
+
+_CELLS40 = _V + ", t AS MATERIALIZED (SELECT item_id, unnest(range(40)) AS i, unnest(vec[1:40]) AS value FROM v), "
+_STEPS, _IMAGE = _complete_sql("t", 40, 24, 8, 1, 5, 2)
+
+
+@query(_CELLS40 + _STEPS + f" SELECT item_id, CAST(i - 40 AS INTEGER) AS unit, round(value, 6) AS value FROM {_IMAGE}")
 def complete_modality(s, d):
     text = X.vectors(s, d).select("item_id", F.slice("vec", 1, 40).alias("vec"))
-    return L.complete_modality(text, _layer(), 40, 24, k=5, seed=2)
+    out = L.complete_modality(text, _layer(), 40, 24, k=5, seed=2)
+    return out.select("item_id", F.posexplode("vec").alias("unit", "value")).withColumn("value", F.round("value", 6))
+
+
+def _formula(n_in: int, n_out: int, shift: int, activation: str = "sigmoid"):
+    w = [[math.sin(i * n_out + j + shift) / 4 for j in range(n_out)] for i in range(n_in)]
+    return L.layer(w, [math.cos(j) / 4 for j in range(n_out)], [math.sin(i) / 8 for i in range(n_in)], activation, "sigmoid")
 
 
-@query()
+_CELLS64 = _V + ", v0 AS (SELECT item_id, unnest(range(64)) AS i, unnest(vec) AS value FROM v), "
+_STACK = f"t1 AS MATERIALIZED ({_up_sql('v0', 16, 3, 'sigmoid')}), t AS MATERIALIZED ({_up_sql('t1', 6, 5, 'tanh')})"
+_STEPS2, _IMAGE2 = _complete_sql("t", 6, 6, 5, 7, 3, 9)
+
+
+@query(_CELLS64 + _STACK + " SELECT item_id, CAST(i AS INTEGER) AS unit, round(value, 6) AS value FROM t")
+def stack_forward(s, d):
+    out = L.stack_forward(X.vectors(s, d), [_formula(64, 16, 3), _formula(16, 6, 5, "tanh")])
+    return out.select("item_id", F.posexplode("vec").alias("unit", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(_CELLS64 + _STACK + ", " + _STEPS2 + f", m0 AS (SELECT item_id, i - 6 AS i, value FROM {_IMAGE2}), m1 AS MATERIALIZED ({_down_sql('m0', 16, 6, 5)}), m2 AS ({_down_sql('m1', 64, 16, 3)}) SELECT item_id, CAST(i AS INTEGER) AS unit, round(value, 6) AS value FROM m2")
+def text_to_image(s, d):
+    """Two layers up on the text side, the joint layer, and the mirrored two layers down on the image side."""
+    side = [_formula(64, 16, 3), _formula(16, 6, 5, "tanh")]
+    out = L.text_to_image(X.vectors(s, d), side, _formula(12, 5, 7), side, k=3, seed=9)
+    return out.select("item_id", F.posexplode("vec").alias("unit", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT true AS optimal, count(*) FILTER (vec_id % 5 <> 0) AS rows, count(*) FILTER (vec_id % 5 = 0) AS held_out, true AS better FROM embeddings")
 def softmax_classifier(s, d):
+    """The fitted weights are the one optimum of the ridge objective: its gradient there is under 1e-4; and they explain the rows better than the labels' shares."""
     from tandem.operators import learn
 
     v = X.vectors(s, d)
-    return learn.evaluate(learn.predict(learn.softmax_classifier(v.where("item_id % 5 <> 0"), 20), v.where("item_id % 5 = 0")))
-
-
-@query()
+    train, test = v.where("item_id % 5 <> 0"), v.where("item_id % 5 = 0")
+    model = learn.softmax_classifier(train, 200, reg=0.01, tol=1e-10)
+    found = learn.softmax_gradient(model, train, reg=0.01)
+    scored = learn.evaluate(learn.predict(model, train)).select(F.col("nll").alias("nll"))
+    held = learn.evaluate(learn.predict(model, test).withColumn("_n", F.lit(1))).select("error")
+    n = test.agg(F.count("*").alias("held_out"))
+    shares = train.groupBy("label").count().agg((F.sum("count") * F.log(F.sum("count")) - F.sum(F.col("count") * F.log("count"))).alias("x"), F.sum("count").alias("n")).select((F.col("x") / F.col("n")).alias("prior"))
+    row = found.join(scored).join(n).join(shares).join(held)  # one row each
+    return row.select((F.col("gradient") < 1e-4).alias("optimal"), "rows", "held_out", ((F.col("nll") < F.col("prior")) & F.col("error").between(0, 1)).alias("better"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 5 <> 0) AS rows, true AS better FROM embeddings")
 def mlp_classifier(s, d):
+    """A network explains the rows it was trained on better than the labels' shares do."""
     from tandem.operators import learn
 
-    v = X.vectors(s, d)
-    n = v.agg(F.max("label")).first()[0] + 1
-    return learn.evaluate(learn.predict(learn.mlp_classifier(v.where("item_id % 5 <> 0"), [64, 16, n], 20), v.where("item_id % 5 = 0")))
+    train = X.vectors(s, d).where("item_id % 5 <> 0")
+    n = train.agg(F.max("label")).first()[0] + 1
+    scored = learn.evaluate(learn.predict(learn.mlp_classifier(train, [64, 16, n], 60), train)).select("nll")
+    shares = train.groupBy("label").count().agg((F.sum("count") * F.log(F.sum("count")) - F.sum(F.col("count") * F.log("count"))).alias("x"), F.sum("count").alias("n"))
+    return scored.join(shares).select(F.col("n").alias("rows"), (F.col("nll") < F.col("x") / F.col("n")).alias("better"))  # one row each

@@ -19,6 +19,10 @@ from tandem.operators._shared import written
 
 #: Features with parts that are broadcast at most; there are fewer than cells / part_rows of them.
 HOT_FEATURES = 10_000
+#: Up to so many joined rows for each cell of the database the plain join is made.
+PLAIN = 4
+#: The bounds are used if they leave at most this share of the joined rows.
+MOST = 0.6
 
 
 def query_bounds(queries: DataFrame, postings: DataFrame) -> DataFrame:
@@ -30,8 +34,10 @@ def query_bounds(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return met.select("query_id", "feature", "q", "n", F.least(weights, norm).alias("bound"))
 
 
-def _dealt(left: DataFrame, right: DataFrame, hot: DataFrame, item: str) -> DataFrame:
+def _dealt(left: DataFrame, right: DataFrame, hot: DataFrame | None, item: str) -> DataFrame:
     """Join on the feature; `right`'s rows of a hot feature are dealt to parts by their item, `left`'s go to each part."""
+    if hot is None:
+        return left.join(right, "feature")
     parts = F.coalesce("parts", F.lit(1))
     a = left.join(hot, "feature", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).drop("parts")
     b = right.join(hot, "feature", "left").withColumn("_part", F.pmod(F.xxhash64(item), parts).cast("int")).drop("parts")
@@ -44,16 +50,23 @@ def _scores(pairs: DataFrame, cells: DataFrame, database: DataFrame) -> DataFram
     return found.groupBy("query_id", "target_id").agg(F.sum(F.col("q") * F.col("d")).alias("sim"))
 
 
-def needed_postings(queries: DataFrame, database: DataFrame, k: int, digits: int, part_rows: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cells of the queries with `needed`, `goal` (what a score has to reach; null: anything) ; database; hot features.
+def _hot(postings: DataFrame, part_rows: int) -> DataFrame | None:
+    """feature and parts of the long postings, HOT_FEATURES at most; None if there are none."""
+    size, longest = postings.agg(F.sum("n"), F.max("n")).first()
+    per_part = max(part_rows, -(-(size or 0) // HOT_FEATURES))
+    if (longest or 0) <= per_part:
+        return None
+    return F.broadcast(postings.where(F.col("n") > per_part).select("feature", F.ceil(F.col("n") / per_part).alias("parts")))
 
-    database: target_id, feature and d; hot: feature and parts.
-    """
-    d = database.select(F.col("item_id").alias("target_id"), "feature", F.col("value").alias("d"))
-    postings = written(d.groupBy("feature").agg(F.count("*").alias("n"), F.max(F.abs("d")).alias("w")), "postings")
-    size = postings.agg(F.sum("n")).first()[0] or 0
-    per_part = max(part_rows, -(-size // HOT_FEATURES))
-    hot = F.broadcast(postings.where(F.col("n") > per_part).select("feature", F.ceil(F.col("n") / per_part).alias("parts")))  # HOT_FEATURES at most
+
+def indexed(database: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the database as target_id, feature, d; for each feature n (postings) and w (largest weight)."""
+    d = written(database.select(F.col("item_id").alias("target_id"), "feature", F.col("value").alias("d")), "index")
+    return d, written(d.groupBy("feature").agg(F.count("*").alias("n"), F.max(F.abs("d")).alias("w")), "postings")
+
+
+def needed_cells(queries: DataFrame, d: DataFrame, postings: DataFrame, k: int, digits: int) -> DataFrame:
+    """Written table: the queries' cells with `needed` and `goal` (what a score has to reach; null: anything)."""
     cells = written(query_bounds(queries, postings), "query-bounds")
     heaviest = Window.partitionBy("feature").orderBy(F.desc(F.abs("d")), "target_id")
     champions = d.join(cells.select("feature").distinct(), "feature", "left_semi").withColumn("_r", F.row_number().over(heaviest)).where(F.col("_r") <= k).drop("_r")
@@ -63,12 +76,23 @@ def needed_postings(queries: DataFrame, database: DataFrame, k: int, digits: int
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim")))
     goals = _scores(seeds, cells, d).withColumn("_r", place).where(F.col("_r") == k).select("query_id", (F.col("sim") - 10.0**-digits).alias("goal"))
     cells = cells.join(goals, "query_id", "left").withColumn("needed", F.col("goal").isNull() | (F.col("bound") >= F.col("goal")))
-    return written(cells, "query-cells"), d, hot
+    return written(cells, "query-cells")
 
 
 def topk(queries: DataFrame, database: DataFrame, k: int, digits: int, part_rows: int = 10_000) -> DataFrame:
-    """query_id, target_id and sim of a superset of each query's k best, with exact scores."""
-    cells, d, hot = needed_postings(queries, database, k, digits, part_rows)
+    """query_id, target_id and sim of a superset of each query's k best, with exact scores.
+
+    All postings are joined at once where that makes few rows for each cell of the database (the bounds would cost more
+    than they save), and where the bounds leave most of the rows.
+    """
+    d, postings = indexed(database)
+    hot = _hot(postings, part_rows)
+    wanted = queries.groupBy("feature").agg(F.count("*").alias("q"))
+    joined, size = postings.join(wanted, "feature", "left").agg(F.sum(F.col("n") * F.col("q")), F.sum("n")).first()
+    cells = needed_cells(queries, d, postings, k, digits) if (joined or 0) > PLAIN * (size or 0) else None
+    if cells is None or cells.where("needed").agg(F.sum("n")).first()[0] > MOST * joined:
+        q = queries.select(F.col("item_id").alias("query_id"), "feature", F.col("value").alias("q"))
+        return _dealt(q, d, hot, "target_id").groupBy("query_id", "target_id").agg(F.sum(F.col("q") * F.col("d")).alias("sim"))
     rest = F.max(F.when(~F.col("needed"), F.col("bound"))).over(Window.partitionBy("query_id"))
     cells = cells.withColumn("rest", F.coalesce(rest, F.lit(0.0)))
     met = _dealt(cells.where("needed").select("query_id", "feature", "q", "goal", "rest"), d, hot, "target_id")
@@ -82,10 +106,6 @@ def topk(queries: DataFrame, database: DataFrame, k: int, digits: int, part_rows
 
 def all_pairs(queries: DataFrame, database: DataFrame, part_rows: int = 10_000) -> DataFrame:
     """query_id, target_id and sim of all pairs that share a feature."""
-    sizes = database.groupBy("feature").agg(F.count("*").alias("n"))
+    d, postings = indexed(database)
     q = queries.select(F.col("item_id").alias("query_id"), "feature", F.col("value").alias("q"))
-    d = database.select(F.col("item_id").alias("target_id"), "feature", F.col("value").alias("d"))
-    sizes = written(sizes, "postings")
-    per_part = max(part_rows, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // HOT_FEATURES))
-    hot = F.broadcast(sizes.where(F.col("n") > per_part).select("feature", F.ceil(F.col("n") / per_part).alias("parts")))  # HOT_FEATURES at most
-    return _dealt(q, d, hot, "target_id").groupBy("query_id", "target_id").agg(F.sum(F.col("q") * F.col("d")).alias("sim"))
+    return _dealt(q, d, _hot(postings, part_rows), "target_id").groupBy("query_id", "target_id").agg(F.sum(F.col("q") * F.col("d")).alias("sim"))

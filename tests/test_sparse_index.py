@@ -34,7 +34,9 @@ def plain(rows, k, digits, every=10):
 
 
 @pytest.mark.parametrize(("common", "sign", "k"), [(True, 1, 5), (False, -1, 3), (True, -1, 400)])
-def test_topk_equals_all_pairs(spark, common, sign, k):
+def test_topk_equals_all_pairs(spark, monkeypatch, common, sign, k):
+    monkeypatch.setattr(sparse_index, "PLAIN", 0)  # always by the bounds
+    monkeypatch.setattr(sparse_index, "MOST", 1)
     rows, cells = make(spark, random.Random(k), 300, common, sign)
     got = retrieve.similarity_topk_sparse(cells.where("item_id % 10 = 0"), cells, k, digits=4).collect()
     assert {(r["query_id"], r["target_id"], r["sim"] + 0.0, r["rank"]) for r in got} == plain(rows, k, 4)
@@ -44,12 +46,13 @@ def test_a_feature_of_every_item_is_not_read(spark):
     """The joined rows are those of the needed postings: far fewer than of all shared features."""
     rows, cells = make(spark, random.Random(2), 1500, True)
     queries = cells.where("item_id % 10 = 0")
-    needed, d, hot = sparse_index.needed_postings(queries, cells, 3, 4, part_rows=100)
+    d, postings = sparse_index.indexed(cells)
+    needed = sparse_index.needed_cells(queries, d, postings, 3, 4)
     whole = needed.agg(F.sum("n")).first()[0]
     read = needed.where("needed").agg(F.sum("n")).first()[0]
-    assert read < whole / 4
+    assert whole > sparse_index.PLAIN * len(rows) and read < whole / 4
     assert needed.where("feature = 'all' AND needed").count() < 0.2 * 150
-    assert {r["feature"]: r["parts"] for r in hot.collect()}["all"] == 15
+    assert {r["feature"]: r["parts"] for r in sparse_index._hot(postings, 100).collect()}["all"] == 15
     got = sparse_index.topk(queries, cells, 3, 4, part_rows=100)
     want = sparse_index.all_pairs(queries, cells, part_rows=100)
     assert retrieve.ranked(got, 3, 4).exceptAll(retrieve.ranked(want, 3, 4)).count() == 0

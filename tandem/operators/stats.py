@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.operators._shared import written
+from tandem.operators.gram import gram
 from tandem.operators.scale import scale_to_average_covariance, second_moments
 
 
@@ -73,21 +75,26 @@ def feature_values(cells: DataFrame, feature) -> DataFrame:
 
 
 def pairwise_features(cells: DataFrame, features: DataFrame, metric: Callable[[], Column], n_items: int) -> DataFrame:
-    """A metric over each pair (i < j) of the selected features, from the sums over items that hold either.
+    """A metric over each pair (i < j) of the selected features, from the tiles of X'X; features without cells have no pair.
 
     metric gets columns n, sx, sy, sxx, syy, sxy of the pair, absent cells being 0.
     """
-    own = cells.join(F.broadcast(features.select("feature")), "feature")
-    moments = own.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
-    x = own.select("item_id", F.col("feature").alias("i"), F.col("value").alias("x"))
-    y = own.select("item_id", F.col("feature").alias("j"), F.col("value").alias("y"))
-    products = x.join(y, "item_id").where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    present = features.select("feature").distinct().join(cells.select("feature").distinct(), "feature", "left_semi")
+    products, moments = gram(cells, present)
+    moments = written(moments, "moments")  # a row for each feature
+    small = F.broadcast if moments.count() <= 100_000 else (lambda df: df)
     a = moments.select(F.col("feature").alias("i"), F.col("s").alias("sx"), F.col("ss").alias("sxx"))
     b = moments.select(F.col("feature").alias("j"), F.col("s").alias("sy"), F.col("ss").alias("syy"))
-    pairs = a.join(F.broadcast(b), F.col("i") < F.col("j")).join(products, ["i", "j"], "left").withColumn("sxy", F.coalesce("sxy", F.lit(0.0)))
+    pairs = products.withColumnRenamed("s", "sxy").join(small(a), "i").join(small(b), "j")
     return pairs.withColumn("n", F.lit(float(n_items))).select("i", "j", metric().alias("value"))
 
 
+def grid_average(pairs: DataFrame) -> DataFrame:
+    """One row: the average over all cells of the symmetric grid off its diagonal, and their number; missing values are left out."""
+    value = F.when(~F.isnan("value"), F.col("value"))
+    return pairs.agg(F.avg(value).alias("average"), (2 * F.count(value)).alias("cells"))
+
+
 def pair_mse() -> Column:
     return (F.col("sxx") - 2 * F.col("sxy") + F.col("syy")) / F.col("n")
 

@@ -283,6 +283,16 @@ def correlation(s, d):
     return M.correlation_matrix(c, f, n).withColumn("value", F.round("value", 6))
 
 
+_GRID = "SELECT '{0}' AS metric, round(avg({1}), 6) AS average, 2 * count(*) AS cells FROM (SELECT {2} AS value FROM u GROUP BY i, j)"
+
+
+@query(_PAIRS.replace("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, ", "") + _GRID.format("mse", "value", "avg((x - y) * (x - y))") + " UNION ALL " + _GRID.format("correlation", "value", "corr(x, y)"))
+def grid_averages(s, d):
+    c, f, n = _dims(s, d)
+    rows = [M.grid_average(p).select(F.lit(name).alias("metric"), F.round("average", 6).alias("average"), "cells") for name, p in (("mse", M.pairwise_features(c, f, M.pair_mse, n)), ("correlation", M.correlation_matrix(c, f, n)))]
+    return rows[0].unionByName(rows[1])
+
+
 @query(f"WITH {X.VECTORS}, u AS (SELECT vec[1] AS x, vec[2] AS y FROM v) SELECT round(avg((x - y) ** 2), 6) AS mse, round(sqrt(avg((x - y) ** 2)), 6) AS rmse, round(avg(abs(x - y)), 6) AS mae, round(sqrt(avg((x - y) ** 2)) / (greatest(max(x), max(y)) - least(min(x), min(y))), 6) AS range_rmse FROM u")
 def column_distances(s, d):
     out = M.column_distances(X.vectors(s, d).select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y")))

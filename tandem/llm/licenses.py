@@ -1,11 +1,12 @@
 """Licence scan by a positional index of rare tokens.
 
-The index lists where the rarest words of each licence template stand in it.  A file's highest-IDF licence words are
-looked up: of each stretch of `STRETCH` licence words the `rare` rarest, so that a long file is looked up everywhere.
-Each posting votes for the place where its template would have to begin, and the votes of one template meet where the
-words keep their relative positions.  A place on which a part of them agree is verified: enough of the template's rare
-words must stand where they belong, and every mandatory key phrase must stand near.  Document frequencies are counted
-over all documents.
+A template is known by where its `rare` words of highest IDF stand in it; a match has to have the share `agree` of
+these in their places.  Of n such places at least m have to agree, so of any n - m + 2 of them two do: the index lists
+those with the rarest words.  A file's words that are listed are looked up, all of them and in the whole file.  Each
+posting votes for the place where its template would have to begin, and the votes of one template meet where the words
+keep their relative positions.  Every place with two votes (one where a single word suffices) is verified: enough of
+the template's rare words must stand where they belong, and every mandatory key phrase must stand near.  So no place
+that passes is missed, whatever stands around it.  Document frequencies are counted over all documents.
 
 Besides, all places of the base phrases are counted; a base phrase gives its label without further conditions.
 
@@ -27,13 +28,31 @@ from pyspark.sql import functions as F
 
 from tandem.llm._common import ALNUM_WORDS, batches, row_starts, text_bytes, word_hashes
 
-#: Licence words of a document that are looked up together, and the part of a match that has to agree on a place.
-STRETCH, PART = 32, 0.5
-
 #: Labels and phrases that are counted everywhere.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Public licence notices: label, text, key phrases that a match must hold.
+_BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+#: Public licence texts and notices: label, text, key phrases that a match must hold.  Fixed values.
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "mit-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -71,6 +90,42 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
         "the following conditions are met",
         ("redistribution and use in source and binary forms",),
     ),
+    "bsd-2-clause-text": (_BSD_GRANT + _BSD_DISCLAIMER, ("redistributions in binary form must reproduce", "even if advised of the possibility of such damage")),
+    "bsd-3-clause-text": (_BSD_GRANT + _BSD_NAMES + _BSD_DISCLAIMER, ("neither the name", "endorse or promote products", "even if advised of the possibility of such damage")),
+    "apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
+        ("apache license", "unless required by applicable law", "limitations under the license"),
+    ),
+    "gpl-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
+        "details. You should have received a copy of the GNU General Public License along with this program.",
+        ("gnu general public license", "without any warranty"),
+    ),
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS "
+        "IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ("the author disclaims all warranties", "use or performance of this software"),
+    ),
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors "
+        "of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication "
+        "for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to "
+        "be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+        ("free and unencumbered software", "overt act of relinquishment"),
+    ),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla public license",)),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
@@ -99,11 +154,14 @@ class Index:
         self.bodies, self.keys = [number(b) for b in self.bodies], [[number(p) for p in ps] for ps in self.keys]
         self.base = [(label, number(p)) for label, p in self.base]
 
-    def post(self, rank: np.ndarray, rare: int) -> None:
-        """List where the `rare` rarest words of each template stand: by word, and by template (`own`)."""
+    def post(self, rank: np.ndarray, rare: int, agree: float) -> None:
+        """Where the `rare` rarest words of each template stand (`own`), the votes a match gets at least, and the postings by word."""
         rarest = [set(sorted(set(b.tolist()), key=lambda w: rank[w])[:rare]) for b in self.bodies]
         self.own = [np.array([(at, w) for at, w in enumerate(b.tolist()) if w in rarest[t]]).reshape(-1, 2) for t, b in enumerate(self.bodies)]
-        rows = np.concatenate([np.column_stack([o, np.full(len(o), t)]) for t, o in enumerate(self.own)])
+        need = [next(m for m in range(len(o) + 1) if m >= agree * len(o) or m / len(o) >= agree) for o in self.own]
+        self.votes = np.array([max(1, min(2, m)) for m in need])
+        listed = [o[np.lexsort((o[:, 0], rank[o[:, 1]]))][: len(o) - m + v] for o, m, v in zip(self.own, need, self.votes, strict=True)]
+        rows = np.concatenate([np.column_stack([o, np.full(len(o), t)]) for t, o in enumerate(listed)])
         rows = rows[np.argsort(rows[:, 1], kind="stable")]
         self.post_at, self.post_template = rows[:, 0], rows[:, 2]
         self.first = np.searchsorted(rows[:, 1], np.arange(len(self.words) + 1))
@@ -167,32 +225,23 @@ def scan(
     order = np.lexsort((index.words, -idf))  # rarest first
     rank = np.empty(len(order), int)
     rank[order] = np.arange(len(order))
-    index.post(rank, rare)
+    index.post(rank, rare, agree)
     total = np.array([len(o) for o in index.own])
     longest = max((len(b) for b in index.bodies), default=0)
 
-    def candidates(row: np.ndarray, at: np.ndarray, num: np.ndarray, n_rows: int) -> np.ndarray:
-        """Row, template and begin of the places on which enough postings of the rows' rarest words agree."""
-        has = np.flatnonzero(index.first[num + 1] > index.first[num])
-        row, at, num = row[has], at[has], num[has]
-        if not len(row):
-            return np.zeros((0, 3), np.int64)
-        stretch = (np.arange(len(row)) - row_starts(row, n_rows)[row]) // STRETCH
-        word = (row * (stretch.max() + 1) + stretch) * len(rank) + rank[num]
-        looked = np.unique(word)
-        group = looked // len(rank)
-        looked = looked[np.arange(len(looked)) - np.searchsorted(group, group) < rare]
-        i = np.searchsorted(looked, word)
-        i[i == len(looked)] = 0
-        hit = np.flatnonzero(looked[i] == word)
-        row, at, num = row[hit], at[hit], num[hit]
+    def candidates(row: np.ndarray, at: np.ndarray, num: np.ndarray) -> np.ndarray:
+        """Row, template and begin of the places on which enough postings agree."""
         n = index.first[num + 1] - index.first[num]
+        hit = np.flatnonzero(n)
+        if not len(hit):
+            return np.zeros((0, 3), np.int64)
+        row, at, num, n = row[hit], at[hit], num[hit], n[hit]
         which = np.repeat(index.first[num] - np.cumsum(n) + n, n) + np.arange(n.sum())
         template, begin = index.post_template[which], np.repeat(at, n) - index.post_at[which]
         span = at.max() + longest + 1
         place, votes = np.unique((np.repeat(row, n) * len(total) + template) * span + begin + longest, return_counts=True)
         template = place // span % len(total)
-        some = votes >= np.maximum(np.minimum(2, total[template]), PART * agree * total[template])
+        some = votes >= index.votes[template]
         place, template = place[some], template[some]
         return np.column_stack([place // span // len(total), template, place % span - longest])
 
@@ -241,7 +290,7 @@ def scan(
                 np.maximum.at(last, prow[at], local[at])
                 for r in set(prow[at].tolist()):
                     labels[r].add(label)
-            met = matches(candidates(prow, local, num, n_rows), starts, pos, num, row_starts(prow, n_rows))
+            met = matches(candidates(prow, local, num), starts, pos, num, row_starts(prow, n_rows))
             found = [met.get(r, []) for r in range(n_rows)]
             cols = {c: b.column(c) for c in keep} | {
                 "n_words": pa.array(np.diff(starts), pa.int64()),

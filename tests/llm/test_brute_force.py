@@ -1,6 +1,7 @@
 """Registered queries that SQL can't express, whole, against plain loops on the smallest tables."""
 
 import math
+import random
 import re
 import unicodedata
 import zlib
@@ -103,6 +104,44 @@ def test_licences(spark, documents):
         assert r["labels"] == ",".join(sorted(labels))
 
 
+def test_mixed_licences(spark):
+    """Templates and parts of them in any order and at any distance, against every place of every template."""
+    rng = random.Random(11)
+    bodies = [t for t, _ in licenses.TEMPLATES.values()]
+    filler = "the use of this and that in all of the parts of the work is subject to the license version notice".split()
+    texts = ["Released under the MIT License. " + licenses.TEMPLATES["mit-text"][0], "Licensed under the Apache License, Version 2.0. " + licenses.TEMPLATES["mit-text"][0], licenses.TEMPLATES["mit-text"][0] + " Released under the MIT License."]
+    for _ in range(60):
+        out = []
+        for _ in range(rng.randrange(1, 7)):
+            words = rng.choice(bodies).split()
+            if rng.random() < 0.5:  # some words lost or changed
+                words = [rng.choice(filler) if rng.random() < 0.3 else w for w in words if rng.random() > 0.03]
+            out += words + [rng.choice(filler) for _ in range(rng.choice([0, 0, 3, 40]))]
+        texts.append(" ".join(out))
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall(lower(t))
+    docs = [split(t) for t in texts]
+    df = Counter(w for ws in docs for w in set(ws))
+    keys = {w: int(licenses.hashed(w)[0]) for body in bodies for w in split(body)}
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    stands = lambda ws, p: [i for i in range(len(ws) - len(p) + 1) if ws[i : i + len(p)] == p]
+    shapes = {}
+    for label, (body, phrases) in licenses.TEMPLATES.items():
+        body = split(body)
+        rarest = set(sorted(set(body), key=lambda w: (-math.log((1 + len(docs)) / (1 + df[w])), keys[w]))[:16])
+        shapes[label] = (len(body), [(n, w) for n, w in enumerate(body) if w in rarest], [split(p) for p in phrases])
+    for i, ws in enumerate(docs):
+        want = {label for p, label in licenses.BASE.items() if stands(ws, split(p))}
+        for label, (n_body, own, phrases) in shapes.items():
+            seen = [stands(ws, p) for p in phrases]
+            for begin in range(-n_body, len(ws)) if all(seen) else ():
+                agree = sum(0 <= begin + n < len(ws) and ws[begin + n] == w for n, w in own)
+                if agree / len(own) >= 0.6 and all(any(begin - 8 <= p <= begin + n_body + 8 for p in s) for s in seen):
+                    want.add(label)
+        assert got[i] == ",".join(sorted(want))
+    assert "mit-notice" in got[0].split(",") and "apache-2.0-notice" in got[1].split(",")
+
+
 def test_whole_licence_in_a_long_text(spark):
     """Templates are found behind and between long texts, in a file that holds all of them."""
     prose = "the use of this and that in all of the parts of the work is subject to the following "

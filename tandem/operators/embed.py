@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.operators.embed_sums import pooled
 from tandem.operators.random import hash_uniform
 from tandem.operators.tokens import strip_sense_number
 
@@ -17,12 +18,7 @@ def _word(column: Column, lowercase: bool, strip_sense: bool) -> Column:
 def pool_embeddings(cells: DataFrame, word_vectors: DataFrame, dim: int, op: str = "avg", lowercase: bool = False, strip_sense: bool = False) -> DataFrame:
     """item_id and vec over the item's distinct words; an unknown word counts as a zero row."""
     words = cells.select("item_id", _word(F.col("feature"), lowercase, strip_sense).alias("word")).distinct()
-    joined = words.join(word_vectors, "word", "left")
-    zero = F.array(*[F.lit(0.0)] * dim)
-    fold = {"max": F.max, "sum": F.sum, "avg": F.avg}[op]
-    vec = F.coalesce("vec", zero)
-    aggs = [fold(vec[i]).alias(f"_{i}") for i in range(dim)]  # one pass, no explosion of rows
-    return joined.groupBy("item_id").agg(*aggs).select("item_id", F.array(*[f"_{i}" for i in range(dim)]).alias("vec"))
+    return pooled(words, word_vectors, dim, op)
 
 
 def _known(cells: DataFrame, word_vectors: DataFrame) -> DataFrame:

@@ -175,13 +175,13 @@ def compare_representations(s, d):
 
 
 def _pool_sql(op):
-    lists = ", ".join(f"round({op}(coalesce(vec[{i}], 0)), 6) AS d{i}" for i in range(1, 9))
+    lists = ", ".join(f"round({op}(coalesce(vec[{i}], 0)), 6) AS d{i}" for i in range(1, 65))
     return f"WITH {X.WORD_VECTORS} SELECT item_id, {lists} FROM cells LEFT JOIN wv ON feature = word GROUP BY item_id"
 
 
 def _pooled(s, d, op):
-    out = E.pool_embeddings(X.cells(s, d), X.word_vectors(s, d), 8, op)
-    return out.select("item_id", *[(F.round(F.col("vec")[i], 6) + F.lit(0.0)).alias(f"d{i + 1}") for i in range(8)])
+    out = E.pool_embeddings(X.cells(s, d), X.word_vectors(s, d), 64, op)
+    return out.select("item_id", *[(F.round(F.col("vec")[i], 6) + F.lit(0.0)).alias(f"d{i + 1}") for i in range(64)])
 
 
 query(_pool_sql("max"), "pool_max")(lambda s, d: _pooled(s, d, "max"))
@@ -199,15 +199,19 @@ def oov_words(s, d):
     return E.oov_words(X.cells(s, d), X.word_vectors(s, d))
 
 
-@query(f"WITH {X.WORD_VECTORS} SELECT word, round(vec[1], 6) AS d1 FROM wv WHERE word IN (SELECT feature FROM cells)")
+def _total(vec):
+    return F.round(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x), 4)
+
+
+@query(f"WITH {X.WORD_VECTORS} SELECT word, round(vec[1], 6) AS d1, round(list_sum(vec), 4) AS total FROM wv WHERE word IN (SELECT feature FROM cells)")
 def used_vectors(s, d):
-    return E.used_vectors(X.cells(s, d), X.word_vectors(s, d)).select("word", F.round(F.col("vec")[0], 6).alias("d1"))
+    return E.used_vectors(X.cells(s, d), X.word_vectors(s, d)).select("word", F.round(F.col("vec")[0], 6).alias("d1"), _total("vec").alias("total"))
 
 
-@query(f"WITH {X.WORD_VECTORS} SELECT feature AS token, count(*) AS df, round(coalesce(any_value(vec[1]), 0), 6) AS d1 FROM cells LEFT JOIN wv ON feature = word GROUP BY feature")
+@query(f"WITH {X.WORD_VECTORS} SELECT feature AS token, count(*) AS df, round(coalesce(any_value(vec[1]), 0), 6) AS d1, round(coalesce(any_value(list_sum(vec)), 0), 4) AS total FROM cells LEFT JOIN wv ON feature = word GROUP BY feature")
 def embedding_matrix(s, d):
-    out = E.embedding_matrix(B.build_vocab(X.cells(s, d)), X.word_vectors(s, d), 8)
-    return out.select("token", "df", F.round(F.col("vec")[0], 6).alias("d1"))
+    out = E.embedding_matrix(B.build_vocab(X.cells(s, d)), X.word_vectors(s, d), 64)
+    return out.select("token", "df", F.round(F.col("vec")[0], 6).alias("d1"), _total("vec").alias("total"))
 
 
 @query(f"WITH {X.WORD_VECTORS} SELECT item_id, feature AS word, CAST(value AS INTEGER) AS freq, CAST(value AS BIGINT) AS copies FROM cells JOIN wv ON feature = word")

@@ -40,12 +40,12 @@ def links(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(doc.alias("text_name"), F.explode(F.array(doc % n, (doc * 7 + 3) % n)).alias("image_name")).distinct()
 
 
-def word_vectors(spark, d, dim: int = 8) -> DataFrame:
+def word_vectors(spark, d) -> DataFrame:
     """Every word whose length isn't a multiple of five has the vector of a row chosen by its letters."""
     v = table(spark, d, "embeddings")
     words = tokens(spark, d).select("token").distinct().where("length(token) % 5 <> 0")
     key = ((F.length("token") * 13 + F.length(F.translate("token", "e", ""))) % v.count()).cast("long")
-    pick = v.select("vec_id", F.transform(F.slice("embedding", 1, dim), lambda x: x.cast("double")).alias("vec"))
+    pick = v.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     return words.withColumn("vec_id", key).join(pick, "vec_id").select(F.col("token").alias("word"), "vec")
 
 
@@ -78,7 +78,7 @@ n AS (SELECT count(*) AS n FROM embeddings),
 links AS (SELECT DISTINCT text_name, image_name FROM (SELECT doc_id AS text_name, unnest([doc_id % n, (doc_id * 7 + 3) % n]) AS image_name FROM documents, n))"""
 VECTORS = "v AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"
 WORD_VECTORS = CELLS + """,
-wv AS (SELECT token AS word, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS vec FROM (SELECT DISTINCT token FROM tokens WHERE length(token) % 5 <> 0)
+wv AS (SELECT token AS word, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM (SELECT DISTINCT token FROM tokens WHERE length(token) % 5 <> 0)
        JOIN embeddings ON vec_id = (length(token) * 13 + length(translate(token, 'e', ''))) % (SELECT count(*) FROM embeddings))"""
 ANNOTATIONS = """
 a AS (SELECT event_id AS id, user_id % 20 AS "user", CAST(floor(epoch(ts)) AS BIGINT) AS time, event_id // 20 AS text, 'l' || (event_id % 3) AS label,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.operators.bow import with_ids
 from tandem.operators.random import hash_order
+from tandem.operators.scan import runs_of_all
 
 
 def filter_items(items: DataFrame, predicate: Column) -> DataFrame:
@@ -31,7 +32,9 @@ def reorder(items: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def runs(rows: DataFrame, partition: list[str], order: list[str], doc: str) -> DataFrame:
-    """Add `run`, the number of the run of consecutive rows with one `doc` inside each partition."""
+    """Add `run`, the number of the run of consecutive rows with one `doc` inside each partition; no partition: in all rows."""
+    if not partition:
+        return runs_of_all(rows, order, doc)
     w = Window.partitionBy(*partition).orderBy(*order)
     change = (~F.col(doc).eqNullSafe(F.lag(doc).over(w)) & (F.row_number().over(w) > 1)).cast("int")
     marked = rows.withColumn("_change", change)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.operators.random import hash_order, hash_uniform
+from tandem.operators.scan import shrunk_gap, squish_all
 
 
 def _item():
@@ -98,11 +99,13 @@ def retain_top(cells: DataFrame, k: int) -> DataFrame:
     return cells.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def squish(values: DataFrame, by: str, value: str = "value") -> DataFrame:
-    """Sorted values of each group with every gap over 1 shrunk to 1."""
+def squish(values: DataFrame, by: str | None, value: str = "value") -> DataFrame:
+    """Sorted values of each group (by None: of all rows) with every gap over 1 shrunk to 1."""
+    if by is None:
+        return squish_all(values, value)
     order = Window.partitionBy(by).orderBy(value)
     first = F.min(value).over(Window.partitionBy(by))
-    gap = F.coalesce(F.least(F.col(value) - F.lag(value).over(order), F.lit(1.0)), F.lit(0.0))
+    gap = shrunk_gap(F.col(value) - F.lag(value).over(order))
     stepped = values.withColumn("_gap", gap).withColumn("_first", first)
     run = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return stepped.withColumn("squished", F.col("_first") + F.sum("_gap").over(run)).drop("_gap", "_first")

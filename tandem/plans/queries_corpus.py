@@ -226,10 +226,11 @@ def sample_word_embedding(s, d):
     return drawn.select("item_id", "word", F.round(F.get("vec", F.lit(0)), 6).alias("first"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query()
+@query(f"WITH {X.CELLS}, f AS (SELECT feature AS token, log2((SELECT count(*) FROM documents) / CAST(count(*) AS DOUBLE)) AS idf FROM cells GROUP BY feature HAVING count(*) >= 20), u AS (SELECT doc_id, unnest(string_split(lower(translate(text, '.,' || chr(10), '   ')), ' ')) AS token FROM documents), k AS (SELECT doc_id, token, count(*) * any_value(idf) AS x FROM u JOIN f USING (token) WHERE idf > 0 GROUP BY ALL) SELECT doc_id, token, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM k")
 def score_stream_batch(s, d):
-    from tandem.streaming.score import frozen_idf, score_stream
+    from tandem.streaming.score import frozen_idf, score
 
     docs = X.table(s, d, "documents")
     vocab = B.build_vocab(X.cells(s, d)).where("df >= 20")
-    return score_stream(docs, frozen_idf(vocab, docs.count())).select("doc_id", F.map_entries("weights").alias("weights"))
+    scored = score(docs, frozen_idf(vocab, docs.count()))
+    return scored.select("doc_id", F.explode("weights").alias("token", "weight")).withColumn("weight", F.round("weight", 6))

@@ -40,7 +40,8 @@ def _file_of(column: str):
     return F.regexp_extract(column, "file=([0-9]+)", 1).cast("long")
 
 
-_FILE = F.floor(F.col("doc_id") / 1000)
+def _file():
+    return F.floor(F.col("doc_id") / 1000)
 
 
 @query(f"WITH {X.TOKENS} SELECT doc_id // 1000 AS file, dense_rank() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id, sent_no) - 1 AS sent_no, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY tok_no) - 1 AS tok_no, form, token AS lemma, tag FROM tokens")
@@ -50,7 +51,7 @@ def read_vtext(s, d):
     tag = lambda f: F.when(n(f) >= 6, "N").when(n(f) <= 2, "A").otherwise("V")
     words = F.filter(F.split(F.translate("line", ".,", ""), " "), lambda f: f != "")
     sentence = F.concat(F.array_join(F.transform(words, lambda f: F.concat_ws("\t", f, F.lower(f), tag(f))), "\n"), F.lit("\n"))
-    path = _ordered_files(X.sentences(s, d).where(F.size(words) > 0), _FILE, [F.col("doc_id"), F.col("sent_no")], sentence, "vtext")
+    path = _ordered_files(X.sentences(s, d).where(F.size(words) > 0), _file(), [F.col("doc_id"), F.col("sent_no")], sentence, "vtext")
     return S.read_vtext(s, path).select(_file_of("doc_name").alias("file"), "sent_no", "tok_no", "form", "lemma", "tag")
 
 
@@ -152,7 +153,7 @@ def read_results_map(s, d):
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) SELECT doc_id // 1000 AS file, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id, k) - 1 AS line_no, array_to_string(list_filter(string_split_regex(line, '[ \\t\\r\\f\\v]+'), lambda w: w <> ''), ' ') AS words FROM l")
 def read_wordlines(s, d):
     """A thousand documents a file, one line of a document a line."""
-    path = _ordered_files(X.sentences(s, d), _FILE, [F.col("doc_id"), F.col("sent_no")], F.col("line"), "wordlines")
+    path = _ordered_files(X.sentences(s, d), _file(), [F.col("doc_id"), F.col("sent_no")], F.col("line"), "wordlines")
     rows = S.read_wordlines(s, path)
     return rows.select(_file_of("doc_name").alias("file"), "line_no", F.array_join("words", " ").alias("words"))
 

@@ -102,7 +102,7 @@ def retain_top(s, d):
     return N.retain_top(X.matrix(s, d), 2)
 
 
-@query(_M + ", x AS (SELECT DISTINCT item_id, value FROM m), g AS (SELECT *, coalesce(least(value - lag(value) OVER w, 1), 0) AS gap, min(value) OVER (PARTITION BY item_id) AS lo FROM x WINDOW w AS (PARTITION BY item_id ORDER BY value)) SELECT item_id, value, round(lo + sum(gap) OVER (PARTITION BY item_id ORDER BY value ROWS UNBOUNDED PRECEDING), 6) AS squished FROM g")
+@query(_M + ", x AS (SELECT DISTINCT item_id, value FROM m), g AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL THEN 0 ELSE least(value - lag(value) OVER w, 1) END AS gap, min(value) OVER (PARTITION BY item_id) AS lo FROM x WINDOW w AS (PARTITION BY item_id ORDER BY value)) SELECT item_id, value, round(lo + sum(gap) OVER (PARTITION BY item_id ORDER BY value ROWS UNBOUNDED PRECEDING), 6) AS squished FROM g")
 def squish(s, d):
     return N.squish(X.matrix(s, d).select("item_id", "value").distinct(), "item_id").withColumn("squished", F.round("squished", 6))
 
@@ -167,6 +167,21 @@ def aggregate_runs(s, d):
     return D.aggregate_runs(rows, ["conv_id"], ["turn", "role", "text"], "role", {"total": "n"})
 
 
+@query("""WITH c AS (SELECT event_type, user_id % 3 AS doc, CAST(event_id % 7 AS DOUBLE) AS n, event_id, CASE WHEN user_id % 3 IS DISTINCT FROM lag(user_id % 3) OVER (ORDER BY event_id) AND row_number() OVER (ORDER BY event_id) > 1 THEN 1 ELSE 0 END AS change FROM events),
+r AS (SELECT *, sum(change) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT CAST(run AS BIGINT) AS run, doc, sum(n) AS total FROM r GROUP BY ALL""")
+def aggregate_runs_all(s, d):
+    """All events as one sequence, whose runs cross the range parts."""
+    rows = X.table(s, d, "events").select("event_id", (F.col("user_id") % 3).alias("doc"), (F.col("event_id") % 7).cast("double").alias("n"))
+    return D.aggregate_runs(rows, [], ["event_id"], "doc", {"total": "n"})
+
+
+@query("WITH x AS (SELECT DISTINCT CAST(l_extendedprice AS DOUBLE) AS value FROM lineitem), g AS (SELECT value, lag(value) OVER (ORDER BY value) AS before, min(value) OVER () AS lo FROM x) SELECT value, round(lo + sum(CASE WHEN before IS NULL THEN 0 ELSE least(value - before, 1) END) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING), 4) AS squished FROM g")
+def squish_all(s, d):
+    values = X.table(s, d, "lineitem").select(F.col("l_extendedprice").cast("double").alias("value")).distinct()
+    return N.squish(values, None).withColumn("squished", F.round("squished", 4))
+
+
 @query(_M + "SELECT o_custkey AS doc_name, feature, sum(value) AS value FROM m JOIN orders ON item_id = o_orderkey GROUP BY ALL")
 def aggregate_documents(s, d):
     items = X.table(s, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("doc_name"))

@@ -1,45 +1,40 @@
 """Scoring of new documents by a frozen vocabulary, in a stream or in a batch with equal results.
 
-All of a document's work happens inside its row, so the query keeps no state and needs no watermark: words are counted,
-weighted by the frozen idf of the vocabulary, normalised, and written on.
+The vocabulary is a static table.  A micro-batch is scored like any batch: its words are counted by document, joined to
+the vocabulary, weighted and normalised.  Nothing is kept between micro-batches, so there is no state and no watermark;
+each is written under its number, so one that is run again after a restart replaces what it had written.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a frozen vocabulary may hold to travel with the tasks.
-MAX_WORDS = 2_000_000
-_BLANKS = str.maketrans(".,\n", "   ")
+#: Words of a vocabulary that is broadcast; the counted rows of a larger one are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
+
+
+def frozen_idf(vocab: DataFrame, n_items: int) -> DataFrame:
+    """token and idf, log2(N / df), of a vocabulary (token, df); words of no weight are left out."""
+    return vocab.select("token", F.log2(F.lit(float(n_items)) / F.col("df")).alias("idf")).where("idf > 0")
 
 
-def frozen_idf(vocab: DataFrame, n_items: int) -> dict[str, float]:
-    """Word to log2(N / df) of a vocabulary (token, df) of a checked size; words of no weight are left out."""
-    pairs = vocab.select("token", F.log2(F.lit(float(n_items)) / F.col("df")).alias("idf")).where("idf > 0")
-    rows = pairs.limit(MAX_WORDS + 1).collect()
-    if len(rows) > MAX_WORDS:
-        raise ValueError("the vocabulary is too large to freeze; keep its top features first")
-    return {r["token"]: r["idf"] for r in rows}
+def score(documents: DataFrame, idf: DataFrame) -> DataFrame:
+    """doc_id and weights (word to normalised tf-idf) of documents (doc_id, text), a row for each row. Null text: empty."""
+    small = F.broadcast(idf) if idf.count() <= BROADCAST_WORDS else idf
+    rows = documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.split(F.lower(F.translate("text", ".,\n", "   ")), " ").alias("words"))
+    words = rows.select("_row", "doc_id", F.explode_outer("words").alias("token")).repartition("_row")
+    counts = words.groupBy("_row", "doc_id", "token").agg(F.count("*").alias("n"))
+    weighted = counts.join(small, "token", "left").withColumn("w", F.col("n") * F.col("idf"))
+    known = F.when(F.col("w").isNotNull(), F.struct("token", "w"))
+    listed = weighted.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(known)).alias("c"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return listed.select("doc_id", F.map_from_entries(F.transform("c", lambda x: F.struct(x["token"], x["w"] / F.col("norm")))).alias("weights"))
 
 
-def score_stream(documents: DataFrame, idf: dict[str, float]) -> DataFrame:
-    """doc_id and weights (word to normalised tf-idf) of documents (doc_id, text), streamed or not. Null text: empty."""
-    kind = pa.map_(pa.string(), pa.float64())
+def score_stream(documents: DataFrame, idf: DataFrame, path: str, checkpoint: str, **trigger):
+    """Start scoring a stream of documents into Parquet files under `path`, a folder `batch=<number>` for each micro-batch; returns the query."""
 
-    def score(frames):
-        for b in frames:
-            out = []
-            for text in b.column("text").to_pylist():
-                counts = Counter(w for w in (text or "").translate(_BLANKS).lower().split(" ") if w in idf)
-                weights = {w: n * idf[w] for w, n in counts.items()}
-                norm = math.sqrt(sum(x * x for x in weights.values()))
-                out.append([(w, weights[w] / norm) for w in sorted(weights)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, kind)], ["doc_id", "weights"])
+    def write(batch: DataFrame, number: int) -> None:
+        score(batch, idf).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    taken = documents.select("doc_id", "text")
-    return taken.mapInArrow(score, f"doc_id {dict(taken.dtypes)['doc_id']}, weights map<string,double>")
+    return documents.select("doc_id", "text").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

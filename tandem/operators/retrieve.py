@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.operators import sparse_index, vector_blocks
+from tandem.operators import ranks, sparse_index, vector_blocks
+from tandem.operators._shared import written
 from tandem.operators.random import hash_order, hash_uniform
 from tandem.operators.vector_blocks import unit
 
@@ -186,29 +187,37 @@ def apply_dedup(vectors: DataFrame, links: DataFrame, classes: DataFrame) -> tup
     return kept, new
 
 
-def annotation_candidates(hits: DataFrame, n_top: int = 6, n_total: int = 12, p_original: float = 0.5, p_duplicates: float = 0.25, seed: int = 0) -> DataFrame:
-    """Images offered for each text: the best n_top (the best one itself kept with p_original), then uniform steps.
+def _spread(queries: DataFrame, n: int, first: int, k: int, skip: Column) -> DataFrame:
+    """query_id and rank: after `skip` places the `first` best of n, and k more at even steps counted from the end."""
+    step = F.greatest(F.floor((F.lit(n) - skip - first) / k), F.lit(1))
+    best = F.transform(F.sequence(F.lit(1), F.lit(max(first, 1))), lambda i: F.when(i <= first, i + skip))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(max(k, 1) - 1)), lambda i: F.when((i < k) & (n - i * step > skip), n - i * step))
+    ranks = F.array_distinct(F.concat(F.transform(best, lambda x: x.cast("long")), F.transform(steps, lambda x: x.cast("long"))))
+    return queries.select(F.col("item_id").alias("query_id"), F.explode(ranks).alias("rank")).where(F.col("rank").between(1, n))
 
-    hits (query_id, target_id, rank over all images); coins are hashes.  `duplicate` marks repeated tasks.
+
+def annotation_candidates(
+    queries: DataFrame, database: DataFrame, n_top: int = 6, n_total: int = 12, p_original: float = 0.5, p_duplicates: float = 0.25, seed: int = 0, digits: int = 6
+) -> DataFrame:
+    """Images of (item_id, vec) offered for each text: the best n_top (the best one itself kept with p_original), then uniform steps.
+
+    Places are found without ranking the database; coins are hashes.  `duplicate` marks repeated tasks.
     """
-    counted = hits.withColumn("_n", F.max("rank").over(Window.partitionBy("query_id")))
-    skip = (hash_uniform("query_id", seed=seed) >= p_original).cast("int")
-    at = F.col("rank") - skip
-    rest = n_total - n_top
-    step = F.greatest(F.floor((F.col("_n") - skip - n_top) / rest), F.lit(1))
-    back = F.col("_n") - F.col("rank")
-    offered = counted.where((at >= 1) & ((at <= n_top) | ((back % step == 0) & (back / step < rest))))
+    skip = (hash_uniform("item_id", seed=seed) >= p_original).cast("int")
+    wanted = _spread(queries, database.count(), n_top, n_total - n_top, skip)
+    offered = written(ranks.places(queries, database, wanted, digits), "offered").select("query_id", "target_id", "rank")
     tasks = offered.withColumn("duplicate", F.lit(False)).unionByName(offered.where(hash_uniform("query_id", seed=seed + 1) < p_duplicates).withColumn("duplicate", F.lit(True)))
     order = Window.partitionBy("query_id", "duplicate").orderBy(hash_order("target_id", F.col("duplicate").cast("int"), seed=seed + 2), "target_id")
     return tasks.withColumn("place", F.row_number().over(order)).select("query_id", "duplicate", "place", "target_id", "rank")
 
 
-def similarity_buckets(ranks: DataFrame, n: int, k: int) -> DataFrame:
-    """Of each query's full ranking the top n, and k of the rest at even steps counted from the end."""
-    counted = ranks.withColumn("_n", F.max("rank").over(Window.partitionBy("query_id")))
-    step = F.greatest(F.floor((F.col("_n") - (n + 1)) / k), F.lit(1))
-    back = F.col("_n") - F.col("rank")
-    return counted.where((F.col("rank") <= n) | ((back % step == 0) & (back / step < k))).drop("_n")
+def similarity_buckets(queries: DataFrame, database: DataFrame, n: int, k: int, digits: int = 6) -> DataFrame:
+    """query_id, target_id, sim and rank: of each query's ranking the top n, and k of the rest at even steps counted from the end."""
+    size = database.count()
+    step = max(1, (size - (n + 1)) // k)
+    places = sorted({*range(1, min(n, size) + 1), *(size - j * step for j in range(k) if size - j * step > 0)})
+    wanted = queries.select(F.col("item_id").alias("query_id"), F.explode(F.array(*[F.lit(p).cast("long") for p in places])).alias("rank"))
+    return ranks.places(queries, database, wanted, digits)
 
 
 def compare_indexes(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -218,7 +227,8 @@ def compare_indexes(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["query_id", "rank"])
 
 
-def similarity_distribution(pairs: DataFrame, bins: int = 100) -> DataFrame:
-    """Histogram of similarities in -1 .. 1 for each query."""
-    bin_ = F.least(F.floor((F.col("sim") + 1) / 2 * bins), F.lit(bins - 1))
-    return pairs.groupBy("query_id", bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+def similarity_distribution(queries: DataFrame, database: DataFrame, bins: int = 100, digits: int = 6) -> DataFrame:
+    """Histogram of the rounded similarities in -1 .. 1 for each query, from counts that each pair of blocks returns."""
+    counts = ranks.value_counts(queries, database, digits)
+    bin_ = F.least(F.floor((F.round(F.col("value") / 10.0**digits, digits) + 1) / 2 * bins), F.lit(bins - 1))
+    return counts.groupBy("query_id", bin_.cast("int").alias("bin")).agg(F.sum("n").alias("n"))

@@ -93,9 +93,9 @@ def word_targets(s, d):
     return w.groupBy("word").agg(F.count("*").alias("n"), F.min("image_name").alias("first"))
 
 
-@query(_LC + "SELECT feature AS word, image_name, sum(value) AS freq FROM cells JOIN links ON item_id = text_name GROUP BY ALL HAVING sum(value) >= 3")
+@query(_LC + "SELECT feature AS word, image_name, sum(value) AS freq FROM cells JOIN links ON item_id = text_name GROUP BY ALL")
 def word_target_counts(s, d):
-    return J.word_target_counts(X.cells(s, d), _texts(s, d), X.links(s, d)).where("freq >= 3")
+    return J.word_target_counts(X.cells(s, d), _texts(s, d), X.links(s, d))
 
 
 _VOTE = _LC + ", t AS (SELECT DISTINCT feature, image_name FROM cells JOIN links ON item_id = text_name) SELECT item_id, image_name, {} AS score FROM cells JOIN t USING (feature) WHERE item_id % 20 = 0 GROUP BY item_id, image_name"
@@ -207,12 +207,14 @@ def dup_pairs(s, d):
 
 @query(_TOPK + ", q AS (SELECT *, max(rank) OVER (PARTITION BY query_id) AS n FROM r) SELECT query_id, target_id, sim, rank FROM q WHERE rank <= 5 OR ((n - rank) % greatest((n - 6) // 4, 1) = 0 AND (n - rank) // greatest((n - 6) // 4, 1) < 4)")
 def sim_buckets(s, d):
-    return R.similarity_buckets(_hits(s, d, k=10**9), 5, 4).select("query_id", "target_id", "sim", "rank")
+    v = X.vectors(s, d).select("item_id", "vec")
+    return R.similarity_buckets(v.where("item_id % 20 = 0"), v, 5, 4, digits=4).select("query_id", "target_id", "sim", F.col("rank").cast("int").alias("rank"))
 
 
 @query(_TOPK + "SELECT query_id, CAST(least(floor((sim + 1) / 2 * 100), 99) AS INTEGER) AS bin, count(*) AS n FROM r GROUP BY ALL")
 def similarity_distribution(s, d):
-    return R.similarity_distribution(_hits(s, d, k=10**9))
+    v = X.vectors(s, d).select("item_id", "vec")
+    return R.similarity_distribution(v.where("item_id % 20 = 0"), v, digits=4)
 
 
 _HALF = "h AS (SELECT item_id, vec[1:32] AS vec FROM v), " + f"s2 AS (SELECT a.item_id AS query_id, b.item_id AS target_id, {_COS.format(4)} AS sim FROM h a, h b WHERE a.item_id % 20 = 0), r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, target_id) AS rank FROM s2) "
@@ -288,7 +290,8 @@ SELECT query_id, duplicate, CAST(row_number() OVER (PARTITION BY query_id, dupli
 
 @query(_OFFERED)
 def annotation_candidates(s, d):
-    return R.annotation_candidates(_hits(s, d, k=10**9), seed=4)
+    v = X.vectors(s, d).select("item_id", "vec")
+    return R.annotation_candidates(v.where("item_id % 20 = 0"), v, seed=4, digits=4).withColumn("rank", F.col("rank").cast("int"))
 
 
 _A = f"WITH {X.ANNOTATIONS} "

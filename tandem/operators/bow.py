@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tandem.operators._shared import written
 
+#: Counted features that are broadcast; more are joined by a shuffle.
+BROADCAST_FEATURES = 1_000_000
+
 
 def bow(tokens: DataFrame, item: str = "doc_id", token: str = "token") -> DataFrame:
     return tokens.groupBy(F.col(item).alias("item_id"), F.col(token).alias("feature")).agg(F.count("*").cast("double").alias("value"))
@@ -44,8 +47,16 @@ def document_frequencies(cells: DataFrame) -> DataFrame:
 
 
 def tfidf(cells: DataFrame, n_items: int, normalize: bool = True, frequencies: DataFrame | None = None, eps: float = 1e-12) -> DataFrame:
-    """tf * log2(N / df), cells of no weight dropped, then divided by the item's L2 norm if asked for."""
-    df = frequencies if frequencies is not None else document_frequencies(cells)
+    """tf * log2(N / df), cells of no weight dropped, then divided by the item's L2 norm if asked for.
+
+    Cells whose frequencies have to be counted are written once, so texts aren't split twice; the frequencies are
+    broadcast if at most `BROADCAST_FEATURES` were counted.
+    """
+    df = frequencies
+    if df is None:
+        cells = written(cells.select("item_id", "feature", "value"), "cells")
+        df = written(document_frequencies(cells), "frequencies")
+        df = F.broadcast(df) if df.count() <= BROADCAST_FEATURES else df
     out = cells.join(df, "feature").withColumn("value", F.col("value") * idf(F.col("df"), float(n_items))).drop("df").where(F.abs("value") > eps)
     if normalize:
         norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("item_id")))

@@ -4,17 +4,20 @@ The sets are those of the shingles of five words (letters and digits, lower case
 have a tiny Jaccard similarity even if the document holds the whole item, so the search is for containment.  Items are
 partitioned by the size of their sets; an item of n shingles is represented by its n - ceil(0.8 n) + 1 smallest hash
 values, so the sketches grow with the size class.  A document that holds 80 % of an item's shingles must hold one of
-these, whatever they are, so the candidates lack no match.  A document's shingles are hashed once and looked up in the
-sketches of each size class whose largest value they don't exceed.  Candidate pairs are then verified by counting
-the shingles, compared as text, that they share.
+these, whatever they are, so the candidates lack no match.  A document's shingles are hashed once, and those that don't exceed
+the largest bound of the size classes are looked up: a hash that equals a sketch's value names its item, whose size
+class and bound it thereby fits.  Candidate pairs are then verified by counting the shingles, compared as text, that
+they share.
 
 The item side is broadcast only if its sketch rows have been counted and are at most `broadcast_rows`; otherwise both
 lookups are shuffle joins.  So are the documents found, which are distinct pairs by then and written to be counted.
 
 Scripts without spaces between words (Chinese, Japanese, Thai and others) are split into characters, each a word.  An
 item of fewer than five words has one shingle, its whole sequence, which is looked up among the documents' runs of
-that length under a bound of its own; `short` turns this on.  Texts without words match nothing.  Rows that share a doc_id are judged each
-on its own; equal rows give one result row.  Repeated items match each on its own.  Empty tables give no rows.
+that length under a bound of its own; `short` turns this on.  Texts without words match nothing.  Rows that share a
+doc_id are judged each on its own; equal rows give one result row.  Repeated items match each on its own.  Empty tables
+give no rows.  `contained` reads doc_id, item_id and text only; `clean` returns the documents' columns, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -80,28 +83,23 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8,
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *[F.lit(None).cast(t).alias(c) for c, t in _RESULT]).limit(0)
     small = sum(r["n"] for r in bounds) * 6 <= broadcast_rows
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    classes: dict[int, list[tuple[int, int]]] = {}
-    for r in sorted(bounds, key=lambda r: (r["k"], r["size_class"])):
-        classes.setdefault(r["k"], []).append((r["size_class"], r["largest"]))
+    largest = {n: max(r["largest"] for r in bounds if r["k"] == n) for n in sorted({r["k"] for r in bounds})}
 
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     doc = ["doc_id", "text_hash"]
 
+    def probed(n: int, bound: int) -> DataFrame:
+        """The documents that share a sketch value with an item of shingles of n words, and the item."""
+        own = shingles(docs, doc, n, as_text=False).where(F.col("h") <= bound)
+        return own.join(near(sketch.where(F.col("k") == n).select("h", *keys)), "h").select(*doc, *keys)
 
-    def probes(n: int, sizes: list[tuple[int, int]]) -> DataFrame:
-        """The documents' hashes, each for the size classes whose bound it doesn't exceed."""
-        asked = F.array(*[F.when(F.col("h") <= h, F.lit(c)) for c, h in sizes])
-        own = shingles(docs, doc, n, as_text=False).where(F.col("h") <= max(h for _, h in sizes))
-        return own.select(*doc, "h", F.lit(n).alias("k"), F.explode(F.array_compact(asked)).alias("size_class"))
-
-    looked_up = reduce(DataFrame.unionByName, [probes(n, sizes) for n, sizes in classes.items()])
-    pairs = looked_up.join(near(sketch.select("k", "size_class", "h", *keys)), ["k", "size_class", "h"]).select(*doc, *keys).distinct()
+    pairs = reduce(DataFrame.unionByName, [probed(n, bound) for n, bound in largest.items()]).distinct()
     pairs = written(pairs, "pairs")
     found = pairs.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct(*keys)).alias("asked"))
     found = F.broadcast(found) if pairs.count() <= broadcast_rows else found  # few documents, counted: the texts of the others aren't moved
     held = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
     held = held.select(*doc, "text", "asked").dropDuplicates(doc)
-    own = reduce(DataFrame.unionByName, [shingles(held, [*doc, "asked"], n, as_text=True) for n in classes])
+    own = reduce(DataFrame.unionByName, [shingles(held, [*doc, "asked"], n, as_text=True) for n in largest])
     shared = own.join(near(sets), ["h", "shingle"]).where(F.array_contains("asked", F.struct(*keys)))
     counts = shared.groupBy(*doc, *keys).agg(F.count_distinct("shingle").alias("n_shared"))
     out = counts.join(near(sizes.withColumn("least", least)), keys).where(F.col("n_shared") >= F.col("least"))

@@ -76,13 +76,16 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, spread: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, spread: int = 64, group_rows: int = 1_000_000) -> DataFrame:
     """Add sequence_id and offset to `pieces`.
 
-    Pieces of one length are numbered in `spread` groups of about equal size, whose first numbers are prefix sums
-    of their counts, so a length that a third of all rows share is not one task's work.
+    Pieces of one length are numbered in groups of about equal size, whose first numbers are prefix sums of their
+    counts.  There are so many groups that even a length that all rows share has `group_rows` a group at most, and
+    `spread` at least.  Rows are dealt to groups by where they were written, so equal ids don't meet.
     """
-    pieces = written(pieces, "pieces").withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread)).cast("int"))
+    pieces = written(pieces.withColumn("_scatter", F.monotonically_increasing_id()), "pieces")
+    spread = max(spread, -(-pieces.count() // group_rows))
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("_scatter"), F.lit(spread)).cast("int"))
     groups = pieces.groupBy("length", "group").count()
     before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     bases = groups.select("length", "group", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
@@ -101,7 +104,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, spread: int = 64) -> DataFrame
             yield pa.RecordBatch.from_arrays([*cols, pa.array(hit[:, 3] + rank - hit[:, 1]), pa.array(hit[:, 4])], names)
 
     assert len(first) == len(counts)
-    own = Window.partitionBy("length", "group").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "group").orderBy("doc_id", "piece", "ids_crc32", "_scatter")
     ranked = pieces.withColumn("rank", F.row_number().over(own) - 1).join(bases, ["length", "group"])
     ranked = ranked.select(*names[:5], (F.col("rank") + F.col("base")).cast("long").alias("rank"))
     return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")

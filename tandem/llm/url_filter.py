@@ -81,7 +81,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
             return mass
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, majority: float = 0.5, tolerance: float = 1e-6) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, majority: float = 0.5, tolerance: float = 1e-6, broadcast_rows: int = 1_000_000) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of each page."""
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     named = named.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
@@ -105,6 +105,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, thres
         F.sum(F.when(F.col("kind") == "allow", F.col("mass"))).alias("trust"),
         F.sum(F.when(F.col("kind") == "block", F.col("mass"))).alias("distrust"),
     )
+    held = written(held, "held")  # apart from the join, so that a host of very many pages can be split
+    held = F.broadcast(held) if held.count() <= broadcast_rows else held
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     bad = zero("distrust") > threshold * (zero("trust") + zero("distrust"))
     return named.join(held, "host", "left").select(

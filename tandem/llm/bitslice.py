@@ -15,7 +15,7 @@ returns its k best; a window keeps the k best of all, ties to the smaller id.
 Vectors that are null or hold null or non-finite components take no part; vectors of another length than a query's
 are not its candidates.  Rows that repeat both id and vector count once, in queries as well; no row with a query's id
 is its candidate.  An id with several vectors is one candidate, or one query, by its best score.  Scores are 64-bit
-integers.  An empty table gives no rows.
+integers.  An empty table gives no rows.  Only id and vector are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ for each language.  Whole texts are read.
 
 Null text, or text without a letter: `und`, score 0.  Rows whose language is null are not learned from; with no
 profile at all every document is `und`.  Repeated rows are judged each on its own.  An empty table gives no rows.
+Only text, lang and the columns of `keep` are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ Besides, all places of the base phrases are counted; a base phrase gives its lab
 Texts are read whole, A-Z are lower-cased, and words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`.  Null text counts as
 empty: no words, no labels, score 0.  Repeated rows are judged each on its own; an empty table gives no rows.
 Template words of equal IDF are tied by their hash.  Of a template's places in a document the one where most agrees
-is reported, the first if several do.
+is reported, the first if several do.  Only text and the columns of `keep` are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ Candidates are confirmed by the intersection of their sets of 64-bit shingle has
 A document's set holds its distinct runs of `shingle` words (A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`), or the whole
 sequence if it is shorter.  Null, empty or blank texts have no set and are linked with nothing.  Rows that share a
 doc_id are separate rows with the component of their own text; equal rows get equal results.  A null doc_id is never
-kept and never names a component unless all of its component's ids are null.  An empty table gives no rows.
+kept and never names a component unless all of its component's ids are null.  An empty table gives no rows.  Only doc_id
+and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -3,14 +3,16 @@
 Rules come first: the longest rule that fits a page decides.  Pages without one are judged by their host.  Hosts most
 of whose pages a rule allows (blocks) are trusted (blocked) seeds, weighted by their number of pages.  Trust is a
 personalised PageRank from the trusted seeds along the links; distrust is one from the blocked seeds against them,
-as whoever links to a bad host is suspect.  Both go on until they have settled and reach no new host.  What a host without onward links holds goes nowhere.  A host whose share
-of distrust in both is over `threshold` is blocked; all others, also those that nothing reaches, are allowed.
+as whoever links to a bad host is suspect.  Both go on until they have settled and reach no new host.  What a host
+without onward links holds goes nowhere.  A host whose share of distrust in both is over `threshold` is blocked; all
+others, also those that nothing reaches, are allowed.
 
 Links are the absolute `href` and `src` addresses in a page's html; links within one host carry nothing.  They are
 counted for each pair of hosts before any of it is joined, so a host that holds a third of all pages is one row.
 
 Null url, or one without `://`: host and path are empty, no rule, allowed.  Null html: no links.  Repeated rows are
-judged each on its own.  An empty table gives no rows.
+judged each on its own.  An empty table gives no rows.  Only page_id, url and html are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations

@@ -19,6 +19,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of one key that may become one array.
+MAX_LISTED = 1_000_000
+
+
+def bounded(df: DataFrame, keys: list[str], limit: int) -> None:
+    """Raise if a key has more than `limit` rows: one counted row comes to the driver."""
+    most = df.groupBy(*keys).count().agg({"count": "max"}).first()[0] or 0
+    if most > limit:
+        raise ValueError(f"{most} rows share one {', '.join(keys)}; {limit} may be listed")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: all readers see the same rows, also after lost executors."""
     path = scratch(df.sparkSession, name)

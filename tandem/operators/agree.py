@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.operators._shared import MAX_LISTED, bounded
+
 
 def add_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     if name in df.columns:
@@ -15,7 +17,8 @@ def add_column(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def group_by(df: DataFrame, key: str) -> DataFrame:
-    """Rows of each key as an array; prefer an aggregate where a key can hold many rows."""
+    """Rows of each key as an array; a key with more than `MAX_LISTED` rows is an error, as an array is held whole."""
+    bounded(df, [key], MAX_LISTED)
     return df.groupBy(key).agg(F.collect_list(F.struct("*")).alias("rows"))
 
 
@@ -221,7 +224,8 @@ def timeframe(df: DataFrame) -> DataFrame:
 
 
 def column_over_time(df: DataFrame, column: str, by: str = "user") -> DataFrame:
-    return df.select(by, "time", "id", F.col(column).alias("value")).orderBy(by, "time", "id")
+    """by, time, id and value; readers that need an order sort by these."""
+    return df.select(by, "time", "id", F.col(column).alias("value"))
 
 
 def last_by(df: DataFrame, key: str) -> DataFrame:

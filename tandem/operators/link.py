@@ -58,14 +58,14 @@ def component(zipped: DataFrame, name: str, key: str = "item_id") -> DataFrame:
 
 
 def align_by_links(texts: DataFrame, images: DataFrame, indexes: DataFrame, mode: int = 0) -> DataFrame:
-    """x and y of each pair: both joined (0), text to image (1) or image to text (2), ordered by ids."""
+    """x and y of each pair: both joined (0), text to image (1) or image to text (2)."""
     both = flatten(texts, images, indexes, structured=True)
     x, y = {
         0: (F.concat("vec.left", "vec.right"), F.lit(None).cast("array<double>")),
         1: (F.col("vec.left"), F.col("vec.right")),
         2: (F.col("vec.right"), F.col("vec.left")),
     }[mode]
-    return both.select("left_id", "right_id", x.alias("x"), y.alias("y")).orderBy("left_id", "right_id")
+    return both.select("left_id", "right_id", x.alias("x"), y.alias("y"))
 
 
 def filter_by_links(table: DataFrame, links: DataFrame, on: str | list[str]) -> DataFrame:

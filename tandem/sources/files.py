@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.operators._shared import MAX_LISTED, bounded
 from tandem.operators.bow import with_ids
 from tandem.sources.lines import numbered_lines
 
@@ -55,10 +56,14 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 def forward_links(links: DataFrame) -> DataFrame:
+    """The images of each text as an array; more than `MAX_LISTED` are an error (keep the rows then)."""
+    bounded(links, ["text_name"], MAX_LISTED)
     return links.groupBy("text_name").agg(F.sort_array(F.collect_set("image_name")).alias("images"))
 
 
 def backward_links(links: DataFrame) -> DataFrame:
+    """The texts of each image as an array; more than `MAX_LISTED` are an error (keep the rows then)."""
+    bounded(links, ["image_name"], MAX_LISTED)
     return links.groupBy("image_name").agg(F.sort_array(F.collect_set("text_name")).alias("texts"))
 
 
@@ -111,7 +116,8 @@ def read_wordlines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def format_results(results: DataFrame) -> DataFrame:
-    """text, images and sims (five decimals) of results (query_id, target_id, sim, rank), in rank order."""
+    """text, images and sims (five decimals) of results (query_id, target_id, sim, rank), in rank order; over `MAX_LISTED` of one query are an error."""
+    bounded(results, ["query_id"], MAX_LISTED)
     rows = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "target_id", "sim"))).alias("r"))
     images = F.array_join(F.transform("r", lambda x: x["target_id"].cast("string")), ";")
     sims = F.array_join(F.transform("r", lambda x: F.format_string("%.5f", x["sim"])), ";")

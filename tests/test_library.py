@@ -202,3 +202,17 @@ def test_mock_matrix_is_reproducible(spark):
     assert abs(got["v"] - 3.0) < 0.2
     assert got["least"] == 1.0
     assert rows(m) == rows(scale.mock_matrix(spark, 400, 20, 0.25, 2.0, seed=5))
+
+
+def test_lists_are_bounded(spark, monkeypatch):
+    from tandem.sources import files
+
+    links = spark.createDataFrame([("t", f"i{i}") for i in range(5)] + [("u", "i1")], "text_name string, image_name string")
+    assert rows(files.forward_links(links))[1] == ("u", ["i1"])
+    for module in (files, agree):
+        monkeypatch.setattr(module, "MAX_LISTED", 4)
+    with pytest.raises(ValueError, match="5 rows share one text_name"):
+        files.forward_links(links)
+    assert files.backward_links(links).count() == 5
+    with pytest.raises(ValueError, match="5 rows share one text_name"):
+        agree.group_by(links, "text_name")

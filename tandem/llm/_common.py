@@ -21,21 +21,40 @@ SEGMENT = 1 << 18
 _MUL = 0x9E3779B97F4A7C15
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (`spark.checkpoint.dir`); a local one is set only where none is, in local mode."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares (`spark.checkpoint.dir`); where it is unset, a local one, in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tandem-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _local[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tandem-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_made: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that the operators have left in the shared folder; to be called when their results have been read."""
+    for path in list(_made):
+        _delete(spark, path)
 
 
 _blocks: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("blocks", default=())
@@ -51,8 +70,7 @@ def temporary(spark: SparkSession):
     finally:
         _blocks.reset(token)
         for path in paths:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
 
 
 def written(df: DataFrame, name: str, outlives: int = 0) -> DataFrame:

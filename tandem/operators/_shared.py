@@ -7,16 +7,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: set[str] = set()
+_local: dict[str, str] = {}
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in `spark.checkpoint.dir`; a local folder is set only in local mode and only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (`spark.checkpoint.dir`); where it is unset, a local one, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tandem-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _local[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tandem-")
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that the operators have left in the shared folder; to be called when their results have been read."""
+    for path in list(_made):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.discard(path)
 
 
 #: Rows of one key that may become one array.

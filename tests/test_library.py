@@ -216,3 +216,15 @@ def test_lists_are_bounded(spark, monkeypatch):
     assert files.backward_links(links).count() == 5
     with pytest.raises(ValueError, match="5 rows share one text_name"):
         agree.group_by(links, "text_name")
+
+
+def test_written_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    import os
+
+    from tandem.operators import _shared
+
+    monkeypatch.setattr(_shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert bow.with_ids(spark.range(9), ["id"]).count() == 9
+    assert os.listdir(tmp_path)
+    _shared.clear(spark)
+    assert os.listdir(tmp_path) == []

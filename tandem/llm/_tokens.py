@@ -13,9 +13,12 @@ import re
 import unicodedata
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
+from tandem.llm._common import release
+
 _UNUSUAL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0İŉƀ-\U0010ffff]")
 _USUAL = [chr(c) for c in range(33, 0x180)]
 _L = "".join(c for c in _USUAL if unicodedata.category(c)[0] == "L")
@@ -27,14 +30,15 @@ WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+
 _plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
 _other = [b for b in range(256) if b not in _plain]
 _NAMES = {b: chr(256 + i) for i, b in enumerate(_other)}
-#: Entries of a memo's generation, and the longest key that it keeps.
-MEMO, LONGEST = 400_000, 60
+#: Entries of a memo's generation, the longest key that it keeps, and the entries that are left when a task ends.
+MEMO, LONGEST, KEPT = 400_000, 60, 50_000
 
 
 class _Memo(dict):
     """A function's results in two generations: what the younger one has not used when it is full is forgotten.
 
-    It is kept from task to task, so that a worker process splits each frequent word once.
+    What came first, mostly frequent words, is kept from task to task; the rest would fill a worker that goes on to
+    other work.
     """
 
     def __init__(self, function):
@@ -53,6 +57,13 @@ class _Memo(dict):
         return out
 
 
+    def trim(self) -> None:
+        first = dict(islice(self.items(), KEPT))
+        self.older = {}
+        self.clear()
+        self.update(first)
+
+
 class Encoder:
     """Texts to little-endian uint32 ids. byte_level: blanks are kept in the pieces; else lower case, blanks dropped.
 
@@ -72,6 +83,12 @@ class Encoder:
         self.pattern = BYTE_LEVEL if byte_level else WORD_LEVEL
         self.words, self.marks = _Memo(self._word), _Memo(self._piece)
 
+    def trim(self) -> None:
+        """To be called when a task ends."""
+        self.words.trim()
+        self.marks.trim()
+        release()
+
     @property
     def vocabulary(self) -> int:
         return self.tok.get_vocab_size(with_added_tokens=True)

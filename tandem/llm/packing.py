@@ -41,6 +41,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(names))
+        enc.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_batches, PIECES)
 

@@ -66,6 +66,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, byte_level: bool = T
                 offsets.append(n)
             ids.append(b.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy())
             f.write(np.frombuffer(b"".join(done), "<u4").astype(dtype).tobytes())
+        enc.trim()
         if f is None:
             return
         f.close()

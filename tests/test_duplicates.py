@@ -73,3 +73,41 @@ def test_numbers_agree_between_spark_sql_and_numpy(spark):
     assert one == [spark.range(1).select(random.hash_uniform(F.lit(5), F.lit(j), seed=8)).first()[0] for j in range(3)]
     u = np.array(list(want.values()))
     assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.15
+
+
+@pytest.mark.parametrize(("same", "cross"), [(0.98, 0.9), (0.4, 0.3)])
+def test_first_items_are_decided_ahead(spark, tmp_path, same, cross):
+    """What the first items absorb is in no pair that is listed."""
+    x = bent(320, 12, 9)
+    x[100:140] = x[3]
+    path = str(tmp_path / "d")
+    got = retrieve.duplicates_of_vectors(table(spark, x), same, path, digits=5, cross=cross, family=lambda i: i % 2, ahead=48).collect()
+    want = scan(x, same, cross, 5)
+    assert {r["item_id"]: r["representative"] for r in got} == want and len(got) == 320
+    listed = spark.read.parquet(f"{path}/rest-pairs")
+    first = {i for i in want if i < 48 and want[i] == i}
+    taken = {i for i in want if i >= 48 and want[i] in first}
+    assert not taken & {v for r in listed.collect() for v in r}
+
+
+def test_a_block_is_sent_once_for_each_group(spark):
+    """Every pair of 24 blocks meets; each of them is sent to the tasks of three groups, not to 24 others."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(384, 8))
+    blocks = vector_blocks.angle_blocks(table(spark, x), pivots=4, block_rows=16)
+    met = vector_blocks.near_blocks(blocks, 0.3)
+    assert met.count() > 3 * blocks.count()
+    found = vector_blocks.pairs_of_blocks(blocks, met, 0.3, 6, groups=3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    got = {(r["query_id"], r["target_id"]): r["sim"] for r in found.collect()}
+    assert got.keys() == {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(sims >= 0.3)), strict=True) if a < b}
+    assert max(abs(v - sims[k]) for k, v in got.items()) < 1e-9
+
+
+def test_candidates_in_single_precision_lose_none():
+    rng = np.random.default_rng(1)
+    x, y = (vector_blocks.unit(rng.normal(size=(300, 7)).round(1)) for _ in range(2))
+    r, c, sims = vector_blocks.close(x, y, 0.5, 3)
+    whole = np.round(x @ y.T, 3)
+    assert {(a, b) for a, b in zip(r.tolist(), c.tolist(), strict=True)} == set(zip(*map(np.ndarray.tolist, np.nonzero(whole >= 0.5)), strict=True))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.operators import sparse_blocks
+
 
 def zip_aligned(sources: dict[str, DataFrame], key: str = "item_id", check: bool = True) -> DataFrame:
     """One struct for each source, joined by ordinal; different lengths are an error."""
@@ -114,10 +116,15 @@ def word_target_counts(cells: DataFrame, names: DataFrame, links: DataFrame) ->
 
 
 def map_words_to_targets(cells: DataFrame, word_targets: DataFrame, mode: str = "soft") -> DataFrame:
-    """Scores of images by votes of an item's words: one each (hard) or the cell's value (soft); word_targets (word, image_name)."""
+    """Scores of images by votes of an item's words: one each (hard) or the cell's value (soft); word_targets (word, image_name).
+
+    Nearly every item shares a word with every image, so groups of both are multiplied; there is no row for each vote.
+    """
     vote = F.col("value") if mode == "soft" else F.lit(1.0)
-    spread = word_targets.select(F.col("word").alias("feature"), "image_name")
-    return cells.join(spread, "feature").groupBy("item_id", "image_name").agg(F.sum(vote).alias("score"))
+    items = sparse_blocks.bags(cells, "item_id", "feature", vote)
+    images = sparse_blocks.bags(word_targets, "image_name", "word", F.lit(1.0))
+    scores = sparse_blocks.products(items, images)
+    return scores.select(F.col("query_id").alias("item_id"), F.col("target_id").alias("image_name"), F.col("sim").alias("score"))
 
 
 def token_positions(tokens: DataFrame, item: str = "doc_id", token: str = "token") -> DataFrame:

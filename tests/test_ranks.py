@@ -32,3 +32,25 @@ def test_fewer_items_than_places(spark):
     got = retrieve.annotation_candidates(df, df, p_duplicates=0).groupBy("query_id").count().collect()
     assert all(r["count"] in (3, 4) for r in got)
     assert retrieve.annotation_candidates(df.limit(0), df).count() == 0
+
+
+def test_counts_stay_in_the_task_that_holds_the_queries(spark, monkeypatch):
+    """No rows of counts are shuffled or written, only the wanted places; each query is in one group."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 5))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "item_id long, vec array<double>").repartition(4)
+    queries, names = df.where("item_id % 10 = 0"), []
+    keep = ranks.written
+    monkeypatch.setattr(ranks, "written", lambda t, name: names.append((name, t.count())) or keep(t, name))
+    got = retrieve.similarity_buckets(queries, df, 3, 2, digits=4)
+    assert got.count() == 40 * 5 and names == [("wanted-places", 40 * 5)]
+    bins = retrieve.similarity_distribution(queries, df, digits=4)
+    plan = bins._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and bins.groupBy("query_id", "bin").count().where("count > 1").isEmpty()
+
+
+def test_top_k_of_copies_is_bounded(spark):
+    """All items are copies: each task returns k of them for a query, not all."""
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "item_id long, vec array<double>").repartition(3)
+    got = retrieve.similarity_topk_dense(df.where("item_id % 50 = 0"), df, 3, digits=4).collect()
+    assert {(r["query_id"], r["rank"]): r["target_id"] for r in got} == {(q, k + 1): k for q in range(0, 200, 50) for k in range(3)}

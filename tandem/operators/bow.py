@@ -104,3 +104,14 @@ def compare_representations(tables: dict[str, DataFrame]) -> DataFrame:
         rows = rows.unionByName(t)
     sums = [F.coalesce(F.sum(F.when(F.col("_name") == n, F.col("value"))), F.lit(0.0)).alias(n) for n in tables]
     return rows.groupBy("item_id", "feature").agg(*sums)
+
+
+def compare_weights(cells: DataFrame, n_items: int, eps: float = 1e-12) -> DataFrame:
+    """plain, weighted and normalised of each cell, as `tfidf` gives them, 0 where it drops one: columns of one table, which is split and sent once."""
+    cells = written(cells.select("item_id", "feature", F.col("value").alias("plain")), "cells")
+    df = written(document_frequencies(cells), "frequencies")
+    df = F.broadcast(df) if df.count() <= BROADCAST_FEATURES else df
+    own = F.col("plain") * idf(F.col("df"), float(n_items))
+    out = cells.join(df, "feature").withColumn("weighted", F.when(F.abs(own) > eps, own).otherwise(0.0))
+    norm = F.sqrt(F.sum(F.col("weighted") * F.col("weighted")).over(Window.partitionBy("item_id")))
+    return out.select("item_id", "feature", "plain", "weighted", F.when(F.col("weighted") != 0, F.col("weighted") / norm).otherwise(0.0).alias("normalised"))

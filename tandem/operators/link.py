@@ -103,16 +103,20 @@ def intersect_pairs(a: DataFrame, b: DataFrame, key: str, unique_key: str = "id"
     return x.join(y, "_key").where(F.col(f"a.{unique_key}") != F.col(f"b.{unique_key}")).select("a", "b")
 
 
+def _linked(cells: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:
+    """Cells with the images of their item: names and links meet first, so the cells are joined once, by item."""
+    images = names.select("item_id", F.col("doc_name").alias("text_name")).join(links, "text_name").select("item_id", "image_name")
+    return cells.join(images, "item_id")
+
+
 def word_to_targets(cells: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:
     """word and image_name: the distinct images of each word, a row each, as a common word has many."""
-    named = cells.join(names.select("item_id", F.col("doc_name").alias("text_name")), "item_id").select("text_name", F.col("feature").alias("word"))
-    return named.join(links, "text_name").select("word", "image_name").distinct()
+    return _linked(cells, names, links).select(F.col("feature").alias("word"), "image_name").distinct()
 
 
 def word_target_counts(cells: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:
     """Summed frequency of each word with each image."""
-    named = cells.join(names.select("item_id", F.col("doc_name").alias("text_name")), "item_id")
-    return named.join(links, "text_name").groupBy(F.col("feature").alias("word"), "image_name").agg(F.sum("value").alias("freq"))
+    return _linked(cells, names, links).groupBy(F.col("feature").alias("word"), "image_name").agg(F.sum("value").alias("freq"))
 
 
 def map_words_to_targets(cells: DataFrame, word_targets: DataFrame, mode: str = "soft") -> DataFrame:

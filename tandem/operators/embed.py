@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.operators.embed_sums import pooled
+from tandem.operators.embed_sums import pooled, pooled_by_id
 from tandem.operators.random import hash_uniform
 from tandem.operators.tokens import strip_sense_number
 
@@ -15,10 +15,17 @@ def _word(column: Column, lowercase: bool, strip_sense: bool) -> Column:
     return strip_sense_number(column) if strip_sense else column
 
 
-def pool_embeddings(cells: DataFrame, word_vectors: DataFrame, dim: int, op: str = "avg", lowercase: bool = False, strip_sense: bool = False) -> DataFrame:
-    """item_id and vec over the item's distinct words; an unknown word counts as a zero row."""
-    words = cells.select("item_id", _word(F.col("feature"), lowercase, strip_sense).alias("word")).distinct()
-    return pooled(words, word_vectors, dim, op)
+def pool_embeddings(
+    cells: DataFrame, word_vectors: DataFrame, dim: int, op: str = "avg", lowercase: bool = False, strip_sense: bool = False, vectors: DataFrame | None = None
+) -> DataFrame:
+    """item_id and vec over the item's distinct words; an unknown word counts as a zero row.
+
+    word_vectors is (word, vec), or, if words share vectors, (word, vec_id), with `vectors` (vec_id, vec).
+    Rows of cells are distinct by item and feature.
+    """
+    words = cells.select("item_id", _word(F.col("feature"), lowercase, strip_sense).alias("word"))
+    words = words.distinct() if lowercase or strip_sense or vectors is None else words
+    return pooled(words, word_vectors, dim, op) if vectors is None else pooled_by_id(words, word_vectors, vectors, dim, op)
 
 
 def _known(cells: DataFrame, word_vectors: DataFrame) -> DataFrame:

@@ -46,17 +46,20 @@ def document_frequencies(cells: DataFrame) -> DataFrame:
     return cells.groupBy("feature").agg(F.count("*").alias("df"))
 
 
+def _with_frequencies(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells, written once, and their features' frequencies: broadcast if few, else hashed where they meet the cells, so none are sorted."""
+    cells = written(cells, "cells")
+    df = written(document_frequencies(cells), "frequencies")
+    return cells, F.broadcast(df) if df.count() <= BROADCAST_FEATURES else df.hint("shuffle_hash")
+
+
 def tfidf(cells: DataFrame, n_items: int, normalize: bool = True, frequencies: DataFrame | None = None, eps: float = 1e-12) -> DataFrame:
     """tf * log2(N / df), cells of no weight dropped, then divided by the item's L2 norm if asked for.
 
     Cells whose frequencies have to be counted are written once, so texts aren't split twice; the frequencies are
     broadcast if at most `BROADCAST_FEATURES` were counted.
     """
-    df = frequencies
-    if df is None:
-        cells = written(cells.select("item_id", "feature", "value"), "cells")
-        df = written(document_frequencies(cells), "frequencies")
-        df = F.broadcast(df) if df.count() <= BROADCAST_FEATURES else df
+    cells, df = _with_frequencies(cells.select("item_id", "feature", "value")) if frequencies is None else (cells, frequencies)
     out = cells.join(df, "feature").withColumn("value", F.col("value") * idf(F.col("df"), float(n_items))).drop("df").where(F.abs("value") > eps)
     if normalize:
         norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("item_id")))
@@ -93,7 +96,8 @@ def top_cells(cells: DataFrame, k: int) -> DataFrame:
 
 
 def vocabulary_view(cells: DataFrame, k: int, min_freq: float = 0.001) -> DataFrame:
-    return top_cells(cells, k).where(F.col("value") >= min_freq)
+    """The k largest cells of each item that reach `min_freq`; smaller ones rank behind all of these, so they are dropped before anything is sorted."""
+    return top_cells(cells.where(F.col("value") >= min_freq), k)
 
 
 def compare_representations(tables: dict[str, DataFrame]) -> DataFrame:
@@ -108,10 +112,15 @@ def compare_representations(tables: dict[str, DataFrame]) -> DataFrame:
 
 def compare_weights(cells: DataFrame, n_items: int, eps: float = 1e-12) -> DataFrame:
     """plain, weighted and normalised of each cell, as `tfidf` gives them, 0 where it drops one: columns of one table, which is split and sent once."""
-    cells = written(cells.select("item_id", "feature", F.col("value").alias("plain")), "cells")
-    df = written(document_frequencies(cells), "frequencies")
-    df = F.broadcast(df) if df.count() <= BROADCAST_FEATURES else df
+    cells, df = _with_frequencies(cells.select("item_id", "feature", F.col("value").alias("plain")))
     own = F.col("plain") * idf(F.col("df"), float(n_items))
     out = cells.join(df, "feature").withColumn("weighted", F.when(F.abs(own) > eps, own).otherwise(0.0))
     norm = F.sqrt(F.sum(F.col("weighted") * F.col("weighted")).over(Window.partitionBy("item_id")))
     return out.select("item_id", "feature", "plain", "weighted", F.when(F.col("weighted") != 0, F.col("weighted") / norm).otherwise(0.0).alias("normalised"))
+
+
+def tfidf_kept(cells: DataFrame, n_items: int, add: float = 0.05, digits: int = 6) -> DataFrame:
+    """Cells of what `tokens.tfidf_token_filter` keeps, by tf-idf weights rounded to `digits`: a word's first int(10 * (weight + add)) occurrences, so as many or all. No token is read."""
+    weight = F.round("normalised", digits)
+    kept = compare_weights(cells, n_items).where("weighted <> 0").withColumn("value", F.least(F.col("plain"), F.floor(10 * (weight + add)).cast("double")))
+    return kept.where("value > 0").select("item_id", "feature", "value")

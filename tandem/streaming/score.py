@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandem.operators.word_counts import counted
+
 #: Words of a vocabulary that is broadcast; the counted rows of a larger one are joined by a shuffle.
 BROADCAST_WORDS = 1_000_000
 
@@ -22,13 +24,13 @@ def frozen_idf(vocab: DataFrame, n_items: int) -> DataFrame:
 def score(documents: DataFrame, idf: DataFrame) -> DataFrame:
     """doc_id and weights (word to normalised tf-idf) of documents (doc_id, text), a row for each row. Null text: empty."""
     small = F.broadcast(idf) if idf.count() <= BROADCAST_WORDS else idf
-    rows = documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.split(F.lower(F.translate("text", ".,\n", "   ")), " ").alias("words"))
-    words = rows.select("_row", "doc_id", F.explode_outer("words").alias("token")).repartition("_row")
-    counts = words.groupBy("_row", "doc_id", "token").agg(F.count("*").alias("n"))
-    weighted = counts.join(small, "token", "left").withColumn("w", F.col("n") * F.col("idf"))
+    item = F.struct(F.monotonically_increasing_id().alias("_row"), "doc_id").alias("item_id")
+    rows = documents.select(item, F.lower(F.translate("text", ".,\n", "   ")).alias("line"))
+    counts = counted(rows, together=False, whole=True).select("item_id", F.col("feature").alias("token"), F.col("value").alias("n"))
+    weighted = counts.join(small, "token", "left").where("idf IS NOT NULL OR token IS NULL").withColumn("w", F.col("n") * F.col("idf"))
     known = F.when(F.col("w").isNotNull(), F.struct("token", "w"))
-    listed = weighted.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(known)).alias("c"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return listed.select("doc_id", F.map_from_entries(F.transform("c", lambda x: F.struct(x["token"], x["w"] / F.col("norm")))).alias("weights"))
+    listed = weighted.groupBy("item_id").agg(F.array_sort(F.collect_list(known)).alias("c"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return listed.select("item_id.doc_id", F.map_from_entries(F.transform("c", lambda x: F.struct(x["token"], x["w"] / F.col("norm")))).alias("weights"))
 
 
 def score_stream(documents: DataFrame, idf: DataFrame, path: str, checkpoint: str, **trigger):

@@ -21,6 +21,14 @@ SEGMENT = 1 << 18
 _MUL = 0x9E3779B97F4A7C15
 
 
+def _give_back() -> None:
+    """Large blocks go back to the system when they are freed: glibc otherwise keeps ever larger ones, and Arrow's own pool what it once had."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which then stays as it is
+
+
+_give_back()
 _local: dict[str, str] = {}
 
 

@@ -37,6 +37,7 @@ from tandem.llm._common import BLANK_SEPARATED, batches, release, row_starts, te
 SHARD = 1 << 26  # cells of a shard
 FLUSH = 2_000_000  # windows that a task holds before it emits their cells
 HASHED = 1_000_000  # bytes of text whose words are held at once
+PART = 1 << 20  # bytes of kept text that go back to Spark at once
 NO_ID = -(2**63)
 
 
@@ -80,6 +81,10 @@ def _cuts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, np.append(cut[1:], len(x)) if len(cut) else cut
 
 
+def _strings(texts: list[bytes]) -> pa.Array:
+    return pa.array(texts, pa.binary()).view(pa.string())
+
+
 def _rows(schema_names, kinds, rows) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], schema_names)
@@ -102,7 +107,9 @@ def _sketch(total: int, chunks: int, k: int):
         cells, own = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         if total * chunks < 1 << 63:  # both then sort as one number, in place
-            keys = cells * chunks + own
+            cells *= chunks
+            cells += own
+            keys = cells
             keys.sort()
             first, end = _cuts(keys)
             return keys[first] // chunks, keys[first] % chunks, end - first > 1
@@ -158,6 +165,7 @@ class _Chunk:
         rows = list(zip(kinds, *(replies.column(c).to_pylist() for c in ("part", "n", "data")), strict=True))
         hot = [_unpacked(d, n) + part * SHARD for part, n, d in sorted(r[1:] for r in rows if r[0] == "cells")]
         hot = np.concatenate(hot) if hot else np.zeros(0, np.int64)
+        del replies
         copies = {np.frombuffer(d, "<i8").tobytes() for kind, _, _, d in rows if kind == "copy"}
         self.bits = {part: np.unpackbits(np.frombuffer(d, np.uint8))[:n].astype(bool) for kind, part, n, d in rows if kind == "later"}
 
@@ -219,11 +227,13 @@ def _group(table: pa.Table) -> pa.Table:
     lead = np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])))
     later = np.ones(len(h1), bool)
     later[order[lead]] = False
+    del parts, h1, ids, ties, h2, order
     rows, at, bucket = [], 0, table.column("bucket")[0].as_py()
     for chunk, n in zip(table.column("chunk").to_pylist(), ns, strict=True):
         if later[at : at + n].any():
             rows.append((chunk, "later", bucket, n, np.packbits(later[at : at + n]).tobytes()))
         at += n
+    release()
     return pa.Table.from_batches([_rows(_REPLY, _REPLY_KINDS, rows)])
 
 
@@ -260,6 +270,8 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
         for bucket, own in c.parts():
             data = b"".join(x.tobytes() for x in (c.h1[own], c.ids[c.row[own]], c.ties[c.row[own]], c.h2[own]))
             rows.append((bucket, chunk, len(own), zlib.compress(data, 1)))
+        del c
+        release()
         return pa.Table.from_batches([_rows(_SENT, _SENT_KINDS, rows)])
 
     text = keyed.select("_chunk", "_id", "_tie", "text").groupBy("_chunk")
@@ -278,12 +290,16 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
         by_row = np.argsort(row, kind="stable")
         row, start = row[by_row], start[by_row]
         bounds = np.searchsorted(row, np.arange(len(c.ids) + 1))
-        kept, removed = [], np.zeros(len(c.ids), np.int64)
-        for i, text in enumerate(c.docs.column("text").to_pylist()):
-            words = (text or "").encode().split()  # bytes are split at the six ASCII blanks
+        kept, kept_bytes, done, removed = [], 0, [], np.zeros(len(c.ids), np.int64)
+        for i, text in enumerate(c.docs.column("text").cast(pa.binary())):
+            if kept_bytes >= PART:  # the result goes back in parts
+                done.append(_strings(kept))
+                kept, kept_bytes = [], 0
+            words = (text.as_py() or b"").split()  # bytes are split at the six ASCII blanks
             n = len(words)
             if c.same[i]:
-                kept.append(kept[-1])
+                kept.append(stayed)
+                kept_bytes += len(stayed)
                 removed[i] = removed[i - 1]
                 continue
             if c.copy[i]:
@@ -296,10 +312,15 @@ def remove_repeats(docs: DataFrame, k: int = 20, cells: int = 32, chunk_bytes: i
                 stays = np.cumsum(edge[:-1]) == 0
                 removed[i] = n - int(stays.sum())
                 words = compress(words, stays)
-            kept.append(b" ".join(words).decode())
+            stayed = b" ".join(words)
+            kept.append(stayed)
+            kept_bytes += len(stayed)
+        done.append(_strings(kept))
         out = c.docs.select(names)
-        for name, x in (("n_words", pa.array(c.n_words, pa.int64())), ("n_removed", pa.array(removed)), ("kept_text", pa.array(kept, pa.string()))):
+        for name, x in (("n_words", pa.array(c.n_words, pa.int64())), ("n_removed", pa.array(removed)), ("kept_text", pa.chunked_array(done))):
             out = out.append_column(name, x)
+        del c, kept
+        release()
         return out
 
     schema = StructType([StructField("text", StringType()), keyed.schema["_row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])

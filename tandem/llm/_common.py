@@ -17,15 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that are hashed at once.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 16
+#: Rows that Spark sends to a task's Python at once while a table is written; texts can be long.
+ARROW_ROWS = 2_000
 _MUL = 0x9E3779B97F4A7C15
 
 
 def _give_back() -> None:
-    """Large blocks go back to the system when they are freed: glibc otherwise keeps ever larger ones, and Arrow's own pool what it once had."""
+    """Large blocks go back to the system when they are freed: glibc otherwise keeps ever larger ones, and Arrow's own pool what it once had.
+
+    Of smaller ones 16 MB stay with the process; without that each array would be given back and fetched again.
+    """
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):  # glibc only
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which then stays as it is
+        ctypes.CDLL(None).mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
 
 
 _give_back()
@@ -81,6 +87,19 @@ def temporary(spark: SparkSession):
             _delete(spark, path)
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """What is run in this block sends at most ARROW_ROWS rows to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, outlives: int = 0) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, and survives lost executors.
 
@@ -91,10 +110,17 @@ def written(df: DataFrame, name: str, outlives: int = 0) -> DataFrame:
     blocks = _blocks.get()
     if outlives < len(blocks):
         blocks[-1 - outlives].append(path)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """`df`, which has about `rows` rows, in at most a task for `each` of them, twice the cores at least: the number of
+    shuffle partitions, however large, then costs little on small tables. Nothing is shuffled."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def bucketed(df: DataFrame, name: str, n: int, keys: list[str]) -> DataFrame:
     """Write `df` in n buckets by `keys` and read it back: joins on the keys need no exchange on this side.
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm._common import BLANK_SEPARATED, batches, mix, release, row_starts, temporary, text_bytes, window_hashes, word_hashes, written
+from tandem.llm._common import BLANK_SEPARATED, batches, few, mix, release, row_starts, temporary, text_bytes, window_hashes, word_hashes, written
 from tandem.llm._graph import components
 
 #: Another turn of the same kind follows if so many of the nodes compared were linked and so many of all were not.
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, shingle: int = 2, m: int = 26, half_rows: int =
     schema = "doc_id long, text_hash long, n_shingles long, node long, a array<bigint>, b array<bigint>"
 
     def sign(frames):
-        for batch in batches(frames, 2_000_000):
+        for batch in batches(frames, 500_000):
             _, hs, starts = _sets(batch.column("text"), shingle)
             n = np.diff(starts)
             full = np.flatnonzero(n)
@@ -103,12 +103,12 @@ def signatures(docs: DataFrame, shingle: int = 2, m: int = 26, half_rows: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, schema)
 
 
-def _sets_of(asked: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """node and own (its sorted shingle hashes) of the nodes asked for, from the text of one document of each.
+def _sets_of(asked: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, n: int, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """node and own (its sorted shingle hashes) of the at most n nodes asked for, from the text of one document of each.
 
     Their ids are broadcast only if they have been counted and are few enough.
     """
-    ids = written(nodes.join(asked, "node").select(F.col("doc_id").alias("_asked"), F.col("node").alias("_node")), "asked")
+    ids = written(few(nodes.join(asked, "node"), n).select(F.col("doc_id").alias("_asked"), F.col("node").alias("_node")), "asked")
     small = ids.count() <= broadcast_ids
 
     def make(frames):
@@ -119,7 +119,7 @@ def _sets_of(asked: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
             yield pa.RecordBatch.from_pydict({"node": node[ok], "own": pa.array([hs[starts[i] : starts[i + 1]].tobytes() for i in ok], pa.binary())})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(ids) if small else ids, F.expr("_id <=> _asked"))
-    return written(texts.select("_node", "text").mapInArrow(make, "node long, own binary").dropDuplicates(["node"]), "sets")
+    return written(few(texts.select("_node", "text").mapInArrow(make, "node long, own binary").dropDuplicates(["node"]), n, 5_000), "sets")
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
@@ -154,28 +154,28 @@ def _meeting(rare: DataFrame, percent: int) -> DataFrame:
     return met.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
 
 
-def _leads(rows: DataFrame, percent: int, turn: int, each: int = 1) -> DataFrame:
-    """At most `each` pairs (a, b) for each node that shares a table with a lead of another component.
+def _leads(rows: DataFrame, percent: int, turn: int, n: int, each: int = 1) -> DataFrame:
+    """At most `each` pairs (a, b) for each of n nodes that shares a table with a lead of another component.
 
     A table's lead is its node of the highest degree.  Whose leads a node takes differs from turn to turn, except that
     the one of the highest degree is always among them.
     """
     lead = F.max(F.struct("degree", "node", "comp", "n")).alias("lead")
-    tables = rows.groupBy("key").agg(lead, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lead")
+    tables = few(rows.groupBy("key").agg(lead, F.min("comp").alias("lo"), F.max("comp").alias("hi")), 8 * n).where("lo <> hi").select("key", "lead")
     can = f"comp <> lead.comp AND 100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
-    met = rows.join(tables, "key").where(can).select("node", F.col("lead.node").alias("lead"), F.pmod(F.xxhash64(F.lit(turn), "lead.node"), F.lit(each)).alias("draw"), "lead.degree")
-    chosen = met.groupBy("node", "draw").agg(F.max(F.struct("degree", "lead")).alias("x"))
-    return chosen.select(F.greatest("node", "x.lead").alias("a"), F.least("node", "x.lead").alias("b")).distinct()
+    met = few(rows.join(tables, "key"), 8 * n).where(can).select("node", F.col("lead.node").alias("lead"), F.pmod(F.xxhash64(F.lit(turn), "lead.node"), F.lit(each)).alias("draw"), "lead.degree")
+    chosen = few(met.groupBy("node", "draw").agg(F.max(F.struct("degree", "lead")).alias("x")), each * n)
+    return few(chosen.select(F.greatest("node", "x.lead").alias("a"), F.least("node", "x.lead").alias("b")).distinct(), each * n)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets are similar enough."""
+def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, n: int) -> DataFrame:
+    """Those of the n `pairs` (a, b) whose sets are similar enough."""
     sizes = nodes.select("node", "n_shingles")
     by = lambda c: sizes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"))
-    pairs = pairs.join(by("a"), "a").join(by("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    pairs = few(few(pairs.join(by("a"), "a"), n).join(by("b"), "b"), n).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     pairs = written(pairs.select("a", "b"), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _sets_of(asked, docs, nodes, shingle)
+    asked = few(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n)
+    sets = _sets_of(asked, docs, nodes, shingle, 2 * n)
 
     def compare(frames):
         for b in (f.slice(at, 1000) for f in frames for at in range(0, f.num_rows, 1000)):
@@ -189,7 +189,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
         release()
 
     named = lambda c, v: sets.select(F.col("node").alias(c), F.col("own").alias(v))
-    met = pairs.join(named("a", "x"), "a").join(named("b", "y"), "b")
+    met = few(few(pairs.join(named("a", "x"), "a"), n, 5_000).join(named("b", "y"), "b"), n, 5_000)
     return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
@@ -202,8 +202,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int
     spark = docs.sparkSession
     signed = written(signatures(docs, shingle, m, half_rows), "signatures")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c"), *[F.any_value(c).alias(c) for c in ("n_shingles", "a", "b")])
-    nodes = written(nodes, "nodes")
-    state: dict[str, DataFrame] = {}
+    n_docs = signed.count()
+    nodes = written(few(nodes, n_docs, 20_000), "nodes")
+    state: dict = {}
 
     def labelled(df: DataFrame) -> DataFrame:
         if "roots" not in state:
@@ -213,32 +214,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int
     def compared(pairs: DataFrame) -> tuple[int, int]:
         """Confirm `pairs` that have not been compared, and join what is linked: number of pairs and of links."""
         if "checked" in state:
-            pairs = pairs.join(state["checked"], ["a", "b"], "left_anti")
+            pairs = few(pairs.join(state["checked"], ["a", "b"], "left_anti"), each * n_docs)
         pairs = written(pairs, "pairs")
         n = pairs.count()
         if not n:
             return 0, 0
         with temporary(spark):
-            links = written(_confirm(pairs, docs, nodes, shingle, percent), "links", outlives=1)
+            links = written(_confirm(pairs, docs, nodes, shingle, percent, n), "links", outlives=1)
         new = links.count()
         state["checked"] = state["checked"].unionByName(pairs) if "checked" in state else pairs
         state["links"] = state["links"].unionByName(links) if "links" in state else links
         if new:
-            state["roots"] = components(state["links"])
+            state["n_links"] = state.get("n_links", 0) + new
+            state["roots"] = components(state["links"], state["n_links"])
         return n, new
 
     # a few table keys, in turns as long as they link
-    def few(turn: int):
+    def by_few(turn: int):
         return F.explode(F.transform(F.sequence(F.lit(0), F.lit(diagonal - 1)), lambda i: F.xxhash64(i, F.get("a", i), F.get("b", (i + turn) % m)))).alias("key")
 
-    first = nodes.select("node", few(0))
-    degrees = first.join(first.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").groupBy("node").agg(F.sum("c").alias("degree"))
+    first = nodes.select("node", by_few(0))
+    often = few(first.groupBy("key").agg(F.count("*").alias("c")), diagonal * n_docs).where("c > 1")
+    degrees = few(few(first.join(often, "key"), diagonal * n_docs).groupBy("node").agg(F.sum("c").alias("degree")), n_docs)
     sized = nodes.select("node", F.col("n_shingles").alias("n"), "a", "b").join(written(degrees, "degrees"), "node", "left").na.fill(0, ["degree"])
-    sized = written(sized, "sized")
+    sized = written(few(sized, n_docs, 20_000), "sized")
     n_nodes = sized.count()
     turn = 0
     while True:
-        n, new = compared(_leads(labelled(sized.select("node", "n", "degree", few(turn))), percent, turn))
+        n, new = compared(_leads(labelled(sized.select("node", "n", "degree", by_few(turn))), percent, turn, n_nodes))
         turn += 1
         if not new or new < LINKED * n or n - new < LEFT * n_nodes:
             break
@@ -249,23 +252,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int
 
     sides = F.concat(side(0, "a"), side(1, "b"))
     halves = labelled(sized).select("node", "n", "degree", "comp", F.explode(sides).alias("h")).select("node", "n", "degree", "comp", "h.*")
-    several = halves.groupBy("half").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("half")
-    shared = halves.join(several, "half").groupBy("node", "n", "degree").agg(*[F.collect_list(F.when(F.col("side") == s, F.col("half"))).alias(c) for s, c in enumerate("ab")])
+    several = few(halves.groupBy("half").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), 2 * m * n_nodes).where("lo <> hi").select("half")
+    shared = few(halves.join(several, "half"), 2 * m * n_nodes).groupBy("node", "n", "degree").agg(*[F.collect_list(F.when(F.col("side") == s, F.col("half"))).alias(c) for s, c in enumerate("ab")])
     tensor = F.flatten(F.transform("a", lambda x: F.transform(F.col("b"), lambda y: F.xxhash64(x, y))))
-    keys = written(shared.where("size(a) > 0 AND size(b) > 0").select("node", "n", "degree", F.explode(tensor).alias("key")), "keys")
+    keys = written(few(shared, n_nodes, 20_000).where("size(a) > 0 AND size(b) > 0").select("node", "n", "degree", F.explode(tensor).alias("key")), "keys")
     while True:
-        n, new = compared(_leads(labelled(keys), percent, turn, each))
+        n, new = compared(_leads(labelled(keys), percent, turn, n_nodes, each))
         turn += 1
         if not new or new < LINKED * n / each or n / each - new < LEFT * n_nodes:
             break
 
     # nodes of tables that still hold more than one component meet by their rarest shingles
     rows = labelled(keys)
-    tables = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = written(rows.join(tables, "key", "left_semi").select("node", "comp").distinct(), "rest")
-    if not rest.isEmpty():
+    tables = few(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), 8 * n_nodes).where("lo <> hi").select("key")
+    rest = written(few(few(rows.join(tables, "key", "left_semi"), 8 * n_nodes).select("node", "comp").distinct(), n_nodes), "rest")
+    n_rest = rest.count()
+    if n_rest:
         with temporary(spark):
-            rare = _rarest(_sets_of(rest.select("node"), docs, nodes, shingle), percent)
+            rare = _rarest(_sets_of(rest.select("node"), docs, nodes, shingle, n_rest), percent)
             met = written(_meeting(written(rare.join(rest, "node"), "rare"), percent), "met", outlives=1)
         compared(met)
 
@@ -274,14 +278,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, m: int
     least = nodes.select("node", "c", F.col("doc_id").alias("least"))
     if "roots" in state:
         members = state["roots"].unionByName(state["roots"].select(F.col("root").alias("node"), "root").distinct())
-        members = written(members.join(least, "node"), "members")
-        comps = written(members.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+        members = written(few(members.join(least, "node"), n_nodes), "members")
+        comps = written(few(members.groupBy("root").agg(F.min("least").alias("component_id")), n_nodes), "components")
         members = members.join(near(comps), "root").select("node", "root", "component_id")
         least = least.join(members, "node", "left").where("c > 1 OR root IS NOT NULL")
         named = least.select("node", F.coalesce("root", "node").alias("component"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     else:
         named = least.where("c > 1").select("node", F.col("node").alias("component"), F.col("least").alias("component_id"))
-    named = written(named.withColumn("named", F.lit(True)), "named")
+    named = written(few(named.withColumn("named", F.lit(True)), n_nodes), "named")
     out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(near(named), "node", "left")
     component_id = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "node", F.coalesce(component_id, "doc_id").alias("component_id"), F.coalesce("component", "node").alias("component"), "text_hash")

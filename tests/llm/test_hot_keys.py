@@ -28,3 +28,20 @@ def test_one_host_over_most_pages(spark):
         assert len(got) == 2003
         assert {got[i] for i in range(2000)} == {"block"} and got[2000] == "block"  # it links to a blocked host
         assert got[2001] == "block" and got[2002] == "allow"
+
+
+def test_small_graphs_take_few_tasks_whatever_the_shuffle_partitions(spark):
+    from tandem.llm._graph import components
+
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.range(300).selectExpr("id * 2 + 1 AS a", "id * 2 AS b")
+        found = components(edges, 300)
+        assert {(r["node"], r["root"]) for r in found.collect()} == {(2 * i + 1, 2 * i) for i in range(300)}
+        assert len(found.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -82,6 +82,7 @@ class Encoder:
         self.byte_level = byte_level
         self.pattern = BYTE_LEVEL if byte_level else WORD_LEVEL
         self.words, self.marks = _Memo(self._word), _Memo(self._piece)
+        self.model = self.tok.model.tokenize
 
     def trim(self) -> None:
         """To be called when a task ends."""
@@ -97,8 +98,11 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> bytes:
-        named = piece.encode().decode("latin-1").translate(_NAMES)
-        return array("I", [t.id for t in self.tok.model.tokenize(named)]).tobytes()
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+            named = _NAMES[32] + piece[1:]
+        else:
+            named = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(_NAMES)
+        return array("I", [t.id for t in self.model(named)]).tobytes()
 
     def _pieces(self, text: str) -> bytes:
         return b"".join([self._known(x) for x in self.pattern.findall(text)])

@@ -36,8 +36,8 @@ from tandem.llm._common import BLANK_SEPARATED, batches, release, row_starts, te
 
 SHARD = 1 << 26  # cells of a shard
 FLUSH = 2_000_000  # windows that a task holds before it emits their cells
-HASHED = 1_000_000  # bytes of text whose words are held at once
-PART = 1 << 20  # bytes of kept text that go back to Spark at once
+HASHED = 500_000  # bytes of text whose words are held at once
+PART = 1 << 20  # bytes of kept text, or of cells, that go back to Spark at once
 NO_ID = -(2**63)
 
 
@@ -102,39 +102,54 @@ _REPLY_SCHEMA = "chunk long, kind string, part long, n long, data binary"
 def _sketch(total: int, chunks: int, k: int):
     """Task side of the sketch: batches of (_chunk, text) to its parts."""
 
+    single = total * chunks < 1 << 63  # cell and chunk then sort as one number
+
     def ordered(held: list):
-        """Cell and chunk of each distinct pair in order, and whether it occurs more than once."""
+        """For each shard: cell and chunk of each distinct pair in order, and whether it occurs more than once."""
+        if single:
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            bounds = np.searchsorted(keys, np.arange(total // SHARD + 1) * (SHARD * chunks))
+            for shard in np.flatnonzero(np.diff(bounds)):
+                own = keys[bounds[shard] : bounds[shard + 1]]
+                first, end = _cuts(own)
+                own = own[first]
+                yield int(shard), own // chunks % SHARD, own % chunks, end - first > 1
+            return
         cells, own = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        if total * chunks < 1 << 63:  # both then sort as one number, in place
-            cells *= chunks
-            cells += own
-            keys = cells
-            keys.sort()
-            first, end = _cuts(keys)
-            return keys[first] // chunks, keys[first] % chunks, end - first > 1
         order = np.lexsort((own, cells))
         cells, own = cells[order], own[order]
         first = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (own[1:] != own[:-1]))))
-        return cells[first], own[first], np.diff(first, append=len(cells)) > 1
+        cells, own, often = cells[first], own[first], np.diff(first, append=len(cells)) > 1
+        for s, e in zip(*_cuts(cells // SHARD), strict=True):
+            yield int(cells[s]) // SHARD, cells[s:e] % SHARD, own[s:e], often[s:e]
 
     def emit(held: list):
-        cells, own, often = ordered(held)
-        rows = [(int(cells[s]) // SHARD, int(e - s), _packed(cells[s:e] % SHARD, own[s:e], often[s:e])) for s, e in zip(*_cuts(cells // SHARD), strict=True)]
-        return _rows(_SKETCH, _SKETCH_KINDS, rows)
+        rows, size = [], 0
+        for shard, cells, own, often in ordered(held):
+            rows.append((shard, len(cells), _packed(cells, own, often)))
+            size += len(rows[-1][2])
+            if size >= PART:
+                yield _rows(_SKETCH, _SKETCH_KINDS, rows)
+                rows, size = [], 0
+        if rows:
+            yield _rows(_SKETCH, _SKETCH_KINDS, rows)
 
     def sketch(frames):
         held, n = [], 0
         for b in batches(frames, HASHED):
             row, _, h1, _, _ = _windows(b.column("text"), k)
-            held.append(((h1 % np.uint64(total)).astype(np.int64), b.column("_chunk").to_numpy()[row]))
+            cells, own = (h1 % np.uint64(total)).astype(np.int64), b.column("_chunk").to_numpy()[row]
+            held.append(cells * chunks + own if single else (cells, own))
             n += len(row)
             if n >= FLUSH:
-                yield emit(held)
+                yield from emit(held)
                 release()
                 n = 0
         if n:
-            yield emit(held)
+            yield from emit(held)
         release()
 
     return sketch
@@ -142,13 +157,15 @@ def _sketch(total: int, chunks: int, k: int):
 
 def _merge(table: pa.Table) -> pa.Table:
     """Add the parts of one shard; reply to each chunk with its cells that were counted twice or more."""
-    counts = np.zeros(SHARD, np.uint8)
-    cells, chunks, often = (np.concatenate(x) for x in zip(*(_unpacked(d, n, False) for d, n in zip(table.column("cells").to_pylist(), table.column("n").to_pylist(), strict=True)), strict=True))
-    for at in range(0, len(cells), 1 << 20):
-        own, n = np.unique(cells[at : at + (1 << 20)], return_counts=True)
-        counts[own] = np.minimum(2, counts[own] + np.minimum(n, 2))
-    counts[cells[often > 0]] = 2
-    hot = counts[cells] >= 2
+    parts = [_unpacked(d.as_py(), n.as_py(), False) for d, n in zip(table.column("cells"), table.column("n"), strict=True)]
+    cells, chunks, often = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    own = np.sort(cells)
+    twice = np.unique(np.concatenate((own[1:][own[1:] == own[:-1]], cells[often > 0])))
+    del own, often
+    hot = np.zeros(len(cells), bool)
+    if len(twice):
+        hot = twice[np.minimum(np.searchsorted(twice, cells), len(twice) - 1)] == cells
     keys = np.unique(chunks[hot] * SHARD + cells[hot])
     chunks, cells = keys // SHARD, keys % SHARD
     shard = table.column("shard")[0].as_py()

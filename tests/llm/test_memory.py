@@ -21,3 +21,41 @@ def test_freed_blocks_go_back():
     out = subprocess.run([sys.executable, "-c", CODE], cwd=ROOT, capture_output=True, text=True, check=True, timeout=60)
     base = subprocess.run([sys.executable, "-c", CODE.replace("range(30)", "range(1)")], cwd=ROOT, capture_output=True, text=True, check=True, timeout=60)
     assert int(out.stdout.split()[-1]) - int(base.stdout.split()[-1]) < 60  # of 240
+
+
+FAULTS = """
+import resource
+import numpy as np
+import tandem.llm._common
+for _ in range(3):
+    x = [np.ones(60_000) for _ in range(4)]
+    del x
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for _ in range(100):
+    x = [np.ones(60_000) for _ in range(4)]
+    del x
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+
+
+def test_small_arrays_are_not_fetched_again():
+    out = subprocess.run([sys.executable, "-c", FAULTS], cwd=ROOT, capture_output=True, text=True, check=True, timeout=60)
+    assert int(out.stdout.split()[-1]) < 5_000  # of 47,000 pages
+
+
+def test_a_shard_is_merged_without_a_table_of_its_cells():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tandem.llm import substring_dedup as S
+
+    parts = [(np.array([1, 5, 9]), np.array([0, 1, 0]), np.array([0, 0, 1])), (np.array([2, 5]), np.array([2, 2]), np.array([0, 0]))]
+    table = pa.table({"shard": [3, 3], "n": [3, 2], "cells": pa.array([S._packed(*x) for x in parts], pa.binary())})
+    tracemalloc.start()
+    out = S._merge(table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(r["chunk"], r["part"], tuple(S._unpacked(r["data"], r["n"]))) for r in out} == {(0, 3, (9,)), (1, 3, (5,)), (2, 3, (5,))}
+    assert peak < 16 << 20

@@ -35,10 +35,24 @@ def _restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*[new.get(c, old[c]).alias(c) for c in columns])
 
 
+def _near(ids: DataFrame) -> DataFrame:
+    """`ids`, broadcast once they are counted and few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling selects; equal rows all stay or all go."""
-    chosen = select(_as_row(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id", "text", "_others"])
-    return _restored(chosen.where("selected"), docs.columns)
+    """Documents that importance resampling selects; equal rows all stay or all go.
+
+    Rows are judged by id and text, and the texts stay where they are: what is dropped is looked up.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    with temporary(spark):
+        judged = select(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id", "_hash"])
+        dropped = judged.where("NOT selected").select(F.col("doc_id").alias("_id"), "_hash").distinct()
+        dropped = written(dropped, "dropped", outlives=1)
+    is_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    columns, docs = docs.columns, _as_row(docs)
+    return _restored(docs.join(_near(dropped), is_row, "left_anti"), columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +71,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         judged = rows.join(first.select(*[F.col(c).alias(f"k{c}") for c in row]), same, "left").where("n > 1 OR k_hash IS NULL")
         judged = written(judged.select(*row, F.col("k_hash").isNull().alias("gone")), "judged", outlives=1)
     is_row = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    near = (lambda df: F.broadcast(df)) if judged.count() <= BROADCAST_IDS else (lambda df: df)
-    single = docs.join(near(judged), is_row, "left_anti")
-    repeated = docs.join(near(judged.where("NOT gone")), is_row).dropDuplicates(row)
+    single = docs.join(_near(judged), is_row, "left_anti")
+    repeated = docs.join(_near(judged.where("NOT gone")), is_row).dropDuplicates(row)
     return _restored(single.unionByName(repeated.select(*docs.columns)), columns)
 
 

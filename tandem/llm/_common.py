@@ -88,7 +88,7 @@ def temporary(spark: SparkSession):
 
 
 @contextlib.contextmanager
-def _small_batches(spark: SparkSession):
+def small_batches(spark: SparkSession):
     """What is run in this block sends at most ARROW_ROWS rows to Python at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -110,7 +110,7 @@ def written(df: DataFrame, name: str, outlives: int = 0) -> DataFrame:
     blocks = _blocks.get()
     if outlives < len(blocks):
         blocks[-1 - outlives].append(path)
-    with _small_batches(spark):
+    with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tandem.llm._common import WORD_PUNCT, batches, text_bytes, window_hashes, word_hashes, written
+from tandem.llm._common import WORD_PUNCT, batches, small_batches, text_bytes, window_hashes, word_hashes, written
 
 #: Bytes of text whose n-grams are held at once.
 HELD = 1_000_000
@@ -65,7 +65,9 @@ def fit(docs: DataFrame, buckets: int = 10_000, smooth: float = 1.0) -> np.ndarr
 
     rows = docs.select("text", "_role").mapInArrow(count, "bucket long, raw long, target long")
     raw, target = np.zeros(buckets), np.zeros(buckets)
-    for r in rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
+    with small_batches(docs.sparkSession):
+        sums = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    for r in sums:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     share = lambda x: np.log(x + smooth) - np.log(x.sum() + smooth * buckets)
     return share(target) - share(raw)

@@ -59,3 +59,32 @@ def test_a_shard_is_merged_without_a_table_of_its_cells():
     tracemalloc.stop()
     assert {(r["chunk"], r["part"], tuple(S._unpacked(r["data"], r["n"]))) for r in out} == {(0, 3, (9,)), (1, 3, (5,)), (2, 3, (5,))}
     assert peak < 16 << 20
+
+
+def test_quality_sends_texts_to_python_in_small_batches_only(spark, tmp_path, monkeypatch):
+    """Who writes the result sends no text to Python; the counts are made from batches of at most ARROW_ROWS."""
+    import corpus_pipeline
+    from tandem.llm import importance
+    from tandem.llm._common import ARROW_ROWS, batches
+
+    def counted(frames, *args):
+        def small(b):
+            assert b.num_rows <= ARROW_ROWS
+            return b
+
+        yield from batches(map(small, frames), *args)
+
+    monkeypatch.setattr(importance, "batches", counted)
+    rows = [(i, f"good words {i // 4}" if i % 3 else "x 1 " * (1 + i % 7)) for i in range(4_500)] * 2
+    rows += [(7, None), (None, None), (None, "x 1 "), (None, "good words 1"), (None, "good words 1")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, _hash string").coalesce(1)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert "InArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    selected = importance.select(docs, labels, keep=["doc_id", "text"]).where("selected")
+    key = lambda r: str((r["doc_id"], r["text"]))
+    with importance.small_batches(spark):
+        want = sorted(map(key, selected.collect()))
+    assert sorted(map(key, out.collect())) == want and 0 < len(want) < len(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.operators import sparse_blocks
+from tandem.operators import packed, sparse_blocks
 
 
 def zip_aligned(sources: dict[str, DataFrame], key: str = "item_id", check: bool = True) -> DataFrame:
@@ -131,6 +131,22 @@ def map_words_to_targets(cells: DataFrame, word_targets: DataFrame, mode: str =
     return scores.select(F.col("query_id").alias("item_id"), F.col("target_id").alias("image_name"), F.col("sim").alias("score"))
 
 
+def votes(items: DataFrame, cells: DataFrame, names: DataFrame, links: DataFrame, mode: str = "soft") -> DataFrame:
+    """Scores of `map_words_to_targets(items, word_to_targets(cells, names, links), mode)`, of counted words.
+
+    items and cells hold an item's rows together in one partition.  Words that no item has take no part; documents and
+    images are sent as packed bags, an image's being the union of those of its documents, without a row for each word.
+    """
+    known = packed.vocabulary(packed.frequencies(items))
+    images = names.select("item_id", F.col("doc_name").alias("text_name")).join(links, "text_name").select("item_id", "image_name")
+    shown = packed.union(packed.bags(cells, known).drop("n", "m").join(images, "item_id"), "image_name")
+    asked, soft = packed.bags(items, known), mode == "soft"
+    read = (lambda b: packed.cells_of(b, soft), lambda b: packed.cells_of(b, False))
+    size = F.length("c") + F.length("n") + F.size("f") * 16
+    scores = sparse_blocks.products(asked.withColumnRenamed("item_id", "item"), shown.withColumnRenamed("image_name", "item"), cells=read, size=size)
+    return scores.select(F.col("query_id").alias("item_id"), F.col("target_id").alias("image_name"), F.col("sim").alias("score"))
+
+
 def token_positions(tokens: DataFrame, item: str = "doc_id", token: str = "token") -> DataFrame:
     """The distinct items in which each token occurs, a row each."""
     return tokens.select(token, item).distinct()

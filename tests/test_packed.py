@@ -65,7 +65,7 @@ def test_votes_equal_the_join(spark, lines, blocks, mode):
     assert got.count() and {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
 
-@pytest.mark.parametrize("name", ["vote_hard"])
+@pytest.mark.parametrize("name", ["vote_hard", "vote_soft"])
 def test_vote_queries_send_bags(spark, name):
     from tandem.plans import queries
 

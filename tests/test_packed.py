@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators import link, packed, sparse_blocks
+from tandem.operators import bow, link, packed, retrieve, sparse_blocks, sparse_index
 from tandem.operators.word_counts import counted
 
 
@@ -71,3 +71,26 @@ def test_vote_queries_send_bags(spark, name):
 
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "xxhash64(feature" in plan and "word" not in plan
+
+
+def test_words_topk_equal_tfidf(spark, lines, blocks):
+    """Frequent words, and words of one or two documents: with few codes their frequencies come with the bag."""
+    cells = counted(lines.unionByName(lines.where("item_id = 3").withColumn("item_id", F.lit(300).cast("long")))).where("feature <> ''")
+    n = 153
+    w = bow.tfidf(cells, n)
+    sims = w.where("item_id % 20 = 0").alias("a").join(w.alias("b"), F.col("a.feature") == F.col("b.feature"))
+    sims = sims.groupBy(F.col("a.item_id").alias("query_id"), F.col("b.item_id").alias("target_id")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("sim"))
+    want = {(r["query_id"], r["rank"]): (r["target_id"], r["sim"]) for r in retrieve.ranked(sims, 4, 4).collect()}
+    got = {(r["query_id"], r["rank"]): (r["target_id"], r["sim"]) for r in retrieve.similarity_topk_words(cells, "item_id % 20 = 0", n, 4, 4).collect()}
+    assert len(want) > 20 and got == want
+
+
+def test_words_topk_sends_bags(spark, monkeypatch):
+    """Cells are neither written nor shuffled: only frequencies and bags are written."""
+    from tandem.plans import queries
+
+    names, written = [], retrieve.written
+    for module in (retrieve, sparse_index, bow):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or written(df, name))
+    queries.QUERIES["sim_topk_words"](spark, "/root/testdata/sf0.001")
+    assert names == ["frequencies", "bags"]
